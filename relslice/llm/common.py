@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the given tables, through Spark's own reader."""
+    """One of the given tables, through Spark's own reader.
+
+    Python workers of a local session can then import this package, wherever the session was started; on a cluster the
+    package is shipped with --py-files.
+    """
+    top, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), top]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

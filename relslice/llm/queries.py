@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, packing, token_file
+from . import bpe_codec, chat, langid, packing, quality, simhash, token_file
 from .common import read
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -33,12 +37,20 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(token_file.write_tokens(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op3_chat_format, op7_token_file, op9_packing)}
+    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op7_token_file, op8_simhash, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
