@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, langid, packing, quality, simhash, token_file
+from . import bpe_codec, chat, langid, multiset_hash, packing, quality, simhash, token_file
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(token_file.write_tokens(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
@@ -50,7 +54,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op7_token_file, op8_simhash, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
