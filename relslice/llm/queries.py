@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, langid, multiset_hash, packing, quality, simhash, token_file
+from . import bpe_codec, chat, langid, multiset_hash, packing, quality, simhash, substring_dedup, token_file
 from .common import read
 
 
@@ -33,6 +33,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
