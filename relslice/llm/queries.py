@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, langid, multiset_hash, packing, quality, simhash, substring_dedup, token_file
+from . import bpe_codec, chat, embedding_dedup, langid, multiset_hash, packing, quality, simhash, substring_dedup, token_file
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op5_embedding_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
