@@ -165,40 +165,64 @@ def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "la
     return langs, train(np.concatenate(x), np.array(y), len(langs))
 
 
+class Judge:
+    """Languages and scores of whole texts, about a million characters at a time."""
+
+    def __init__(self, langs: list[str], params: dict[str, np.ndarray] | None):
+        self.langs, self.network = langs, Network(params) if params else None
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        pred, score = ["und"] * len(texts), [0.0] * len(texts)
+        told: list[int] = []
+        size = 0
+        for i, t in enumerate(texts):
+            if self.network and t and LETTER.search(t):
+                told.append(i)
+                size += len(t)
+            if told and (size > 1_000_000 or i == len(texts) - 1):
+                for k, row in zip(told, self.network.texts([texts[k] for k in told])):
+                    best = int(row.argmax())
+                    pred[k], score[k] = self.langs[best], float(min(1.0, row[best]))
+                told, size = [], 0
+        return pred, score
+
+
 def _predict(langs: list[str], params: dict[str, np.ndarray] | None):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(params) if params else None
-
-        def answer(ids: list, held: list, texts: list[str | None]) -> pa.RecordBatch:
-            pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            told = [i for i, t in enumerate(texts) if network and t and LETTER.search(t)]
-            if told:
-                q = network.texts([texts[i] for i in told])
-                for i, row in zip(told, q):
-                    best = int(row.argmax())
-                    pred[i], score[i] = langs[best], float(min(1.0, row[best]))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(pred), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        judge = Judge(langs, params)
+        for batch in found:
+            pred, score = judge(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return run
+
 
+def _sure(langs: list[str], params: dict[str, np.ndarray] | None, text: str, least: float):
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(langs, params)
         for batch in found:
-            ids, held, texts, size = [], [], [], 0
-            for i, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
-                ids.append(i)
-                held.append(h)
-                texts.append(t.as_py())
-                size += len(texts[-1] or "")
-                if size > 1_000_000:
-                    yield answer(ids, held, texts)
-                    ids, held, texts, size = [], [], [], 0
-            if ids:
-                yield answer(ids, held, texts)
+            pred, score = judge(batch.column(text).to_pylist())
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
 
     return run
 
 
+def keep_identified(docs: DataFrame, held_out: Column | None = None, least: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose language is told with a score of `least` or more; nothing is shuffled."""
+    if held_out is None:
+        held_out = _fifth(key)
+    langs, params = learn(docs, held_out, text, lang, key)
+    return docs.mapInArrow(_sure(langs, params, text, least), docs.schema)
+
+
+def _fifth(key: str) -> Column:
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+
 def identify(docs: DataFrame, held_out: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score. By default a fifth of the rows, by crc32 of the key, is held out."""
     if held_out is None:
-        held_out = F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+        held_out = _fifth(key)
     langs, params = learn(docs, held_out, text, lang, key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predict(langs, params), "doc_id long, held_out boolean, lang_pred string, score double")

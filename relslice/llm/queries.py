@@ -11,7 +11,8 @@ from . import bpe_codec, chat, embedding_dedup, langid, multiset_hash, packing,
 from .common import read
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,7 +23,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.round_trip(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe_codec.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.read_tokens(token_file.write_tokens(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+    return token_file.read_tokens(token_file.write_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
