@@ -10,13 +10,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
-REMEMBERED = 400_000  # pieces that a worker keeps; older ones are forgotten together
+REMEMBERED = 1_000_000  # pieces that a worker keeps; older ones are forgotten together
 AT_ONCE = 1_000  # new pieces in one call of the library
 LONGEST = 64  # longer pieces are encoded but not remembered
-SPLITS = re.compile(r" (?=\s|$)")
+RUNS = re.compile(r" (?=\s|$)")  # a blank that does not begin a pre-token
+LINES = re.compile(r"\s\s|\s$")  # line breaks that are not between other characters
+ODD = re.compile("[\x1c-\x1f①Σ]")  # blanks to str.split() alone, the mark, and a letter whose lower case depends on its place
 MARK = "①"  # a numeral: the word vocabulary always makes it a pre-token of its own
 
 
@@ -63,7 +66,10 @@ class PieceEncoder:
     def _ends(self, part: list[str], ids: np.ndarray) -> list[tuple[int, int]] | None:
         if not self.words:
             limits = np.cumsum([len(p.encode()) for p in part])
-            ends = np.searchsorted(np.cumsum(self.length[ids]), limits, side="left") + 1
+            reached = np.cumsum(self.length[ids])
+            ends = np.searchsorted(reached, limits, side="left") + 1
+            if len(ids) < ends[-1] or not np.array_equal(reached[ends - 1], limits):
+                return None
             return list(zip([0, *ends[:-1].tolist()], ends.tolist()))
         mark = np.frombuffer(self.known.get(MARK) or self._whole(MARK), self.dtype)
         self.known[MARK] = mark.tobytes()
@@ -76,42 +82,44 @@ class PieceEncoder:
             return None
         return list(zip([0, *(at + k).tolist()], [*at.tolist(), len(ids)]))
 
+    def _split(self, text: str) -> list[str] | None:
+        """Keys of the pieces of a text; None if it has to go through the library as a whole."""
+        if self.words:
+            return None if ODD.search(text) else text.lower().split()
+        if "\0" in text or RUNS.search(text):
+            return None
+        pieces = text.split(" ") if LINES.search(text) else text.replace("\n", " \n").split(" ")
+        if pieces[0]:
+            pieces[0] = "\0" + pieces[0]
+        else:
+            del pieces[0]
+        return pieces
+
+    def _written(self, key: str) -> str:
+        """The piece of a key: byte-level pieces begin with a blank or a line break, unless their text begins with them."""
+        return key if self.words or key[:1] == "\n" else key[1:] if key[:1] == "\0" else " " + key
+
     def encode(self, texts: list[str | None]) -> Iterable[bytes]:
         """The ids of each text, as bytes of self.dtype; a null text counts as empty."""
-        split: list[list[str] | None] = []
-        wanted: set[str] = set()
-        for text in texts:
-            text = text or ""
-            if self.words:
-                pieces = [p for p in text.split(" ") if p]
-                if MARK in text:
-                    split.append(None)
-                    continue
-            else:
-                if SPLITS.search(text):
-                    split.append(None)
-                    continue
-                first, *rest = text.split(" ")
-                pieces = [" " + p for p in rest]
-                if first:
-                    pieces.insert(0, first)
-            split.append(pieces)
-            wanted.update(pieces)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in wanted if p not in self.known]
-        found = {}
-        if not self.words:  # only a piece that begins with its blank keeps its ids among others
-            found = {p: self._whole(p) for p in new if p[0] != " "}
-            new = [p for p in new if p[0] == " "]
-        found.update(zip(new, self._new(new)))
-        known = self.known
-        known.update(found)
+        texts = [text or "" for text in texts]
+        split = [self._split(text) for text in texts]
+        known, new = self.known, set()
+        for pieces in split:
+            if pieces:
+                new.update(filterfalse(known.__contains__, pieces))
+        if len(known) + len(new) > REMEMBERED:  # what this batch has used goes on, with all frequent pieces
+            used = set().union(*filter(None, split)).difference(new)
+            self.known = known = {p: known[p] for p in used}
+        alone = [p for p in new if p[:1] == "\0"]  # only a piece that begins with a blank or a break keeps its ids among others
+        for key in alone:
+            known[key] = self._whole(key[1:])
+        new = [p for p in new if p[:1] != "\0"]
+        known.update(zip(new, self._new([self._written(p) for p in new])))
         for text, pieces in zip(texts, split):
-            yield self._whole(text) if pieces is None else b"".join([known[p] for p in pieces])
-        for p in found:
-            if len(p) > LONGEST:
-                del known[p]
+            yield self._whole(text) if pieces is None else b"".join(map(known.__getitem__, pieces))
+        for key in (*alone, *new):
+            if len(key) > LONGEST or key[:1] == "\0":
+                del known[key]
 
 
 @lru_cache(maxsize=4)
