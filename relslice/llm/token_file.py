@@ -27,7 +27,7 @@ from .tokens import batches, encoder
 
 BLOCK = 256
 SHARE = 0.9
-SEGMENT = 1_000_000
+SEGMENT = 500_000
 DOCS_PER_RANGE = 1_000
 NO_ID = -(2**63)  # stands for a null doc_id inside a segment
 MAGIC = 0x31524650  # "PFR1"
