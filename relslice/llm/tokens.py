@@ -14,7 +14,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-REMEMBERED = 1_000_000  # pieces that a worker keeps; older ones are forgotten together
+REMEMBERED = 800_000  # pieces that a worker keeps; older ones are forgotten together
 AT_ONCE = 1_000  # new pieces in one call of the library
 LONGEST = 64  # longer pieces are encoded but not remembered
 RUNS = re.compile(r" (?=\s|$)")  # a blank that does not begin a pre-token
