@@ -197,11 +197,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     ids = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
     part = F.xxhash64(text) if ids.limit(1).count() else F.lit(0).cast("long")
     gone = stretches(docs, part, text, key, window).groupBy("doc_id", "part").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
-    left = docs.withColumns({"__text": F.col(text), "__part": part})
-    gone = gone.select(F.col("doc_id").alias("__doc_id"), F.col("part").alias("__of"), "stretches")
-    joined = left.join(gone, (F.col(key) == F.col("__doc_id")) & (F.col("__part") == F.col("__of")), "left")
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_sha256", "kept_text")]
-    rows = joined.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)], F.col("__text").alias("text"), gone["stretches"])
+    left = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(kept)], F.col(key).alias("key"), part.alias("of"), F.col(text).alias("text"))
+    joined = left.join(gone, (F.col("key") == F.col("doc_id")) & (F.col("of") == F.col("part")), "left")
+    rows = joined.select(*[f"_{i}" for i in range(len(kept))], "text", "stretches")
     fields = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
     done = rows.mapInArrow(_remove, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return done.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], "n_words", "n_removed", "kept_sha256", "kept_text")
