@@ -67,5 +67,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op5_embedding_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
 
 
+#: Digests of the turns, and of the text under the loss mask, straight from the table; the template's length is counted.
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, length(replace(replace(replace(role || text, '\', '\\'), '<', '\<'), '[', '\[')) + length('<s>[INST][/INST]</s>') AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+#: All windows of 50 words as text.
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS said FROM v),
+f AS (SELECT said, min(doc_id) AS first FROM k GROUP BY said),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN f ON f.said = k.said WHERE first < doc_id),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+m AS (SELECT p.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY p.p) AS kept FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.p = p.p GROUP BY p.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN m ON m.doc_id = w.doc_id"""
+
+#: All pairs.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenizers, XXH64 and trained models are beyond SQL; tests/llm holds the other queries against brute force."""
+    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL}
