@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import staged
+from ..sources.tables import staged, staged_count, staged_with
 
 
 def explode_references(refs: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def walk(edges: DataFrame, starts: DataFrame, hops: int, stop: DataFrame | None
     for depth in range(1, hops + 1):
         from_ = frontier if stop is None else frontier.join(stop.select(F.col(stop.columns[0]).alias("node")), "node", "left_anti")
         new = from_.select("node").join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = staged(new.withColumn("depth", F.lit(depth)), "walk")
-        if not frontier.limit(1).count():
+        frontier, found = staged_count(new.withColumn("depth", F.lit(depth)), "walk")
+        if not found:
             break
         seen = seen.union(frontier)
     return seen
@@ -55,11 +55,11 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest label that reaches each node along edges (src to dst), to its fixed point."""
     labels = staged(labels, "labels")
     while True:
-        moved = edges.join(labels, edges["src"] == labels["node"]).select(F.col("dst").alias("node"), "label")
-        new = staged(labels.union(moved).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        changed = new.join(labels, ["node", "label"], "left_anti").limit(1).count()
-        labels = new
-        if not changed:
+        reached = edges.join(labels, edges["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("up"))
+        new = labels.join(reached, "node", "left").select("node", F.least("label", "up").alias("label"), F.coalesce(F.col("up") < F.col("label"), F.lit(False)).alias("moved"))
+        new, moved = staged_with(new, F.count_if("moved"), "labels")
+        labels = new.drop("moved")
+        if not moved:
             return labels
 
 
@@ -71,14 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     every = edges.select("src", "dst").distinct()
     loops = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("label"))
-    rest = staged(every.where("src <> dst"), "edges")
+    rest, size = staged_count(every.where("src <> dst"), "edges")
     found: DataFrame | None = None
     while True:
-        size = rest.count()
         while size:
             live = rest.select(F.col("src").alias("node")).intersect(rest.select("dst"))
-            kept = staged(rest.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(live.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
-            before, size, rest = size, kept.count(), kept
+            kept, left = staged_count(rest.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(live.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
+            before, size, rest = size, left, kept
             if size == before:
                 break
         if not size:
@@ -91,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         back = staged(walk(inside, labels.where("node = label").select("node"), 1_000_000).select("node").join(labels, "node"), "back")
         found = back if found is None else found.union(back)
         gone = back.select("node")
-        rest = staged(rest.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        rest, size = staged_count(rest.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
     if found is None:
         return loops.select("node", F.col("label").alias("component"))
     large = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).where("n > 1")
@@ -123,10 +122,10 @@ def load_waves(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataF
     levels = staged(named.select(F.col("step").alias("a")).distinct().withColumn("wave", F.lit(0)), "levels")
     for _ in range(most):
         up = between.join(levels.select(F.col("a").alias("b"), "wave"), "b").groupBy("a").agg((F.max("wave") + 1).alias("up"))
-        new = staged(levels.join(up, "a", "left").select("a", F.greatest("wave", F.coalesce("up", F.lit(0))).alias("wave")), "levels")
-        changed = new.join(levels, ["a", "wave"], "left_anti").limit(1).count()
-        levels = new
-        if not changed:
+        new = levels.join(up, "a", "left").select("a", F.greatest("wave", "up").alias("wave"), F.coalesce(F.col("up") > F.col("wave"), F.lit(False)).alias("moved"))
+        new, moved = staged_with(new, F.count_if("moved"), "levels")
+        levels = new.drop("moved")
+        if not moved:
             return named.join(levels, named["step"] == levels["a"]).select("node", "wave")
     raise RuntimeError("load order did not settle; are components missing?")
 

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import STAR, Dataset, TableSpec
 
@@ -46,6 +47,17 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, what: Column, name: str = "step") -> tuple[DataFrame, int]:
+    """staged(df) and an aggregate of its rows, taken while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.coalesce(what, F.lit(0)).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def staged_count(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    return staged_with(df, F.count(F.lit(1)), name)
+
+
 def write_new(df: DataFrame, folder: str, name: str) -> str:
     """Write a table to a version folder that does not exist yet and return its path; what is being read is never overwritten."""
     path = f"{folder}/{name}-{uuid.uuid4().hex}.parquet"
