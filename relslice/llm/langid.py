@@ -143,11 +143,17 @@ class Network:
 
 def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], dict[str, np.ndarray] | None]:
     """(languages, network) from rows that are not held out. The bounded sample goes to the driver."""
+    usable = ~held_out & F.col(lang).isNotNull() & F.col(text).isNotNull()
+    counts = docs.where(usable).groupBy(F.col(lang).alias("lang")).count().collect()  # a row per language
+    if not counts:
+        return [], None
+    # hashes under a bound that leaves about four times the rows wanted; only these are shuffled and ranked
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 4 * PER_LANGUAGE / r["count"]) * 2**62))])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "snippet"))
     spread = F.greatest(F.length(text) - SNIPPET, F.lit(1))
     snippet = F.substring(text, (F.pmod(F.xxhash64(F.lit(1), F.col(key)), spread) + 1).cast("int"), F.lit(SNIPPET))
-    rows = docs.where(~held_out & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), snippet.alias("snippet"))
-    got = rows.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).orderBy("lang", "rank").collect()
+    rows = docs.where(usable).select(F.col(lang).alias("lang"), F.xxhash64(key).bitwiseAND(F.lit(2**62 - 1)).alias("h"), snippet.alias("snippet"))
+    got = rows.where(F.col("h") <= F.element_at(bounds, F.col("lang"))).withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).orderBy("lang", "rank").collect()
     got = [r for r in got if LETTER.search(r.snippet)]
     langs = sorted({r.lang for r in got})
     if not langs:
@@ -207,7 +213,7 @@ def _sure(langs: list[str], params: dict[str, np.ndarray] | None, text: str, lea
     return run
 
 
-def keep_identified(docs: DataFrame, held_out: Column | None = None, least: float = 0.5, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+def keep_identified(docs: DataFrame, held_out: Column | None = None, least: float = 0.3, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The rows of docs whose language is told with a score of `least` or more; nothing is shuffled."""
     if held_out is None:
         held_out = _fifth(key)
