@@ -102,7 +102,8 @@ def posteriors(docs: DataFrame, weights: list[float], host: Column, path: Column
     host_level = hosts.select(F.col("host").alias("of_host"), ((F.col("s") + strength * mu) / (F.col("n") + strength)).alias("host_mean"))
     path_level = paths.join(host_level, paths["host"].eqNullSafe(host_level["of_host"]))
     strength = path_level.agg(_strength(F.col("host_mean")).alias("k")).first().k or 1.0
-    path_level = path_level.select("of_host", F.col("path").alias("of_path"), "n", "s", "host_mean")
+    # stored, so that a host with very many documents can be split over tasks in the next join
+    path_level = stored(path_level.select("of_host", F.col("path").alias("of_path"), "n", "s", "host_mean"), "sites")
     together = scored.join(path_level, scored["host"].eqNullSafe(path_level["of_host"]) & scored["path"].eqNullSafe(path_level["of_path"]))
     site = (F.col("s") - F.col("p") + strength * F.col("host_mean")) / (F.col("n") - 1 + strength)
     site = F.least(F.greatest(site, F.lit(1e-4)), F.lit(1 - 1e-4))
