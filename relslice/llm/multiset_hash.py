@@ -99,6 +99,17 @@ def _with_next(rows: DataFrame, order: list[Column], what: Column, name: str) ->
     return placed.join(_next_range(rows.select("range")).join(heads, "next_range").drop("next_range"), "range").withColumn(name, F.coalesce(name, "head")["v"]).drop("head")
 
 
+def _stored_as_dealt(df: DataFrame, name: str) -> DataFrame:
+    """Store df; its joins on (range, at) may use sides that are dealt by range alone, so nothing is exchanged for them."""
+    conf, setting = df.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(setting)
+    conf.set(setting, "false")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(setting, before)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row, of its text and of its edited text (whose second half comes from the next document): see the module."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -113,7 +124,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     # rows are dealt by range already, so these sums need no further exchange
     sums = hashes.groupBy("range", "at", "which").agg(F.count(F.lit(1)).alias("n"), *_pair_sums()).select("range", "at", "which", "n", _pair_lanes().alias("pairs"))
     sides = sums.groupBy("range", "at").agg(*[F.first(F.when(F.col("which") == k, F.col(c)), ignorenulls=True).alias(p + c) for k, p in ((0, ""), (1, "edited_")) for c in ("n", "pairs")])
-    kept = stored(wholes.join(sides, ["range", "at"]), "fingerprints")
+    kept = _stored_as_dealt(wholes.join(sides, ["range", "at"]), "fingerprints")
     then = _with_next(kept, [F.col("at")], F.struct("n", "pairs"), "following")
     return then.select(
         "doc_id", "n_chars", "edited_sha256",
