@@ -178,6 +178,8 @@ def stretches(docs: DataFrame, part: Column, text: str = "text", key: str = "doc
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), part.alias("part"), F.col(text).alias("text")).where("doc_id is not null")
     every = stored(rows.mapInArrow(_anchors(window), ANCHORS), "anchors")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("passage") != F.max("passage")).alias("mixed")).where("lo < hi").select("anchor", "mixed")
+    # stored, so that both sides of the next join are plain exchanges and a very common anchor can be split over tasks
+    shared = stored(shared, "shared")
     held = stored(every.join(shared, "anchor"), "shared-anchors")
     heads = stored(held.groupBy("anchor", "passage", "mixed").agg(F.min(F.struct("doc_id", "part", "first", "size")).alias("head")), "passages")
     crowds = heads.where("mixed").groupBy("anchor").agg((F.count(F.lit(1)) > CROWD).alias("crowded"))
@@ -185,8 +187,9 @@ def stretches(docs: DataFrame, part: Column, text: str = "text", key: str = "doc
     wanted = wanted.groupBy("doc_id", "part").agg(F.collect_list("w").alias("wanted"))
     bodies = rows.join(wanted, ["doc_id", "part"]).mapInArrow(_cut_passages, "anchor long, passage long, rank long, body string, size int, crowded boolean")
     found = _repeats(stored(bodies, "bodies"), window)
-    parts = stored(found.groupBy("anchor", "passage").agg(F.collect_set(F.struct("a", "b")).alias("parts")), "repeats")
-    judged = held.join(heads.select("anchor", "passage", F.col("head.doc_id").alias("head")).join(parts, ["anchor", "passage"], "left"), ["anchor", "passage"])
+    parts = found.groupBy("anchor", "passage").agg(F.collect_set(F.struct("a", "b")).alias("parts"))
+    verdicts = stored(heads.select("anchor", "passage", F.col("head.doc_id").alias("head")).join(parts, ["anchor", "passage"], "left"), "verdicts")
+    judged = held.join(verdicts, ["anchor", "passage"])
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
     inside = judged.select("doc_id", "part", "first", F.explode(F.when(F.col("doc_id") > F.col("head"), whole).otherwise(F.col("parts"))).alias("s"))
     return inside.select("doc_id", "part", (F.col("first") + F.col("s.a")).alias("a"), (F.col("first") + F.col("s.b")).alias("b"))
