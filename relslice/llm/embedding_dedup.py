@@ -1,10 +1,13 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
 A rotation is learned on at most FIT vectors so that the signs of the rotated coordinates lose least (iterative
-quantisation after principal components); the signs are a vector's binary code. The code's bits are cut into substrings, and
-this again after each of SHUFFLES rearrangements of the bits; each substring is a table, and two vectors meet where they agree
-on a whole substring. Vectors that meet are compared by the cosine of the original vectors in double precision, and linked from
-THRESHOLD up. All vectors are in the tables; only the rotation comes from a sample. Tests measure recall against brute force.
+quantisation after principal components); random rotations of the same components fill up to BITS signs, a vector's binary
+code. The code's bits are cut into substrings, and this again after further rearrangements of the bits; each substring is a
+table, and two vectors meet where they agree on a whole substring. Substrings grow with the number of vectors, and the number
+of tables with the length of the substrings: there are as many as a pair at THRESHOLD needs to meet with probability RECALL,
+if its signs differ independently. Vectors that meet are compared by the cosine of the original vectors in double precision,
+and linked from THRESHOLD up. All vectors are in the tables; only the rotation and the components come from a sample. Tests measure recall
+against brute force, with the tables of millions of vectors too.
 
 Equal vectors are searched once and counted with their number. A bucket is compared in blocks of at most BLOCK vectors; a
 bucket with more is dealt out as pairs of blocks, so that no task holds a whole bucket. A pair that meets in several tables
@@ -29,8 +32,10 @@ from .components import components
 
 THRESHOLD = 0.9
 FIT = 10_000
-BITS = 64
-SHUFFLES = 3
+BITS = 256
+RECALL = 0.99
+#: What an entry of a table costs, in comparisons of two vectors.
+ENTRY = 2_000
 BLOCK = 2_048
 CELL = 20_000
 ROUNDS = 30
@@ -49,12 +54,44 @@ def learn_rotation(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 5
     return axes @ turn
 
 
-def tables(bits: int, n: int, shuffles: int = SHUFFLES, seed: int = 11) -> list[list[int]]:
-    """Bit positions of each table. Substrings grow with the logarithm of the number of vectors."""
-    size = min(bits, max(8, round(math.log2(max(n, 2)) - 5)))
-    parts = max(2, bits // size)
-    r = np.random.default_rng(seed)
-    return [p.tolist() for _ in range(shuffles) for p in np.array_split(r.permutation(bits), parts)]
+def learn_rotations(x: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """dimensions x bits: rotations of at most 64 columns side by side. The first is learned; the others stay at their random
+    start, as learned ones may settle on the same signs, which would find nothing new."""
+    each = min(x.shape[1], 64)
+    return np.concatenate([learn_rotation(x, each, 0 if k else ROUNDS, seed=5 + k) for k in range(-(-bits // each))], axis=1)[:, :bits]
+
+
+def tables_needed(bits: int, size: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """How many tables of `size` bits a pair at the threshold needs to meet with probability recall.
+
+    Tables share the bits of one code, so the number of bits in which the pair differs is drawn once for all tables.
+    """
+    differs = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    miss = np.array([math.comb(bits, d) * differs**d * (1 - differs) ** (bits - d) for d in range(bits + 1)])
+    apart = np.array([1 - math.comb(bits - d, size) / math.comb(bits, size) for d in range(bits + 1)])
+    if miss[apart == 1].sum() > 1 - recall:
+        raise ValueError(f"no number of tables of {size} bits reaches a recall of {recall}")
+    n = 0
+    while n == 0 or miss.sum() > 1 - recall:
+        miss *= apart
+        n += 1
+    return n
+
+
+def tables(bits: int, n: int, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> list[list[int]]:
+    """Bit positions of each table, for n vectors: of the lengths from 8 bits, the one that costs least at the wanted recall."""
+    best: tuple[float, int, int] = (math.inf, 0, 0)
+    for size in range(8, max(9, math.ceil(math.log2(max(n, 2))))):
+        count = tables_needed(bits, size, threshold, recall)
+        best = min(best, (count * (ENTRY + n / 2**size), size, count))
+        if count * ENTRY > best[0]:
+            break
+    _, size, count = best
+    r, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        turned = r.permutation(bits)
+        out += [turned[a : a + size].tolist() for a in range(0, bits - size + 1, size)]
+    return out[:count]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -65,32 +102,37 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def codes(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """One unsigned 64-bit code per vector; vectors are cut or filled up to the rotation's dimensions."""
+    """One code per vector, in words of 64 bits; vectors are cut or filled up to the rotation's dimensions."""
     v = unit(vectors)
     d = min(v.shape[1], turn.shape[0])
     bits = (v[:, :d] @ turn[:d] >= 0).astype(np.uint8)
-    full = np.zeros((len(v), 64), np.uint8)
+    full = np.zeros((len(v), -(-bits.shape[1] // 64) * 64), np.uint8)
     full[:, : bits.shape[1]] = bits
-    return np.packbits(full, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return np.packbits(full, axis=1, bitorder="little").view(np.uint64)
 
 
-def _masks(parts: list[list[int]]) -> np.ndarray:
-    return np.array([sum(1 << b for b in p) for p in parts], np.uint64)
+def _masks(parts: list[list[int]], words: int) -> np.ndarray:
+    """tables x words: the bits of each table."""
+    return np.array([[sum(1 << b % 64 for b in p if b // 64 == w) for w in range(words)] for p in parts], np.uint64)
 
 
-def _coded(turn: np.ndarray, parts: list[list[int]]):
-    masks = _masks(parts)
+def bucket_keys(code: np.ndarray, parts: list[list[int]]) -> np.ndarray:
+    """vectors x tables: the bits of each table, side by side."""
+    bits = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
+    return np.stack([bits[:, p].astype(np.int64) @ (1 << np.arange(len(p), dtype=np.int64)) for p in parts], axis=1)
 
+
+def _coded(turn: np.ndarray, parts: list[list[int]]):
     def run(found):
         for rows in found:
             if not len(rows):
                 continue
             lengths = rows["embedding"].map(len)
-            out = np.zeros(len(rows), np.uint64)
+            out = np.zeros((len(rows), -(-turn.shape[1] // 64)), np.uint64)
             for d in lengths.unique():
                 at = (lengths == d).to_numpy()
                 out[at] = codes(np.stack(rows["embedding"][at].to_list()), turn)
-            yield rows.assign(code=out.view(np.int64), keys=list((out[:, None] & masks[None]).view(np.int64)))
+            yield rows.assign(code=list(out.view(np.int64)), keys=list(bucket_keys(out, parts)))
 
     return run
 
@@ -104,7 +146,7 @@ def block_links(x: np.ndarray, y: np.ndarray, code_x: np.ndarray, code_y: np.nda
     apart = code_x[i] ^ code_y[j]
     first = np.ones(len(i), bool)
     for mask in earlier:
-        first &= (apart & mask) != 0
+        first &= ((apart & mask) != 0).any(axis=1)
     return i[first], j[first]
 
 
@@ -122,14 +164,14 @@ def _ties(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _compare(parts: list[list[int]], threshold: float):
     """One cell: many buckets, or blocks of them, one after the other."""
-    masks = _masks(parts)
+    masks = _masks(parts, -(-BITS // 64))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys = [rows[c].to_numpy(np.int64) for c in ("vec_id", "block", "right", "left", "bucket", "table")]
         order = np.lexsort(keys)
         ids, block, right, left, bucket, table = (k[order] for k in keys)
         x = unit(np.stack(rows["embedding"].to_list()))[order]
-        code, weight = rows["code"].to_numpy(np.int64).view(np.uint64)[order], rows["copies"].to_numpy(np.int64)[order]
+        code, weight = np.stack(rows["code"].to_list()).astype(np.int64).view(np.uint64)[order], rows["copies"].to_numpy(np.int64)[order]
         new = np.zeros(len(rows), bool)
         new[0] = True
         for k in (right, left, bucket, table):
@@ -174,9 +216,9 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", key: str =
     sample = [r.embedding for r in distinct.select("embedding").orderBy(F.xxhash64("embedding")).limit(FIT).collect()]
     size = max(map(len, sample))
     fitted = unit(np.array([v for v in sample if len(v) == size]))
-    turn = learn_rotation(fitted, min(size, BITS))
-    parts = tables(turn.shape[1], n)
-    coded = stored(distinct.mapInPandas(_coded(turn, parts), "embedding array<double>, vec_id long, copies long, code long, keys array<long>"), "codes")
+    turn = learn_rotations(fitted)
+    parts = tables(turn.shape[1], n, threshold)
+    coded = stored(distinct.mapInPandas(_coded(turn, parts), "embedding array<double>, vec_id long, copies long, code array<long>, keys array<long>"), "codes")
     entries = coded.select("vec_id", F.size("embedding").alias("dims"), F.posexplode("keys").alias("table", "bucket"))
     bucket = ["dims", "table", "bucket"]
     sizes = entries.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))

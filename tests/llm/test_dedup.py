@@ -180,6 +180,39 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def at_cosine(r, n, dims, low, high):
+    """n pairs of unit vectors at cosines between low and high."""
+    a, b = r.normal(size=(2, n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = r.uniform(low, high, (n, 1))
+    return a, cos * a + np.sqrt(1 - cos**2) * b
+
+
+@pytest.mark.parametrize("dims", [3, 16, 64, 200])
+def test_embedding_tables_of_large_inputs_keep_their_recall(dims):
+    a, b = at_cosine(np.random.default_rng(2), 3_000, dims, 0.9, 0.95)
+    turn = embedding_dedup.learn_rotations(np.concatenate([a, b]))
+    x, y = embedding_dedup.codes(a, turn), embedding_dedup.codes(b, turn)
+    for n in (5_000, 100_000, 10**6, 10**7, 10**8):
+        parts = embedding_dedup.tables(turn.shape[1], n)
+        assert n / 2 ** len(parts[0]) < 2_000
+        assert (embedding_dedup.bucket_keys(x, parts) == embedding_dedup.bucket_keys(y, parts)).any(axis=1).mean() >= 0.98
+
+
+@pytest.mark.parametrize("as_if", [10**6, 10**7])
+def test_embedding_links_near_the_threshold_with_tables_of_large_inputs(spark, monkeypatch, as_if):
+    monkeypatch.setattr(embedding_dedup, "tables", lambda bits, n, *rest, f=embedding_dedup.tables: f(bits, as_if, *rest))
+    a, b = at_cosine(np.random.default_rng(6), 300, 64, 0.9, 0.95)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = np.concatenate([a, b])
+    near = (x @ x.T >= 0.9).sum(axis=1) - 1
+    links = np.array([got[i] for i in range(600)])
+    assert (links <= near).all() and links.sum() >= 0.98 * near.sum() >= 0.98 * 590
+
+
 def test_embedding_blocks_cover_a_crowded_bucket(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     r = np.random.default_rng(8)
