@@ -111,8 +111,10 @@ def posteriors(docs: DataFrame, weights: list[float], host: Column, path: Column
     return together.withColumn("p_site", site).select("doc_id", "host", "path", F.col("p").alias("p_document"), "p_site", (1 / (1 + F.exp(-odds))).alias("posterior"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", within: str = "lang") -> DataFrame:
-    """posteriors() and kept (posterior >= KEEP). The path of a document is its host and its value of `within`."""
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", within: str = "lang", row: str | None = None) -> DataFrame:
+    """posteriors() and kept (posterior >= KEEP). The path of a document is its host and its value of `within`.
+
+    Labels are found by key; doc_id in the result is the column `row` instead, where that is given."""
     weights = train(docs, labels, text, key)
-    found = posteriors(docs, weights, F.col(host), F.concat_ws("/", F.col(host), F.col(within)), text, key)
+    found = posteriors(docs, weights, F.col(host), F.concat_ws("/", F.col(host), F.col(within)), text, row or key)
     return found.withColumn("kept", F.col("posterior") >= KEEP)

@@ -88,3 +88,24 @@ def test_pipeline_keeps_null_and_repeated_ids_defined(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted(str(r.doc_id) for r in out)[0] == "1" and len([r for r in out if r.doc_id == 1]) == 1
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    good, bad = "a plain line of words. " * 5, "$$$ %%% &&& " * 10
+    rows = [(i, good, "en", "clean", 7) for i in range(100)] + [(1000 + i, bad, "en", "junk", 7) for i in range(100)]
+    odd = [(7000, good, "en", "clean", 7), (7000, bad, "en", "junk", 7), (None, good, "en", "clean", 7), (None, bad, "en", "junk", 7)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(i < 1000)) for i, *_ in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.where("doc_id is null or doc_id = 7000").collect()), key=str) == sorted([odd[0], odd[2]], key=str)
+    assert out.count() == 102
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark, tmp_path):
+    said = ["the first text of some words", "a second one that differs much", "third words have nothing in common here", "and then a fourth text comes too"]
+    rows = [(1, said[0]), (1, said[1]), (2, said[1]), (None, said[2]), (None, said[2]), (None, said[3]), (3, said[0]), (1, said[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, said[0]), (1, said[1]), (None, said[2]), (None, said[3])], key=str)
