@@ -1,8 +1,9 @@
 """A compressed full-text index over sequences of word numbers, searched backwards for many queries at once.
 
-The Burrows-Wheeler transform of the sequences is kept in a wavelet matrix of packed bits with counts per 64 bits. All
-queries advance together: a step is one array operation over all of them. Sequences are given in rising order of rank (the
-document they come from), so the smallest sequence number in an interval tells whether a match lies in an earlier document.
+The Burrows-Wheeler transform of the sequences lies in a wavelet matrix: a level a bit, bits packed, with two small counters
+for ranks. A second wavelet matrix over the sequences' numbers answers which is the smallest in an interval; sequences are
+given in rising order of rank (the document they come from), so that tells whether a match lies in an earlier document. All
+queries advance together: a step is one array operation over all of them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 SEPARATOR = 1
+LOOK = 8  # steps between two looks at the documents of a match
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -28,78 +30,97 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
+class WaveletMatrix:
+    """Numbers from 0 up, in as many bits as the largest needs, plus 20 bits of counters for 64 bits of each level."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.bits = max(1, int(values.max()).bit_length()) if n else 1
+        self.words, self.wide, self.near, self.zeros = [], [], [], []
+        now = values
+        for level in range(self.bits - 1, -1, -1):
+            bit = ((now >> level) & 1).astype(np.uint8)
+            padded = np.zeros((n // 1024 + 1) * 1024, np.uint8)
+            padded[:n] = bit
+            words = np.packbits(padded, bitorder="little").view(np.uint64)
+            ones = np.bitwise_count(words).reshape(-1, 16).astype(np.uint32)
+            self.words.append(words)
+            self.wide.append(np.concatenate([[0], np.cumsum(ones.sum(axis=1))[:-1]]).astype(np.uint32))  # ones before 1024 bits
+            self.near.append((np.cumsum(ones, axis=1) - ones).astype(np.uint16).reshape(-1))  # ones before 64 bits, within 1024
+            self.zeros.append(int(n - bit.sum()))
+            now = np.concatenate([now[bit == 0], now[bit == 1]])
+
+    def ones(self, level: int, place: np.ndarray) -> np.ndarray:
+        """Ones of a level before each place."""
+        at = place >> 6
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.wide[level][at >> 4].astype(np.int64) + self.near[level][at] + np.bitwise_count(self.words[level][at] & below)
+
+    def follow(self, value: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where the run of each value's occurrences ends on the last level, counting those before its place."""
+        for level in range(self.bits):
+            ones = self.ones(level, place)
+            up = (value >> (self.bits - 1 - level)) & 1
+            place = np.where(up == 1, self.zeros[level] + ones, place - ones)
+        return place
+
+    def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest number in each interval [low, high); none may be empty."""
+        out = np.zeros(len(low), np.int64)
+        for level in range(self.bits):
+            ones_low, ones_high = self.ones(level, low), self.ones(level, high)
+            up = (high - ones_high) == (low - ones_low)  # no zero in it
+            low = np.where(up, self.zeros[level] + ones_low, low - ones_low)
+            high = np.where(up, self.zeros[level] + ones_high, high - ones_high)
+            out = out * 2 + up
+        return out
+
+
 class FMIndex:
     def __init__(self, sequences: list[np.ndarray], depth: int):
         """sequences hold word numbers from 2 up, in rising order of rank; depth is the longest query."""
         n = sum(map(len, sequences)) + len(sequences)
         text = np.full(n, SEPARATOR, np.int64)
-        owner = np.empty(n, np.int32)
+        owner = np.empty(n, np.int64)
         at = 0
         for number, s in enumerate(sequences):
             text[at : at + len(s)] = s
             owner[at : at + len(s) + 1] = number
             at += len(s) + 1
         order = suffix_array(text, depth + 1)
-        bwt = text[order - 1]
         self.n, self.size = n, int(text.max()) + 1
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.size))]).astype(np.int64)
-        self.bits = max(1, int(self.size - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
-        now = bwt
-        for level in range(self.bits - 1, -1, -1):
-            bit = ((now >> level) & 1).astype(np.uint8)
-            padded = np.zeros((n // 64 + 1) * 64, np.uint8)
-            padded[:n] = bit
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.words.append(words)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words))[:-1]]).astype(np.int64))
-            self.zeros.append(int(n - bit.sum()))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
-        self.least = [owner[order]]  # smallest owner of runs of 1, 2, 4 ... suffixes
-        while 2 ** len(self.least) <= n:
-            last, half = self.least[-1], 2 ** (len(self.least) - 1)
-            self.least.append(np.minimum(last[:-half], last[half:]))
-
-    def _map(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        for level in range(self.bits):
-            words = self.words[level]
-            at = place >> 6
-            ones = self.counts[level][at] + np.bitwise_count(words[at] & ((np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)))
-            up = (symbol >> (self.bits - 1 - level)) & 1
-            place = np.where(up == 1, self.zeros[level] + ones, place - ones)
-        return place
+        self.symbols, self.owners = WaveletMatrix(text[order - 1]), WaveletMatrix(owner[order])
+        every = np.arange(self.size)
+        before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.size))[:-1]])
+        self.shift = before - self.symbols.follow(every, np.zeros(self.size, np.int64))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of symbol followed by what the intervals [low, high) match."""
-        ends = self._map(np.concatenate([symbol] * 3), np.concatenate([low, high, np.zeros_like(low)]))
-        m = len(low)
-        start = self.first[symbol] - ends[2 * m :]
-        return ends[:m] + start, ends[m : 2 * m] + start
+        """Intervals of symbol followed by what the intervals [low, high) match. Symbols that the index lacks match nothing."""
+        known = symbol < self.size
+        symbol = np.where(known, symbol, 0)
+        ends = self.symbols.follow(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.shift[symbol], 2)
+        return ends[: len(low)], np.where(known & (symbol > 0), ends[len(low) :], ends[: len(low)])
 
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Smallest sequence number in intervals that are not empty."""
-        step = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int32)
-        for k in np.unique(step):
-            at = step == k
-            table = self.least[k]
-            out[at] = np.minimum(table[low[at]], table[high[at] - (1 << int(k))])
-        return out
+        return self.owners.smallest(low, high)
 
 
-def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[int], sequences: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each query (a sequence number): which of its windows also occur in a sequence of smaller rank.
+def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[np.ndarray], mine: np.ndarray, window: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Matching statistics of each query (rank mine) in sequences of smaller rank (ranks, in the index's order).
 
-    A window is matched from its end. Where the match breaks off at a place p, no window that holds what lies from there to the
-    end can occur, so the search goes on with the window that begins at p. After a hit a longer stretch is tried at once, as
-    all windows inside a stretch that occurs occur too.
+    Gives, per query, which of its windows occur there, and at the ends of stretches that were tried, the length matched
+    (-1: not tried, as the outcome followed from another try). A stretch is matched from its end. Where the match breaks off
+    at a place p, no window that holds what lies from there to the end can occur, so the search goes on with the window
+    after p. After a hit a longer stretch is tried at once, as all windows inside a stretch that occurs occur too. The
+    documents of a match are looked at every LOOK words; where they are too late, p is taken as the last place reached.
     """
-    m = np.array([len(sequences[q]) for q in queries])
-    table = np.zeros((len(queries), int(m.max())), np.int64)
+    m = np.array([len(q) for q in queries], np.int64)
+    table = np.zeros((len(queries), int(m.max(initial=1))), np.int64)
     for i, q in enumerate(queries):
-        table[i, : m[i]] = sequences[q]
+        table[i, : m[i]] = q
     found = [np.zeros(max(0, k - window + 1), bool) for k in m.tolist()]
-    mine = ranks[np.array(queries)]
+    lengths = np.full((len(queries), table.shape[1] + 1), -1, np.int64)
     start = np.zeros(len(queries), np.int64)
     reach = np.ones(len(queries), np.int64)  # windows that a try covers
     end = np.minimum(m, window)
@@ -107,26 +128,28 @@ def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[int], seque
     live = np.flatnonzero(m >= window)
     while len(live):
         lo, hi = index.extend(table[live, place[live] - 1], low[live], high[live])
+        place[live] -= 1
         good = lo < hi
-        where = np.flatnonzero(good)
-        good[where] = ranks[index.smallest(lo[where], hi[where])] < mine[live[where]]
-        on = live[good]
-        low[on], high[on] = lo[good], hi[good]
-        place[on] -= 1
-        hit = on[place[on] == start[on]]
+        place[live[~good]] += 1  # the match starts after the word that failed
+        low[live], high[live] = lo, hi
+        look = np.flatnonzero(good & (((end[live] - place[live]) % LOOK == 0) | (place[live] == start[live])))
+        if len(look):
+            late = look[ranks[index.smallest(lo[look], hi[look])] >= mine[live[look]]]
+            good[late] = False
+            place[live[late]] += 1  # at most so many words match
+        done = live[~good]
+        hit = live[good & (place[live] == start[live])]
+        lengths[hit, end[hit]], lengths[done, end[done]] = end[hit] - place[hit], end[done] - place[done]
         for i in hit.tolist():
             found[i][start[i] : end[i] - window + 1] = True
-        missed = live[~good]
-        long = missed[reach[missed] > 1]
-        short = missed[reach[missed] == 1]
+        long, short = done[reach[done] > 1], done[reach[done] == 1]
         start[hit] = end[hit] - window + 1
         reach[hit] = np.minimum(reach[hit] * 4, 64)
-        start[short] = place[short]
+        start[short] = np.maximum(place[short], start[short] + 1)
         reach[long] = reach[long] // 4
-        again = np.concatenate([hit, missed])
+        again = np.concatenate([hit, done])
         end[again] = np.minimum(start[again] + window - 1 + reach[again], m[again])
-        short_of = again[end[again] - start[again] == window]
-        reach[short_of] = 1
+        reach[again[end[again] - start[again] == window]] = 1
         place[again], low[again], high[again] = end[again], 0, index.n
         live = live[start[live] + window <= m[live]]
-    return found
+    return found, [row[: k + 1] for row, k in zip(lengths, m.tolist())]

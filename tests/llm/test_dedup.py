@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 
 from relslice.llm import embedding_dedup, multiset_hash, simhash, substring_dedup
 from relslice.llm.components import components
-from relslice.llm.fm_index import FMIndex, earlier_windows
+from relslice.llm.fm_index import FMIndex, WaveletMatrix, earlier_windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,16 +126,49 @@ def brute_repeats(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window, crowd", [(6, 2_000), (10, 1)])
-def test_repeats(spark, monkeypatch, window, crowd):
-    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
-    monkeypatch.setattr(substring_dedup, "GRAM", 3)
+@pytest.fixture
+def short_grams(monkeypatch):
     monkeypatch.setattr(substring_dedup, "anchors", lambda w, size, f=substring_dedup.anchors: f(w, size, 3))
-    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 500)
+
+
+def kept_digests(docs, **options):
+    got = substring_dedup.remove_repeats(docs, **options).select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+@pytest.mark.parametrize("window, shard_words", [(6, 500), (10, 20)])  # 20 words a shard: anchors are split over blocks
+def test_repeats(spark, short_grams, window, shard_words):
     rows = list(enumerate(texts(150, 2))) + [(500, None), (501, ""), (502, "a " * 300), (503, "a " * 200), (None, texts(3, 2)[0]), (7, texts(150, 2)[90])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stretches", F.lit(1)).withColumn("part", F.lit(2))
-    got = substring_dedup.remove_repeats(df, window=window).select("doc_id", "n_words", "n_removed", "kept_sha256")
-    assert sorted(map(tuple, got.collect()), key=str) == brute_repeats(rows, window)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("stretches", F.lit(1)).withColumn("part", F.lit(2)).withColumn("kept_text", F.lit("own"))
+    assert kept_digests(df, window=window, shard_words=shard_words) == brute_repeats(rows, window)
+    out = substring_dedup.remove_repeats(df, window=window)
+    assert out.columns == [*df.columns, "repeats"] and {r.kept_text for r in out.collect()} == {"own"}
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_repeats_of_one_common_passage(spark, short_grams, parts):
+    """Many documents with a passage in common and words of their own around it; some hold a part of it only."""
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        a, b = (r.randrange(0, 8), r.randrange(22, 31)) if i % 5 == 0 else (0, 30)
+        rows.append((i, " ".join([*(f"x{i}.{k}" for k in range(9)), *common[a:b], *(f"y{i}.{k}" for k in range(9))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert kept_digests(df, window=10) == brute_repeats(rows, 10)
+
+
+def test_a_common_passage_leaves_few_pieces(spark):
+    """What reaches the shards does not follow the number of documents that hold a passage."""
+    r, sizes = random.Random(1), {}
+    common = " ".join(f"c{i}" for i in range(80))
+    for n in (300, 1_500):
+        rows = [(i, " ".join(str(r.random()) for _ in range(60)) + f" {common} " + " ".join(str(r.random()) for _ in range(60))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = substring_dedup.stretches(docs, F.lit(0).cast("long")).collect()
+        assert len(got) == n - 1 and all(min(s.a for s in row.stretches) == 60 and max(s.b for s in row.stretches) == 140 for row in got)
+        sizes[n] = max(len(row.stretches) for row in got)
+    assert sizes[300] == sizes[1_500] <= 10
 
 
 def test_repeats_of_no_rows(spark):
@@ -143,23 +176,43 @@ def test_repeats_of_no_rows(spark):
     assert substring_dedup.remove_repeats(df).count() == 0
 
 
+@pytest.mark.parametrize("a, b, n", [("", "", 0), ("a ", "a ", 1), ("ab c ", "ab d ", 1), ("ab c ", "abc ", 0), ("x y ", "x y z ", 2)])
+def test_common_words(a, b, n):
+    assert substring_dedup.common_words(a, b) == n == substring_dedup.common_words(b, a)
+
+
 def test_backward_search_against_a_scan():
     r = np.random.default_rng(1)
     for _ in range(15):
-        window, letters = int(r.integers(3, 9)), int(r.integers(2, 5))
-        base = [r.integers(2, 2 + letters, int(r.integers(window, 40))) for _ in range(10)]
+        window, letters = int(r.integers(3, 20)), int(r.integers(2, 5))
+        base = [r.integers(2, 2 + letters, int(r.integers(window, 60))) for _ in range(10)]
         sequences = []
         for _ in range(30):
             one = base[r.integers(10)].copy()
             one[r.integers(len(one))] = 2 + r.integers(letters + 1)
             sequences.append(one.astype(np.int64))
         ranks = np.sort(r.integers(0, 20, 30))
-        queries = [i for i in range(30) if ranks[i] > ranks[0]]
-        found = earlier_windows(FMIndex(sequences, 80), ranks, queries, sequences, window)
-        for q, flags in zip(queries, found):
-            for s, flag in enumerate(flags):
-                wanted = sequences[q][s : s + window].tolist()
-                assert flag == any(ranks[j] < ranks[q] and sequences[j][t : t + window].tolist() == wanted for j in range(30) for t in range(len(sequences[j]) - window + 1))
+        asking = [i for i in range(30) if ranks[i] > ranks[0]]
+        mine = ranks[asking]
+        asked = [np.where(r.random(len(sequences[i])) < 0.02, 0, sequences[i]) for i in asking]  # 0: a word that the index lacks
+        found, lengths = earlier_windows(FMIndex(sequences, 80), ranks, asked, mine, window)
+
+        def occurs(part, before):
+            return any(ranks[j] < before and s[t : t + len(part)].tolist() == part for j, s in enumerate(sequences) for t in range(len(s) - len(part) + 1))
+
+        for q, rank, flags, known in zip(asked, mine, found, lengths):
+            assert flags.tolist() == [occurs(q[s : s + window].tolist(), rank) for s in range(len(flags))]
+            for end in np.flatnonzero(known >= 0)[:3]:
+                n = int(known[end])
+                assert n == 0 or n >= window or not occurs(q[end - n - 1 : end].tolist(), rank) or n + 1 < window
+
+
+def test_smallest_number_of_an_interval():
+    r = np.random.default_rng(3)
+    values = r.integers(0, 70, 3_000)
+    low = r.integers(0, 2_999, 500)
+    high = low + r.integers(1, 3_001 - low)
+    assert WaveletMatrix(values).smallest(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high)]
 
 
 def test_embeddings(spark):
