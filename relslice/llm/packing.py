@@ -1,12 +1,15 @@
-"""Best-fit packing of documents into sequences of a fixed length, improved by a swap-based local search.
+"""Packing of documents into sequences of a fixed length by a swap-based local search.
 
 Documents longer than a sequence are cut into full pieces and a rest; nothing else is cut. Pieces are dealt at random into
-groups of about GROUP pieces; each group is packed in one task: best fit in falling order of length, then a local search
-over bins that are not full. A step moves a piece, exchanges one for one, or two for one, always into the fuller bin, so the
-sum of squared fills rises with each step; a bin that loses its last piece goes. The search ends when the group has as few
-bins as its tokens allow, or no step is left. Each group leaves about one bin that is not full, in thousands of bins.
-
-Nulls: a null text counts as empty; its only token is the end id. Repeated rows are packed each on its own.
+groups of about GROUP pieces; each group is packed in one task. It starts with the pieces in order of arrival, each where it
+leaves the least room. Then bins give to the others, the emptiest first: a bin moves a piece, exchanges one for one, or two
+for one, always so that the other bin, which is no emptier, gets fuller. That raises the sum of squared fills with every step,
+until the bin is empty and goes, or has no step left. Passes over all bins go on until the group has as few bins as its
+tokens allow, or two whole passes in a row have emptied none; there is no limit on steps or passes.
+Each group leaves about one bin that is not full, in about four thousand bins.
+
+Nulls: a null text counts as empty; its only token is the end id. Repeated rows are packed each on its own and dealt to groups
+one by one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,135 +28,156 @@ from .tokens import batches, encoder
 
 LENGTH = 4096
 GROUP = 16_000
-STEPS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of positions in lengths: each piece, longest first, goes where it leaves the least room."""
+def in_order(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each piece: pieces as they come, each where it leaves the least room."""
     free: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by room left
-    rooms = 0  # bit r: some bin has room r
-    bins: list[list[int]] = []
-    for at in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        size = lengths[at]
+    rooms, out, n = 0, [], 0  # bit r of rooms: some bin has room r
+    for size in lengths.tolist():
         fitting = rooms >> size
         if fitting:
             room = size + (fitting & -fitting).bit_length() - 1
             chosen = free[room].pop()
             if not free[room]:
                 rooms &= ~(1 << room)
-            bins[chosen].append(at)
         else:
-            room, chosen = capacity, len(bins)
-            bins.append([at])
+            room, chosen, n = capacity, n, n + 1
         if room > size:
             free[room - size].append(chosen)
             rooms |= 1 << (room - size)
-    return bins
-
-
-def _step(giver: list[int], taker: list[int], room: int, lengths: list[int]) -> tuple[list[int], list[int]] | None:
-    """Pieces to move from giver to taker and back that fill taker most; None if nothing fills it more."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    mine = sorted(giver, key=lambda i: lengths[i])
-    for i in mine:  # a move
-        if best[0] < lengths[i] <= room:
-            best = (lengths[i], [i], [])
-    sizes = np.array([lengths[i] for i in mine])
-    for out in taker:
-        low, high = lengths[out], lengths[out] + room
-        at = int(np.searchsorted(sizes, high, side="right")) - 1  # one for one
-        if at >= 0 and sizes[at] - low > best[0]:
-            best = (int(sizes[at] - low), [mine[at]], [out])
-        a, b = 0, len(mine) - 1  # two for one
-        while a < b:
-            both = int(sizes[a] + sizes[b])
-            if both > high:
-                b -= 1
-            else:
-                if both - low > best[0]:
-                    best = (both - low, [mine[a], mine[b]], [out])
-                a += 1
-    return (best[1], best[2]) if best[0] else None
-
-
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
-    """Local search: the emptiest bin gives to fuller ones while the sum of squared fills rises."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = len([b for b in bins if b])
-    stuck: set[int] = set()
-    while alive > least and steps > 0:
-        givers = [i for i in range(len(bins)) if bins[i] and fill[i] < capacity and i not in stuck]
-        if not givers:
-            break
-        giver = min(givers, key=lambda i: fill[i])
-        moved = False
-        for taker in sorted((i for i in range(len(bins)) if bins[i] and i != giver and fill[giver] <= fill[i] < capacity), key=lambda i: -fill[i]):
-            steps -= 1
-            found = _step(bins[giver], bins[taker], capacity - fill[taker], lengths)
-            if found:
-                there, back = found
-                bins[giver] = [i for i in bins[giver] if i not in there] + back
-                bins[taker] = [i for i in bins[taker] if i not in back] + there
-                change = sum(lengths[i] for i in there) - sum(lengths[i] for i in back)
-                fill[giver] -= change
-                fill[taker] += change
-                moved = True
-                if not bins[giver]:
-                    alive -= 1
-                    break
-            if steps <= 0:
-                break
-        if moved:
-            stuck.clear()
-        else:
-            stuck.add(giver)
-    return [b for b in bins if b]
-
-
-def pack(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
-    """Bins of positions in lengths, as few as the search finds."""
-    return improve(best_fit(lengths, capacity), lengths, capacity)
+        out.append(chosen)
+    return np.array(out, np.int64)
+
+
+class Search:
+    """The state of a local search: sizes of pieces, the bin of each, and how full bins are."""
+
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int):
+        self.sizes, self.bins, self.capacity = sizes.astype(np.int64), bins.astype(np.int64), capacity
+        self.fill = np.bincount(bins, weights=sizes, minlength=1).astype(np.int64)
+        self.least = -(-int(self.sizes.sum()) // capacity)
+        self.steps = {"move": 0, "one for one": 0, "two for one": 0}
+
+    def run(self) -> np.ndarray:
+        """The bin of each piece after the last pass."""
+        alive, idle = int((self.fill > 0).sum()), 0
+        while idle < 2:
+            emptied = 0
+            for giver in np.argsort(self.fill, kind="stable").tolist():
+                if alive - emptied <= self.least:
+                    return self.bins
+                if 0 < self.fill[giver] < self.capacity:
+                    self._give(giver)
+                    emptied += self.fill[giver] == 0
+            alive -= emptied
+            idle = 0 if emptied else idle + 1
+        return self.bins
+
+    def _give(self, giver: int) -> None:
+        """Steps out of one bin, until it is empty or has none left. No bin that takes is emptier than it."""
+        others = self.fill >= self.fill[giver]
+        others[giver] = False
+        room = np.where(others, self.capacity - self.fill, 0)
+        near = np.flatnonzero(room[self.bins] > 0)  # pieces of bins that may take
+        mine = np.flatnonzero(self.bins == giver).tolist()
+        while mine:
+            mine.sort(key=lambda i: -self.sizes[i])
+            if not (self._move(mine, giver, room) or self._exchange(mine, giver, room, near)):
+                return
+
+    def _shift(self, giver: int, taker: int, by: int, room: np.ndarray) -> None:
+        self.fill[giver] -= by
+        self.fill[taker] += by
+        room[taker] -= by
+
+    def _move(self, mine: list[int], giver: int, room: np.ndarray) -> bool:
+        """The largest piece that fits anywhere goes to where it leaves the least room."""
+        most = int(room.max())
+        for i in mine:
+            size = int(self.sizes[i])
+            if size <= most:
+                taker = int(np.where(room >= size, room, self.capacity + 1).argmin())
+                self.bins[i] = taker
+                mine.remove(i)
+                self._shift(giver, taker, size, room)
+                self.steps["move"] += 1
+                return True
+        return False
+
+    def _exchange(self, mine: list[int], giver: int, room: np.ndarray, near: np.ndarray) -> bool:
+        """The exchange of one piece, or else of two, for one that takes most from the giver."""
+        at = near[(self.bins[near] != giver) & (room[self.bins[near]] > 0)]
+        if not len(at):
+            return False
+        theirs = self.sizes[at]
+        limit = theirs + room[self.bins[at]]
+        for kind, given in (("one for one", [[i] for i in mine]), ("two for one", [[i, j] for k, i in enumerate(mine) for j in mine[k + 1 :]])):
+            best, chosen = 0, None
+            for out in given:
+                size = int(self.sizes[out].sum())
+                if size <= best:
+                    continue
+                gain = np.where(size <= limit, size - theirs, 0)
+                k = int(gain.argmax())
+                if gain[k] > best:
+                    best, chosen = int(gain[k]), (out, int(at[k]))
+            if chosen:
+                out, back = chosen
+                taker = int(self.bins[back])
+                self.bins[out] = taker
+                self.bins[back] = giver
+                for i in out:
+                    mine.remove(i)
+                mine.append(back)
+                self._shift(giver, taker, best, room)
+                self.steps[kind] += 1
+                return True
+        return False
+
+
+def pack(lengths: np.ndarray, capacity: int = LENGTH) -> np.ndarray:
+    """The bin of each piece, as few bins as the search finds."""
+    return Search(lengths, in_order(lengths, capacity), capacity).run()
 
 
 def _cut(path: str, end: int, capacity: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        width = encode.dtype.itemsize
-        tail = np.array([end], encode.dtype).tobytes()
         for batch in found:
-            ids = batch.column("doc_id").to_pylist()
+            keys = batch.column("doc_id").to_pylist()
             at = 0
-            for run_of in batches(batch.column("text").to_pylist()):
-                rows: list[tuple] = []
-                for raw in encode.encode(run_of):
-                    raw += tail
-                    for k, a in enumerate(range(0, len(raw), capacity * width)):
-                        part = raw[a : a + capacity * width]
-                        wide = np.frombuffer(part, encode.dtype).astype("<u4")
-                        rows.append((ids[at], k, a // width, len(wide), zlib.crc32(wide.tobytes())))
-                    at += 1
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"]
-                )
+            for part in batches(batch.column("text").to_pylist()):
+                ids, lengths = encode.encode(part, end)
+                wide = memoryview(ids.astype("<u4").tobytes())
+                pieces = -(-lengths // capacity)  # of each text
+                of = np.repeat(np.arange(len(part)), pieces)
+                number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = number * capacity
+                length = np.minimum(lengths[of] - start, capacity)
+                first = (np.cumsum(lengths) - lengths)[of] + start
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip((4 * first).tolist(), (4 * (first + length)).tolist())]
+                ids_of = pa.array(keys[at : at + len(part)], pa.int64()).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([ids_of, pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                at += len(part)
 
     return run
 
 
 def _pack_group(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        lengths = rows["length"].tolist()
-        sequence = np.zeros(len(rows), np.int64)
+        rows = rows.sort_values(["ids_crc32", "doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
+        lengths = rows["length"].to_numpy(np.int64)
+        bins = pack(lengths, capacity)
+        order = np.argsort(bins, kind="stable")
+        sizes = lengths[order]
+        until = np.cumsum(sizes)
+        new = np.flatnonzero(np.diff(bins[order], prepend=-1))
+        begin = np.repeat((until - sizes)[new], np.diff(np.append(new, len(order))))
         offset = np.zeros(len(rows), np.int64)
-        for number, members in enumerate(pack(lengths, capacity)):
-            at = 0
-            for i in members:
-                sequence[i], offset[i] = number, at
-                at += lengths[i]
-        rows["sequence_id"] = rows["pack_group"].to_numpy(np.int64) * 2**32 + sequence
+        offset[order] = until - sizes - begin
+        rows["sequence_id"] = rows["pack_group"].to_numpy(np.int64) * 2**32 + bins
         rows["offset"] = offset
         return rows.drop(columns="pack_group")
 
@@ -161,9 +185,9 @@ def _pack_group(capacity: int):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32)."""
+    """Adds sequence_id and offset to stored rows of (doc_id, piece, start, length, ids_crc32)."""
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(_pack_group(capacity), PIECES + ", sequence_id long, offset long")
 
 

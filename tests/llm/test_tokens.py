@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,9 +17,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from relslice.llm import bpe_codec, chat, packing, token_file
+from relslice.llm import bpe_codec, chat, packing, queries, token_file, tokens
 from relslice.llm.tokens import encoder
 
+FOLDER = Path("/root/testdata/sf0.001")
 RANKS, BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 ODD = [None, "", " ", "a", "  two  blanks ", "tab\tand\nbreak\n\nend\n", "I'm don't 'S they're x'", "é É́ ﬁ ß Σίσυφος", "①2③ x①", "<|endoftext|> <s>", "\x1cfs\x1f", "a\0b", "word " * 400, "x" * 3000, "漢字かな交じり", "🙂 👩‍👩‍👧"]
 DOCS = "doc_id long, text string, piece string, tokens int"
@@ -64,7 +66,17 @@ def test_round_trip_of_repeated_ids_and_no_rows(spark):
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_pieces_encode_like_whole_texts(path, texts):
     one, each = encoder(path), library(path)
-    assert [np.frombuffer(b, one.dtype).tolist() for b in one.encode(texts)] == [each(t) for t in texts]
+    ids, lengths = one.encode(texts, 7)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*each(t), 7] for t in texts]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_forgotten_pieces_come_back_the_same(path, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 6)
+    one, each = tokens.PieceEncoder(path), library(path)
+    for texts in (["the cat sat on the mat", "x" * 90 + " y"], ["the dog\nsat", None, "a  b"], ["on the mat the cat", ""]):
+        ids, lengths = one.encode(texts, 3)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [[*each(t), 3] for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -75,6 +87,10 @@ def test_segments_decode_to_their_ids(ids, spiked):
     body = token_file.encode_ids(ids, np.array([3, 9]), lengths)
     got = token_file.decode_ids(body)
     assert got[0].tolist() == ids.tolist() and got[1].tolist() == [3, 9] and got[2].tolist() == lengths.tolist()
+    blocks = -(-len(ids) // token_file.BLOCK)
+    assert [i for b in range(blocks) for i in token_file.read_block(body, b).tolist()] == ids.tolist()
+    with pytest.raises(IndexError):
+        token_file.read_block(body, blocks)
 
 
 def test_segments_are_smaller_than_their_ids():
@@ -83,7 +99,7 @@ def test_segments_are_smaller_than_their_ids():
 
 
 def test_token_file(spark, monkeypatch):
-    monkeypatch.setattr(token_file, "DOCS_PER_RANGE", 3)
+    monkeypatch.setattr(token_file, "SEGMENT", 300)
     got = {r.doc_id: r for r in token_file.read_tokens(token_file.write_tokens(docs(spark), BYTES)).collect()}
     each, at = library(BYTES), 0
     for i, text in enumerate(ODD):
@@ -95,6 +111,40 @@ def test_token_file(spark, monkeypatch):
     assert [r.start for r in token_file.read_tokens(token_file.write_tokens(ties, BYTES)).orderBy(F.col("start")).collect()] == [0, 2, 4]
 
 
+def test_token_file_of_extreme_far_null_and_repeated_ids(spark):
+    rows = [(-(2**63) + 5, "low"), (2**63 - 5, "high"), (2**60, "far off"), *[(i, f"text {i}") for i in range(3_000)], *[(None, "same")] * 1_500, *[(7, "again and again")] * 1_500]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        segments = token_file.write_tokens(df, BYTES)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spread = [r.n for r in segments.groupBy("range").agg(F.sum("n_ids").alias("n")).collect()]
+    assert max(spread) < 0.5 * sum(spread)
+    got = token_file.read_tokens(segments).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="the given tables are not here")
+def test_token_queries_over_whole_tables(spark, reference):
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    seven, each, at = {r.doc_id: r for r in queries.op7_token_file(spark, str(FOLDER)).collect()}, library(BYTES), 0
+    for i in sorted(rows):
+        ids = [*each(rows[i]), 0]
+        assert (seven[i].start, seven[i].n_tokens, seven[i].ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    nine, each = {(r.doc_id, r.piece): r for r in queries.op9_packing(spark, str(FOLDER)).collect()}, library(WORDS)
+    cut = {(i, at // 4096): ids[at : at + 4096] for i, text in rows.items() for ids in [[*each(text), 1]] for at in range(0, len(ids), 4096)}
+    assert {k: (r.start, r.length, r.ids_crc32) for k, r in nine.items()} == {(i, k): (k * 4096, len(ids), crc(ids)) for (i, k), ids in cut.items()}
+    assert len({r.sequence_id for r in nine.values()}) <= math.ceil(sum(map(len, cut.values())) / 4096) + 1
+    two = {r.doc_id: r for r in queries.op2_bpe_round_trip(spark, str(FOLDER)).collect()}
+    for i, text in rows.items():
+        ids = np.array(reference.encode_ordinary(text), "<u4")
+        assert (two[i].n_tokens, two[i].ids_sha256, two[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_packing(spark):
     got = packing.pack_documents(docs(spark), WORDS, capacity=64).collect()
     each = library(WORDS)
@@ -120,16 +170,36 @@ def test_packing(spark):
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_local_search_never_loses_a_piece_or_adds_a_bin(lengths):
-    first = packing.best_fit(lengths, 100)
-    bins = packing.improve([list(b) for b in first], lengths, 100)
-    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
-    assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
-    assert math.ceil(sum(lengths) / 100) <= len(bins) <= len(first)
+    sizes = np.array(lengths)
+    first = packing.in_order(sizes, 100)
+    bins = packing.Search(sizes, first, 100).run()
+    fills = np.bincount(bins, weights=sizes)
+    assert fills.sum() == sizes.sum() and fills.max() <= 100 and (fills**2).sum() >= (np.bincount(first, weights=sizes) ** 2).sum()
+    assert math.ceil(sum(lengths) / 100) <= len(set(bins.tolist())) <= len(set(first.tolist()))
 
 
 def test_local_search_empties_a_bin_by_exchanges():
-    lengths = [6, 3, 5, 4, 2]  # 6 3 | 5 4 | 2 fits into two bins of 10 by exchanging 3 and 4
-    assert len(packing.improve([[0, 1], [2, 3], [4]], lengths, 10)) == 2
+    sizes = np.array([6, 3, 5, 4, 2])  # 6 3 | 5 4 | 2 fits into two bins of 10 by exchanging 3 and 4
+    assert len(set(packing.Search(sizes, np.array([0, 0, 1, 1, 2]), 10).run().tolist())) == 2
+
+
+def test_swaps_lower_the_number_of_bins_of_a_table(spark):
+    lengths = np.random.default_rng(2).permutation(np.repeat([2900, 1196, 2500, 1596, 800], 300))
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), i) for i, n in enumerate(lengths)], packing.PIECES)
+    start = len(set(packing.in_order(lengths, 4096).tolist()))
+    rows = packing.pack_pieces(pieces.coalesce(1)).collect()
+    by = {r.doc_id: r.sequence_id for r in rows}
+    assert len(set(by.values())) < start - 5
+    search = packing.Search(lengths, packing.in_order(lengths, 4096), 4096)
+    search.run()
+    assert search.steps["one for one"] > 10
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    pieces = spark.createDataFrame([(1, 0, 0, 100, 5)] * 4_000, packing.PIECES).repartition(4)
+    rows = packing.pack_pieces(pieces, group=1_000).collect()
+    groups = [r.sequence_id >> 32 for r in rows]
+    assert len(rows) == 4_000 and len(set(groups)) == 4 and max(map(groups.count, set(groups))) < 1_500
 
 
 PARTS = "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,tokens:int>>"
