@@ -7,9 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_AT_ONCE = 1_000
 
@@ -35,13 +33,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which has to be set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="relslice-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set; intermediate tables need a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relslice-"))  # driver and executors are one process
+    return spark.sparkContext.getCheckpointDir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -52,15 +51,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def id_bucket(df: DataFrame, key: str, per_bucket: int) -> Column:
-    """An expression that puts rows into ranges of about per_bucket keys each, in key order.
-
-    Only the smallest key, the largest key and the row count reach the driver. A null key goes to range -1.
-    """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if low is None:
-        return F.lit(-1).cast("long")
-    ranges = max(1, -(-n // per_bucket))
-    width = max(1, -(-(high - low + 1) // ranges))
-    return F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))

@@ -1,16 +1,21 @@
 """Homomorphic multiset hash of documents, in DataFrame functions only.
 
 A document is the multiset of its paragraphs (lines). Each paragraph is hashed to a wide vector, and a document's fingerprint
-is the sum of its paragraphs' vectors: 16 lanes modulo 2^32 that hash the paragraph as a whole, and 128 lanes modulo 2^16 that
-count the hash bits of its neighbouring word pairs. Sums do not depend on order, and a paragraph is added or taken away by
-adding or subtracting its vector (combine()). Equal multisets have equal fingerprints.
+is the sum of its paragraphs' vectors: 16 lanes modulo 2^32 that hash the paragraph as a whole, and 128 lanes that count the
+hash bits of its neighbouring word pairs, written modulo 2^16. Sums do not depend on order, and a paragraph is added or taken
+away by adding or subtracting its vector (combine()). Equal multisets have equal fingerprints.
 
 Each of the 128 lanes is a sum of plus or minus one over the word pairs (twice the count less their number), so the mean
 square of the difference of two fingerprints estimates how many pairs differ, and their likeness is one minus that over the
-sum of their own mean squares, held within 0 and 1. It is exactly 1 for equal fingerprints.
+sum of their own mean squares, held within 0 and 1. It is exactly 1 for equal fingerprints. It is taken from the whole counts,
+which a text cannot overflow, not from the lanes as written.
 
-Nulls: a null text counts as empty, which is one empty paragraph. Rows that share a doc_id follow each other by a hash of the
-text; rows with a null doc_id come last in falling order. Other columns are ignored.
+The next document is found within ranges of documents in order of doc_id. Bounds are quantiles of doc_id (SEGMENTS at most), so
+that far-off ids do not widen the others; between two bounds, ranges have equal widths. A doc_id that fills several quantiles,
+and null, are dealt to ranges by row.
+
+Nulls: a null text counts as empty, which is one empty paragraph. Rows that share a doc_id follow each other in one fixed order
+for the same input; rows with a null doc_id come last in falling order. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_bucket, stored
+from .common import stored
 
 WIDE = 8  # 64-bit hashes of a whole paragraph, two lanes each
 DOCS_PER_RANGE = 1_000
+SUB = 1 << 40  # ranges of a segment are numbered below this
+SEGMENTS = 1_000  # quantiles of doc_id that the driver holds
 HALF, LOW32, LANE_BITS = 0xFFFF, 0xFFFFFFFF, 0x0000000100000001
 
 
@@ -56,7 +63,7 @@ def _pair_sums() -> list[Column]:
 
 def _pair_lanes() -> Column:
     sums = F.array(*[F.col(f"{c}{s}") for c in ("h", "g") for s in range(32)])
-    return F.concat(F.transform(sums, lambda x: x.bitwiseAND(F.lit(HALF)).cast("int")), F.transform(sums, lambda x: F.shiftrightunsigned(x, 32).bitwiseAND(F.lit(HALF)).cast("int")))
+    return F.concat(F.transform(sums, lambda x: x.bitwiseAND(F.lit(LOW32))), F.transform(sums, lambda x: F.shiftrightunsigned(x, 32)))
 
 
 def combine(a: Column, b: Column, sign: int = 1, modulus: int = 1 << 32) -> Column:
@@ -67,28 +74,52 @@ def combine(a: Column, b: Column, sign: int = 1, modulus: int = 1 << 32) -> Colu
 def as_text(whole: Column, n: Column, pairs: Column) -> Column:
     """A fingerprint's lanes as lower-case hex digits: 16 x 8 of the wholes, 8 of the number of pairs, 128 x 4 of the pairs."""
     digits = lambda lanes, size: F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), size, "0")), "")
-    return F.lower(F.concat(digits(whole, 8), F.lpad(F.hex(n), 8, "0"), digits(pairs, 4)))
+    return F.lower(F.concat(digits(whole, 8), F.lpad(F.hex(n), 8, "0"), digits(F.transform(pairs, lambda x: x.bitwiseAND(F.lit(HALF))), 4)))
 
 
 def _square(lanes: Column) -> Column:
-    """Mean square of lanes that are signed numbers modulo 2^16."""
-    signed = F.transform(lanes, lambda x: F.pmod(x + 32768, F.lit(65536)) - 32768)
-    return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.size(lanes)
+    """Mean square."""
+    return F.aggregate(lanes, F.lit(0.0), lambda a, x: a + x.cast("double") * x) / F.size(lanes)
 
 
 def likeness(pairs_a: Column, n_a: Column, pairs_b: Column, n_b: Column) -> Column:
     """From 0 to 1."""
-    own = lambda lanes, n: _square(F.transform(lanes, lambda x: 2 * x.cast("long") - n))
-    apart = _square(F.zip_with(pairs_a, pairs_b, lambda x, y: 2 * (x.cast("long") - y) - (n_a - n_b)))
+    own = lambda lanes, n: _square(F.transform(lanes, lambda x: 2 * x - n))
+    apart = _square(F.zip_with(pairs_a, pairs_b, lambda x, y: 2 * (x - y) - (n_a - n_b)))
     both = own(pairs_a, n_a) + own(pairs_b, n_b)
     return F.when(apart == 0, F.lit(1.0)).otherwise(F.least(F.greatest(1 - apart / both, F.lit(0.0)), F.lit(1.0)))
 
 
+def with_ranges(rows: DataFrame, per_range: int, segments: int) -> DataFrame:
+    """rows with `range`, which rises with doc_id (null first) and has about per_range rows; only quantiles reach the driver."""
+    shares = [i / segments for i in range(segments + 1)]
+    n, nulls, bounds = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", shares, 10 * segments)).first()
+    bounds = (bounds or [])[:: max(1, -(-segments * per_range // max(1, n)))]  # no more segments than ranges
+    spread = lambda k: F.pmod(F.xxhash64("row"), F.lit(max(1, k)))
+    wide = max(1, min(SUB - 1, -(-n // (max(1, len(bounds) - 1) * per_range))))
+    nowhere = spread(min(SUB - 1, -(-nulls // per_range))) - SUB
+    if not bounds:
+        return rows.withColumn("range", nowhere)
+    held = F.array(*[F.lit(b).cast("long") for b in bounds])
+    segment = F.size(F.filter(held, lambda b: b <= F.col("doc_id")))
+    placed = rows.withColumn("segment", segment).withColumn("low", F.get(held, F.col("segment") - 1)).withColumn("high", F.get(held, F.col("segment")))
+    many = F.size(F.filter(held, lambda b: b == F.col("doc_id")))
+    inside = F.floor((F.col("doc_id").cast("double") - F.col("low").cast("double")) / F.greatest(F.col("high").cast("double") - F.col("low").cast("double"), F.lit(1.0)) * wide)
+    inside = F.when(many > 1, F.pmod(F.xxhash64("row"), F.least(many * wide, F.lit(SUB)))).otherwise(F.coalesce(F.least(inside, F.lit(wide)), F.lit(0)))
+    # a doc_id of several quantiles has a segment of its own, just below what follows it
+    number = F.when(many > 1, 2 * F.col("segment")).otherwise(2 * F.col("segment") + 1) * F.lit(SUB) + inside
+    return placed.withColumn("range", F.when(F.col("doc_id").isNull(), nowhere).otherwise(number).cast("long")).drop("segment", "low", "high")
+
+
 def _next_range(rows: DataFrame) -> DataFrame:
-    """(range, next_range) in falling order, the first after the last; one row per thousand documents."""
-    down = Window.orderBy(F.desc("range"))
+    """(range, next_range) in falling order, the first after the last. Only one row per segment is in a window without partitions."""
+    ranges = rows.select("range").distinct().withColumn("segment", F.floor(F.col("range") / F.lit(SUB)))
+    inside = ranges.withColumn("next_range", F.lead("range").over(Window.partitionBy("segment").orderBy(F.desc("range"))))
+    down = Window.orderBy(F.desc("segment"))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select("range").distinct().select("range", F.coalesce(F.lead("range").over(down), F.max("range").over(every)).alias("next_range"))
+    tops = ranges.groupBy("segment").agg(F.max("range").alias("top"))
+    tops = tops.select("segment", F.coalesce(F.lead("top").over(down), F.max("top").over(every)).alias("top"))
+    return inside.join(tops, "segment").select("range", F.coalesce("next_range", "top").alias("next_range"))
 
 
 def _with_next(rows: DataFrame, order: list[Column], what: Column, name: str) -> DataFrame:
@@ -112,9 +143,9 @@ def _stored_as_dealt(df: DataFrame, name: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row, of its text and of its edited text (whose second half comes from the next document): see the module."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranged = rows.withColumn("range", id_bucket(rows, "doc_id", DOCS_PER_RANGE))
-    near = _with_next(ranged, [F.desc("doc_id"), F.xxhash64("text")], F.col("text"), "next_text")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    ranged = with_ranges(rows, DOCS_PER_RANGE, SEGMENTS)
+    near = _with_next(ranged, [F.desc("doc_id"), F.xxhash64("text"), F.col("row")], F.col("text"), "next_text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     both = near.select("range", "at", "doc_id", "text", edited.alias("edited"))

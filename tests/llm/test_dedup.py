@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from relslice.llm import embedding_dedup, multiset_hash, simhash, substring_dedup
+from relslice.llm import embedding_dedup, multiset_hash, queries, simhash, substring_dedup
 from relslice.llm.components import components
 from relslice.llm.fm_index import FMIndex, WaveletMatrix, earlier_windows
 
+FOLDER = Path("/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -295,6 +297,90 @@ def test_multiset_hash(spark, monkeypatch):
     assert got[1].fingerprint == got[2].fingerprint != got[20].fingerprint and got[3].fingerprint == got[4].fingerprint
     assert got[9].near_next == 1.0 and got[4].near_next == 1.0 and got[9].fingerprint == got[6].fingerprint
     assert fingerprint_rows(spark, []) == {}
+
+
+def whole_by_hand(text):
+    """The first 16 lanes, with XXH64 of the paragraph after that of the lane's seed."""
+    total = np.zeros(16, np.uint64)
+    for p in (text or "").split("\n"):
+        for seed in range(8):
+            h = xxh64_intdigest(p.encode(), xxh64_intdigest(int(seed).to_bytes(4, "little"), 42))
+            total[2 * seed] += h & 0xFFFFFFFF
+            total[2 * seed + 1] += h >> 32
+    return "".join(f"{int(x) % 2**32:08x}" for x in total)
+
+
+def pairs_by_hand(text):
+    """(number of words, counts of the 128 hash bits) of the word pairs."""
+    n, counts = 0, np.zeros(128, np.int64)
+    for p in (text or "").split("\n"):
+        words = p.split(" ")
+        for i, w in enumerate(words):
+            h = xxh64_intdigest(w.encode(), 42)
+            if i + 1 < len(words):
+                h = xxh64_intdigest(words[i + 1].encode(), h)
+            g = xxh64_intdigest(h.to_bytes(8, "little"), 42)
+            bits = [[v >> (s + half) & 1 for v in (h, g) for s in range(32)] for half in (0, 32)]
+            counts += np.array(bits[0] + bits[1])
+            n += 1
+    return n, counts
+
+
+def likeness_by_hand(a, b):
+    (n, x), (m, y) = pairs_by_hand(a), pairs_by_hand(b)
+    u, v = 2 * x - n, 2 * y - m
+    apart = float(((u - v) ** 2).mean())
+    return 1.0 if apart == 0 else min(1.0, max(0.0, 1 - apart / (float((u**2).mean()) + float((v**2).mean()))))
+
+
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="the given tables are not here")
+def test_multiset_query_over_a_whole_table(spark):
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.op6_multiset_hash(spark, str(FOLDER)).collect()}
+    assert len(got) == len(rows)
+    for at, (i, text) in enumerate(rows):
+        after = rows[(at + 1) % len(rows)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        n, counts = pairs_by_hand(text)
+        assert got[i].fingerprint == whole_by_hand(text) + f"{n:08x}" + "".join(f"{c % 65536:04x}" for c in counts)
+        assert got[i].edited_fingerprint[:128] == whole_by_hand(edited)
+        assert got[i].near_next == pytest.approx(likeness_by_hand(text, after), abs=1e-9) and got[i].near_edited == pytest.approx(likeness_by_hand(text, edited), abs=1e-9)
+
+
+@pytest.mark.parametrize("segments", [3, 1_000])
+def test_multiset_order_of_extreme_far_null_and_repeated_ids(spark, monkeypatch, segments):
+    monkeypatch.setattr(multiset_hash, "DOCS_PER_RANGE", 20)
+    monkeypatch.setattr(multiset_hash, "SEGMENTS", segments)
+    ids = [-(2**63) + 5, 2**63 - 5, 2**60, *range(300), *range(10**6, 10**6 + 50), *[41] * 200, *[None] * 200]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranged = multiset_hash.with_ranges(df.withColumn("row", F.monotonically_increasing_id()), 20, segments).select("doc_id", "range").collect()
+    at = sorted((r.doc_id is not None, r.doc_id or 0, r.range) for r in ranged)
+    assert [r for _, _, r in at] == sorted(r for _, _, r in at)  # ranges rise with ids
+    sizes = {r: sum(x.range == r for x in ranged) for r in {x.range for x in ranged}}
+    assert max(sizes.values()) <= (300 if segments == 3 else 120)
+    out = multiset_hash.fingerprints(df).collect()
+    by_edit = {}
+    for r in out:
+        by_edit.setdefault(r.doc_id, set()).add(r.edited_sha256)
+    said = dict(rows)
+    falling = sorted({i for i in ids if i not in (None, 41)}, reverse=True)
+    for i, j in zip(falling, falling[1:]):
+        if 41 not in range(j, i):
+            text, after = said[i], said[j]
+            half = len(text) // 2
+            assert by_edit[i] == {hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()}
+    assert len(out) == len(ids)
+
+
+def test_likeness_of_long_repetitive_texts(spark):
+    pair, empty = "a b\n", "\n"
+    rows = [(4, empty * 65_535), (3, empty * 131_071), (2, pair * 65_535 + "a b"), (1, pair * 32_767 + "a b")]
+    got = fingerprint_rows(spark, rows)
+    assert got[4].near_next == pytest.approx(0.8) and got[2].near_next == pytest.approx(0.8) and got[2].near_edited > 0.99
+
+
+def test_multiset_of_one_row(spark):
     assert fingerprint_rows(spark, [(None, "a")])[None].near_next == 1.0
 
 
