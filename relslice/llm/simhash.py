@@ -15,6 +15,7 @@ Nulls and empty texts have no words and the fingerprint 0, which links like any
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -105,8 +106,10 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int
     return best[total]
 
 
-def plan(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each partition to search, for n fingerprints of which sample are some."""
+def plan(sample: np.ndarray, n: int, distance: int = DISTANCE, row_cost: float = 1.0) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition to search, for n fingerprints of which sample are some.
+
+    A row under a key costs as much as row_cost comparisons."""
     bits = np.unpackbits(sample.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     some = bits[:1500].astype(np.float32)
     pairs = max(1, len(some) * (len(some) - 1) // 2)
@@ -121,9 +124,9 @@ def plan(sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[lis
             apart = (ones[:, None] + ones[None, :] - 2 * x @ x.T)[upper]
             cost, probes = {-1: 0.0}, 0.0
             for e in range(distance + 1):
-                probes += float(len(list(combinations(range(len(part)), e))))
+                probes += math.comb(len(part), e)
                 met = float((apart <= e).sum() + 0.5) / pairs * n * n / 2
-                cost[e] = n * (1 + probes) + met
+                cost[e] = row_cost * n * (1 + probes) + met
             costs.append(cost)
         paid, chosen = allocate(costs, distance - m + 1)
         if paid < best[0]:

@@ -56,9 +56,7 @@ def test_sparse_sites_shrink_to_their_parents(spark):
 
 @needs_tables
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
-    from test_dedup import brute_repeats, smallest_reach
-
-    from relslice.llm import simhash
+    from test_dedup import brute_repeats, shingle_set, similar, smallest_reach
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = {}
@@ -71,9 +69,9 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     left = {r.doc_id for r in kept["quality"][1].collect()}
     assert sum((i in left) == (q == 1) for i, q in labels.items()) / len(labels) >= 0.95
     before, after = kept["near_duplicates"]
-    fps = {r.doc_id: simhash.fingerprint(r.text) % 2**64 for r in before.collect()}
-    ids = sorted(fps)
-    label = smallest_reach(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2])
+    sets = {r.doc_id: shingle_set(r.text) for r in before.collect()}
+    ids = sorted(sets)
+    label = smallest_reach(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if similar(sets[a], sets[b]) >= 0.8])
     assert {r.doc_id for r in after.collect()} == {i for i in ids if label[i] == i}
     before, after = kept["repeats"]
     want = {i: (n, gone) for i, n, gone, _ in brute_repeats([(r.doc_id, r.text) for r in before.collect()], 50)}

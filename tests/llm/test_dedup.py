@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from relslice.llm import embedding_dedup, multiset_hash, queries, simhash, substring_dedup
+from relslice.llm import embedding_dedup, multiset_hash, queries, simhash, simhash_texts, substring_dedup
 from relslice.llm.components import components
 from relslice.llm.fm_index import FMIndex, WaveletMatrix, earlier_windows
 
@@ -109,6 +109,60 @@ def test_simhash_query_shape_and_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def shingle_set(text, shingle=5):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} if len(words) > shingle else {tuple(words)} if words else set()
+
+
+def similar(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def edited_copies(n, seed, words=120):
+    """Texts of which many are copies with a few words changed: similarities on both sides of 0.8."""
+    r = random.Random(seed)
+    vocabulary = [f"word{i}" for i in range(5_000)]
+    out = []
+    for _ in range(n // 6):
+        base = [r.choice(vocabulary) for _ in range(r.randint(20, words))]
+        out.append(" ".join(base))
+        for _ in range(5):
+            one = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+                one[r.randrange(len(one))] = r.choice(vocabulary)
+            out.append(" ".join(one))
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 4_096])
+def test_near_duplicate_texts_against_all_pairs(spark, block):
+    said = edited_copies(240, 4) + ["", None, " ", "a b", "A  b", "x y z w v"]
+    df = spark.createDataFrame(list(enumerate(said)), "row long, text string").withColumn("fp", F.lit("clash"))
+    got = {r.row: r.group for r in simhash_texts.near_duplicate_texts(df, block=block).collect()}
+    sets = [shingle_set(t) for t in said]
+    linked = [(i, j) for i in range(len(said)) for j in range(i + 1, len(said)) if similar(sets[i], sets[j]) >= 0.8]
+    want = smallest_reach(range(len(said)), linked)
+    assert len(linked) > 100 and sum(got[i] == got[j] for i, j in linked) >= 0.98 * len(linked)
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is tied that links do not tie
+    assert got[240] == got[241] == got[242] == 240 and got[243] == got[244] == 243
+    assert simhash_texts.near_duplicate_texts(df.limit(0)).count() == 0
+
+
+def test_one_group_of_many_edited_copies_leaves_few_links(spark):
+    r = random.Random(2)
+    base = [f"word{r.randrange(5_000)}" for _ in range(150)]
+    said = []
+    for _ in range(400):
+        one = list(base)
+        one[r.randrange(150)] = f"other{r.randrange(5_000)}"
+        said.append(" ".join(one))
+    told = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "row long, text string").mapInArrow(simhash_texts._sketched, simhash_texts.SKETCHED)
+    links = simhash_texts.candidates(told, block=100).count()
+    assert 399 <= links < 400 * 40  # a tree a key and pair of blocks, not 79,800 pairs
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "row long, text string")
+    assert {r.group for r in simhash_texts.near_duplicate_texts(df, block=100).collect()} == {0}
+
+
 def brute_repeats(rows, window):
     words = [(i, WORD.findall(t or "")) for i, t in rows]
     first: dict[tuple, int] = {}
