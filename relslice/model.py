@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class ForeignKey:
-    """column of table points to the key of one of targets; with several targets type_column tells which."""
+    """column of table points to the key of one of targets; with several targets type_column tells which.
+
+    first_declared: the keys of all targets lie in one space, and the first declared target that has the id counts."""
 
     table: str
     column: str
@@ -17,9 +19,10 @@ class ForeignKey:
     type_column: str | None = None
     required: bool = False
     master_detail: bool = False
+    first_declared: bool = False
 
     def __post_init__(self) -> None:
-        if len(self.targets) > 1 and not self.type_column:
+        if len(self.targets) > 1 and not (self.type_column or self.first_declared):
             raise ValueError(f"{self.table}.{self.column} has several targets and needs a type_column")
 
 

@@ -6,9 +6,12 @@ driver. Edges may form cycles; a node is expanded once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import drop_reason, is_sensitive
 from ..sources.tables import staged, staged_count, staged_with
 
 
@@ -25,6 +28,29 @@ def child_edges(edges: DataFrame, root: str) -> DataFrame:
     return edges.where((F.col("dst") == root) & (F.col("src") != root)).select(F.col("src").alias("child"), "field", "nillable").distinct()
 
 
+# fixed values: how tables end that a store fills in by itself
+READ_ONLY = ["History", "Feed", "Share", "ChangeEvent", "__History"]
+
+
+def read_only(name: Column) -> Column:
+    return reduce(Column.__or__, [name.endswith(end) for end in READ_ONLY])
+
+
+def child_relationships(edges: DataFrame, root: str, allowed: DataFrame | None = None) -> DataFrame:
+    """(child, field, nillable, master_detail) of the reverse edges of a root, each once. Only a cascading child needs its root.
+
+    Read-only children are left out, as are those that are not among allowed (child), if it is given."""
+    found = edges.where((F.col("dst") == root) & (F.col("src") != root) & ~read_only(F.col("src")))
+    found = found.select(F.col("src").alias("child"), "field", (~F.col("master_detail")).alias("nillable"), "master_detail").distinct()
+    return found if allowed is None else found.join(allowed.select("child"), "child", "left_semi")
+
+
+def child_filter(children: DataFrame) -> DataFrame:
+    """Per parent: child relationships kept and dropped as read-only (by their name or a restricted delete)."""
+    dropped = read_only(F.col("child")) | F.coalesce("restricted_delete", F.lit(False))
+    return children.groupBy("parent").agg(F.count_if(~dropped).alias("kept"), F.count_if(dropped).alias("dropped_read_only"))
+
+
 def walk(edges: DataFrame, starts: DataFrame, hops: int, stop: DataFrame | None = None) -> DataFrame:
     """(node, depth): nodes within `hops` of starts (node), at the smallest depth. Nodes in stop are listed, not expanded."""
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
@@ -111,6 +137,11 @@ def break_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("component", "inner_edges", F.col("e.src").alias("break_src"), F.col("e.field").alias("break_field"), F.col("e.dst").alias("break_dst"))
 
 
+def cycle_steps(breaks: DataFrame) -> DataFrame:
+    """Per component: two-phase, or skipped where no inner edge is nillable."""
+    return breaks.select("component", F.when(F.col("break_src").isNull(), "skipped").otherwise("two-phase").alias("step"), F.when(F.col("break_src").isNull(), "no-nillable-edge").alias("reason"))
+
+
 def load_waves(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, wave): every node comes in a later wave than what it points to; a component is one step.
 
@@ -181,3 +212,17 @@ def node_summary(columns: DataFrame, depths: DataFrame, counts: DataFrame) -> Da
     """Per table: number of columns, distance from the root (null if not walked) and rows."""
     own = columns.groupBy(F.col("table_name").alias("node")).agg(F.count(F.lit(1)).alias("fields"), F.count_if("calculated").alias("calculated"))
     return own.join(depths, "node", "left").join(counts, "node", "left").select("node", "fields", "calculated", F.col("depth").cast("bigint").alias("depth"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def node_roles(edges: DataFrame, columns: DataFrame, depths: DataFrame, root: str, standard: list[str]) -> DataFrame:
+    """Per table named anywhere: described, role (root, standard-root, parent, child), depth, and its columns by drop reason."""
+    own = columns.withColumn("why", drop_reason()).groupBy(F.col("table_name").alias("node")).agg(
+        F.count(F.lit(1)).alias("fields"), F.count_if(F.col("why") == "formula").alias("formula"), F.count_if(F.col("why") == "audit").alias("audit"),
+        F.count_if(F.col("why") == "non-createable").alias("non_createable"), F.count_if(F.col("why").isNull() & is_sensitive()).alias("sensitive"),
+    )
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(own.select("node")).distinct()
+    children = edges.where((F.col("dst") == root) & (F.col("src") != root)).select(F.col("src").alias("node")).distinct().withColumn("is_child", F.lit(True))
+    role = F.when(F.col("node") == root, "root").when(F.col("node").isin(standard), "standard-root").when(F.col("depth").isNull() & F.col("is_child"), "child").otherwise("parent")
+    all_of = nodes.join(own, "node", "left").join(depths, "node", "left").join(children, "node", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("formula", "audit", "non_createable", "sensitive")]
+    return all_of.select("node", F.col("fields").isNotNull().alias("described"), role.alias("role"), F.col("depth").cast("bigint").alias("depth"), F.coalesce("fields", F.lit(0)).alias("fields"), *counts)

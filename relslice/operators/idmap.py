@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import ForeignKey
@@ -29,18 +29,18 @@ def assign(df: DataFrame, table: str, key: str, target: str) -> DataFrame:
 
 
 def layered(*maps: DataFrame) -> DataFrame:
-    """One map out of several; later ones win, blank targets do not count."""
+    """One map out of several; later ones win, blank targets do not count. Of two rows in one map, the larger target counts."""
     rows = None
     for rank, m in enumerate(maps):
         part = m.select(*MAP, F.lit(rank).alias("rank")).where("target_id is not null and target_id <> ''")
         rows = part if rows is None else rows.union(part)
-    return rows.groupBy("object", "source_id").agg(F.max_by("target_id", "rank").alias("target_id"))
+    return rows.groupBy("object", "source_id").agg(F.max_by("target_id", F.struct("rank", "target_id")).alias("target_id"))
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The newer row of each id, by updated_at; on a tie the row of new."""
+    """The newer row of each id, by updated_at; on a tie the row of new, then the larger target."""
     rows = old.select(*MAP, "updated_at", F.lit(0).alias("rank")).union(new.select(*MAP, "updated_at", F.lit(1).alias("rank")))
-    last = F.max_by(F.struct("target_id", "updated_at"), F.struct("updated_at", "rank"))
+    last = F.max_by(F.struct("target_id", "updated_at"), F.struct("updated_at", "rank", "target_id"))
     return rows.groupBy("object", "source_id").agg(last.alias("r")).select("object", "source_id", "r.target_id", "r.updated_at")
 
 
@@ -57,9 +57,26 @@ def valid(id_map: DataFrame, meta: DataFrame, target_id: str, stamp: str | None)
     return id_map.join(m, "map_id", "left").select("map_id", *MAP, why.alias("reason"))
 
 
+def single(target: DataFrame, name: str, key: str) -> DataFrame:
+    """(__name, target_id) of names that one target row alone holds."""
+    each = target.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__name")).agg(F.min(F.col(key).cast("string")).alias("target_id"), F.count(F.lit(1)).alias("n"))
+    return each.where("n = 1").select("__name", "target_id")
+
+
+def ambiguous_names(target: DataFrame, name: str) -> DataFrame:
+    """(name, n): names that several target rows hold, which single() leaves out."""
+    return target.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def lookup(rows: DataFrame, object_column: str, id_column: str, id_map: DataFrame) -> DataFrame:
+    """rows with target_id, null where the map lacks (object, source id) or the id is null."""
+    m = id_map.select(F.col("object").alias("__o"), F.col("source_id").alias("__s"), "target_id")
+    return rows.join(m, (F.col(object_column) == F.col("__o")) & (F.col(id_column).cast("string") == F.col("__s")), "left").drop("__o", "__s")
+
+
 def by_natural_key(source: DataFrame, target: DataFrame, table: str, key: str, name: str, target_key: str, target_name: str) -> DataFrame:
-    """Id map rows of dimension rows that have the same name on both sides."""
-    t = target.select(F.col(target_name).alias("__name"), F.col(target_key).cast("string").alias("target_id"))
+    """Id map rows of dimension rows that have the same name on both sides. A name that several target rows hold maps nothing."""
+    t = single(target, target_name, target_key)
     return source.join(t, F.col(name) == F.col("__name")).select(F.lit(table).alias("object"), F.col(key).cast("string").alias("source_id"), "target_id")
 
 
@@ -126,13 +143,18 @@ def stale_entries(failed: DataFrame, column: str, table: str, id_map: DataFrame,
     """Map entries that failed rows refer to and whose target row is gone; per entry up to `shown` of those rows' keys."""
     suspects = failed.join(id_map.where(F.col("object") == table), F.col(column).cast("string") == F.col("source_id"))
     gone = suspects.join(live.select(F.col(live_id).alias("__live")), F.col("target_id") == F.col("__live"), "left_anti")
-    return gone.groupBy("source_id", "target_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("row_key")), 1, shown), ",").alias("row_keys"), F.count(F.lit(1)).alias("n"))
+    entry = ["source_id", "target_id"]
+    counts = gone.groupBy(*entry).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*entry).orderBy("row_key"))
+    first = gone.select(*entry, "row_key").distinct().withColumn("rank", rank).where(F.col("rank") <= shown)  # limited before it is exchanged
+    keys = first.groupBy(*entry).agg(F.array_join(F.array_sort(F.collect_list("row_key")), ",").alias("row_keys"))
+    return counts.join(keys, entry).select(*entry, "row_keys", "n")
 
 
 def adopt_duplicates(inserts: DataFrame, key: str, unique: str, target: DataFrame, target_unique: str, target_id: str, table: str) -> DataFrame:
-    """Id map rows for inserts whose unique value a target row has already."""
-    t = target.select(F.col(target_unique).alias("__u"), F.col(target_id).cast("string").alias("target_id"))
-    return inserts.join(t, F.col(unique) == F.col("__u")).select(F.lit(table).alias("object"), F.col(key).cast("string").alias("source_id"), "target_id")
+    """Id map rows for inserts whose unique value one target row has already."""
+    t = single(target, target_unique, target_id)
+    return inserts.join(t, F.col(unique) == F.col("__name")).select(F.lit(table).alias("object"), F.col(key).cast("string").alias("source_id"), "target_id")
 
 
 def first_references(df: DataFrame, columns: list[str]) -> DataFrame:

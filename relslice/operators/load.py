@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
 from .idmap import MAP, Rule, layered, remap
 
 
@@ -48,6 +49,31 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, columns: list[str])
     return joined.select(F.coalesce(f"t.{key}", f"u.{key}").alias(key), *values, F.col(f"t.{key}").isNull().alias("created"))
 
 
+def refused(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """updates with reject_reason: null where the row may be matched, else no-key, repeated-key or repeated-on-target."""
+    own = duplicate_keys(updates, key).select(F.col("key").alias("__own"))
+    there = duplicate_keys(target, key).select(F.col("key").alias("__there"))
+    rows = updates.join(own, F.col(key) == F.col("__own"), "left").join(there, F.col(key) == F.col("__there"), "left")
+    reason = F.when(~has_key(key), "no-key").when(F.col("__own").isNotNull(), "repeated-key").when(F.col("__there").isNotNull(), "repeated-on-target")
+    return rows.withColumn("reject_reason", reason).drop("__own", "__there")
+
+
+def guarded_upsert(target: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(target after the updates that one key value names alone on both sides, rejected updates with reject_reason).
+
+    Target rows without a key, or that share one, stay as they are."""
+    judged = staged(refused(target, updates, key), "judged")
+    good = judged.where("reject_reason is null").drop("reject_reason")
+    return upsert(target, good, key, columns), judged.where("reject_reason is not null")
+
+
+def patch(target: DataFrame, id_column: str, patches: DataFrame, columns: list[str]) -> DataFrame:
+    """target with the named columns of the rows whose id patches hold (once each); a null in a patch overwrites."""
+    p = patches.select(F.col(id_column).alias("__id"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = target.join(p, F.col(id_column) == F.col("__id"), "left")
+    return joined.select(*[(F.when(F.col("__id").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)) for c in target.columns])
+
+
 def insert(target: DataFrame, rows: DataFrame) -> DataFrame:
     """target and the rows; columns that one side lacks are null."""
     return target.unionByName(rows, allowMissingColumns=True)
@@ -71,18 +97,26 @@ def first_phase(df: DataFrame, table: str, key: str, broken: str, rules: list[Ru
     return rows.withColumn("_omit", F.when(upserted, F.concat("_omit", F.array(F.lit(broken)))).otherwise(F.col("_omit"))).withColumn(broken, F.lit(None).cast("string"))
 
 
-def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame, mint) -> tuple[DataFrame, DataFrame]:
+def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame, mint, finished: tuple[str, ...] = (), stop_on_reject: bool = False) -> tuple[DataFrame, DataFrame]:
     """Run steps (table, rows, key, rules) in order over one shared id map; later steps resolve keys to earlier ones.
 
-    Returns (outcome per table, id map). mint(df, table, key) makes the map rows of a step; rows that the map has are skipped."""
-    id_map, outcomes = start.select(*MAP), []
+    Returns (outcome per table, id map). mint(df, table, key) makes the map rows of a step; rows that the map has are skipped.
+    The map and the outcomes are staged after each step, so a run that breaks off goes on from there. Steps in finished are not
+    run again (outcome already-run); after a step with rejected rows, stop_on_reject leaves out the rest (not-run)."""
+    id_map, outcomes, stopped = start.select(*MAP), [], False
     for table, df, key, rules in steps:
+        if table in finished or stopped:
+            state = "already-run" if table in finished else "not-run"
+            outcomes.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), F.lit(state).alias("outcome"), "n"))
+            continue
         known = id_map.where(F.col("object") == table).select(F.col("source_id").alias("__k"))
         flagged = df.join(known, F.col(key).cast("string") == F.col("__k"), "left").withColumn("__done", F.col("__k").isNotNull()).drop("__k")
-        id_map = layered(mint(df, table, key), id_map)
+        id_map = staged(layered(mint(df, table, key), id_map), "id-map")
         rows = remap(flagged, table, key, rules, id_map)
         state = F.when(F.col("__done"), "already-loaded").when(F.col("reject_reason").isNotNull(), "rejected").otherwise("inserted")
-        outcomes.append(rows.groupBy(state.alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "outcome", "n"))
+        outcome = rows.groupBy(state.alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "outcome", "n")
+        outcomes.append(staged(outcome, "outcome"))
+        stopped = stop_on_reject and not outcomes[-1].where("outcome = 'rejected'").isEmpty()
     return reduce(DataFrame.union, outcomes), id_map
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Dataset
+from ..model import Dataset, ForeignKey
 
 
 def present(column: str, df: DataFrame) -> Column:
@@ -83,25 +83,63 @@ def where_any(df: DataFrame, paths: list[tuple[str, DataFrame]]) -> DataFrame:
     return flagged.where(hit).select(*df.columns)
 
 
+def _pointing(rows: DataFrame, fk: ForeignKey, target: str) -> DataFrame:
+    """Values of a foreign key that point to one target; with several targets, its type column tells which."""
+    return (rows.where(F.col(fk.type_column) == target) if fk.type_column else rows).select(fk.column)
+
+
+def scopes(data: Dataset, root: str, root_ids: DataFrame, max_hops: int = 4, lookups: set[tuple[str, str]] | None = None) -> dict[str, tuple[str, DataFrame]]:
+    """(path kinds, rows in scope) per table that the declarations of a dataset tie to a root.
+
+    Direct parents and children of the root, tables that its children look up (by the (child, column) pairs in lookups; None
+    takes all), and then further parents, at most max_hops above the root. A table that several paths reach takes the union of
+    them; transitive paths count only where there is no other. Only names are looked at here, no rows."""
+    out = {root: ("root", with_ids(data.tables[root], data.specs[root].key, root_ids))}
+    near: dict[str, list[tuple[str, str, DataFrame]]] = {}
+
+    def reach(into: dict, name: str, kind: str, column: str, values: DataFrame) -> None:
+        if name in data.tables and name not in out and (kind == "direct-child" or data.specs[name].key):
+            into.setdefault(name, []).append((kind, column, values))
+
+    def settle(found: dict[str, list[tuple[str, str, DataFrame]]]) -> list[str]:
+        for name, paths in found.items():
+            df, key = data.tables[name], data.specs[name].key
+            keyed = key and all(column == key for _, column, _ in paths)
+            rows = union_by_key(df, key, [v for *_, v in paths]) if keyed else where_any(df, [(c, v) for _, c, v in paths])
+            out[name] = (",".join(sorted({kind for kind, *_ in paths})), rows)
+        return list(found)
+
+    for fk in data.parents(root):
+        for target in fk.targets:
+            if target != root and target in data.specs:
+                reach(near, target, "direct-parent", data.specs[target].key, _pointing(out[root][1], fk, target))
+    for fk in data.children(root):
+        if fk.table != root:
+            reach(near, fk.table, "direct-child", fk.column, root_ids)
+    children = [name for name, paths in near.items() if any(kind == "direct-child" for kind, *_ in paths)]
+    parents = settle(near)
+    looked: dict[str, list[tuple[str, str, DataFrame]]] = {}
+    for child in children:
+        for fk in data.parents(child):
+            if lookups is None or (child, fk.column) in lookups:
+                for target in fk.targets:
+                    if target not in (root, child) and target in data.specs:
+                        reach(looked, target, "child-lookup", data.specs[target].key, _pointing(out[child][1], fk, target))
+    wave = [name for name in parents if name not in children] + settle(looked)
+    for _ in range(max_hops - 1):
+        above: dict[str, list[tuple[str, str, DataFrame]]] = {}
+        for name in wave:
+            for fk in data.parents(name):
+                for target in fk.targets:
+                    if target != name and target in data.specs:
+                        reach(above, target, "transitive", data.specs[target].key, _pointing(out[name][1], fk, target))
+        wave = settle(above)
+    return out
+
+
 def star_scopes(data: Dataset, root_ids: DataFrame) -> dict[str, tuple[str, DataFrame]]:
-    """(path kinds, rows in scope) per table for a root of orders, as its declarations reach them."""
-    t = data.tables
-    orders = with_ids(t["orders"], "o_orderkey", root_ids)
-    lines = with_ids(t["lineitem"], "l_orderkey", root_ids)
-    customers = parent_of(t["customer"], "c_custkey", orders, "o_custkey")
-    parts = parent_of(t["part"], "p_partkey", lines, "l_partkey")
-    suppliers = parent_of(t["supplier"], "s_suppkey", lines, "l_suppkey")
-    nations = union_by_key(t["nation"], "n_nationkey", [customers.select("c_nationkey"), suppliers.select("s_nationkey")])
-    regions = parent_of(t["region"], "r_regionkey", nations, "n_regionkey")
-    return {
-        "orders": ("root", orders),
-        "customer": ("direct-parent", customers),
-        "lineitem": ("direct-child", lines),
-        "part": ("child-lookup", parts),
-        "supplier": ("child-lookup", suppliers),
-        "nation": ("transitive", nations),
-        "region": ("transitive", regions),
-    }
+    """scopes() for a root of orders."""
+    return scopes(data, "orders", root_ids)
 
 
 def scope_counts(scopes: dict[str, tuple[str, DataFrame]]) -> DataFrame:

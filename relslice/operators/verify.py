@@ -22,6 +22,21 @@ def mask_report(pairs: DataFrame, columns: list[tuple[str, Column, Column, Colum
     return pairs.select(each).groupBy("x.column_name", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def mapped_pairs(source: DataFrame, table: str, key: str, id_map: DataFrame, target: DataFrame, target_id: str, columns: dict[str, str]) -> DataFrame:
+    """Source columns (s_name) beside the target columns they went to (t_name), row by row through the id map.
+
+    columns names source and target columns. Rows that the map or the target lacks are left out."""
+    m = id_map.where(F.col("object") == table).select(F.col("source_id").alias("__s"), F.col("target_id").alias("__t"))
+    s = source.select(F.col(key).cast("string").alias("__key"), *[F.col(c).alias(f"s_{c}") for c in columns])
+    t = target.select(F.col(target_id).cast("string").alias("__id"), *[F.col(c).alias(f"t_{c}") for c in columns.values()])
+    return s.join(m, F.col("__key") == F.col("__s")).join(t, F.col("__t") == F.col("__id")).drop("__s", "__t", "__id").withColumnRenamed("__key", "source_id")
+
+
+def copied(source: Column, target: Column) -> Column:
+    """Buckets of a column that is not masked: copied, empty-kept or mismatch."""
+    return F.when(source.isNull() | (source == ""), F.when(target.eqNullSafe(source), "empty-kept").otherwise("mismatch")).when(target.eqNullSafe(source), "copied").otherwise("mismatch")
+
+
 def inconsistent(values: DataFrame) -> DataFrame:
     """(preset, source) with more than one mask."""
     return values.groupBy("preset", "source").agg(F.count_distinct("masked").alias("outputs")).where("outputs > 1")
@@ -62,6 +77,37 @@ def drift(stored: DataFrame, now: DataFrame) -> DataFrame:
     return s.join(t, "table_name", "full_outer").where(~F.col("before").eqNullSafe(F.col("now"))).select("table_name", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_now", F.lit(0)).alias("n_now"))
 
 
+def plan_parts(root: str, predicate: str, objects: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+    """(part, value) of all that a preview has settled: root, predicate, per table its step and key, and the sample's fingerprint.
+
+    objects has table_name, wave, step, break_edge, kind, field and reason; sample is a row of id_set_fingerprint."""
+    spark = objects.sparkSession
+    said = F.concat_ws("|", F.col("wave").cast("string"), "step", F.coalesce("break_edge", F.lit("")), "kind", F.coalesce("field", "reason", F.lit("")))
+    parts = spark.createDataFrame([("root", root), ("predicate", predicate)], "part string, value string").union(objects.select(F.concat(F.lit("table:"), "table_name"), said))
+    if sample is not None:
+        parts = parts.union(sample.select(F.lit("sample"), F.concat_ws(":", F.col("n").cast("string"), "digest")))
+    return parts
+
+
+def plan_drift(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(part, before, now) of what differs between two plans; any row blocks the load."""
+    b, n = before.select("part", F.col("value").alias("before")), now.select("part", F.col("value").alias("now"))
+    return b.join(n, "part", "full_outer").where(~F.col("before").eqNullSafe(F.col("now")))
+
+
+def preview(counts: DataFrame, mapped: DataFrame, decisions: DataFrame, differences: DataFrame, defaulted: DataFrame) -> DataFrame:
+    """What a run would do, per table and in all (table_name null): rows in scope and mapped, the upsert key or why there is none,
+    columns that only the source has, rows that point to tables that are not copied."""
+    zero = F.lit(0).cast("long")
+    rows = counts.join(mapped, "table_name", "left").join(decisions, "table_name", "left").join(differences, "table_name", "left").join(defaulted, "table_name", "left")
+    per = rows.select(
+        "table_name", "kinds", "n", F.coalesce("mapped", zero).alias("mapped"), (F.col("n") - F.coalesce("mapped", zero)).alias("to_load"),
+        F.coalesce("kind", F.lit("insert-only")).alias("kind"), "field", F.coalesce("source_only", zero).alias("source_only"), F.coalesce("defaulted", zero).alias("defaulted"),
+    )
+    sums = [F.sum(c).alias(c) if c in ("n", "mapped", "to_load", "source_only", "defaulted") else F.lit(None).cast("string").alias(c) for c in per.columns]
+    return per.union(per.agg(*sums).select(*per.columns))
+
+
 def error_codes(message: Column) -> Column:
     """Distinct codes in a raw message, never free text."""
     return F.array_distinct(F.regexp_extract_all(message, F.lit(ERROR_CODE), F.lit(1)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 
 ROOT = "o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '1998-06-01 00:00:00'"
-TIGHT = "o_orderkey < 20"
+TIGHT = "o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2001-07-20 00:00:00'"
 SALT = "a salt that a job is given"
 
 _T = "CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS STRING)"

@@ -32,12 +32,14 @@ def dataset(spark: SparkSession, folder: str, specs: dict[str, TableSpec] = STAR
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Unset, it is an error on a cluster; a local session, whose executors are the driver, gets a folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relslice-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set; staged tables need a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relslice-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def staged(df: DataFrame, name: str = "step") -> DataFrame:
