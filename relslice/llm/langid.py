@@ -5,9 +5,12 @@ them, each filter's maximum over the window is kept, and a softmax layer gives t
 probabilities are the means over its windows, weighted by their bytes. For use, embedding and filters are folded into tables
 of byte pairs, so that a filter of width 4 costs two look-ups a byte.
 
-Training takes at most PER_LANGUAGE rows of each language, the smallest by a hash of doc_id, and SNIPPET characters of each.
-Nulls: a text that is null or has no letter is `und` with score 0; rows with a null language are not learned from. If there is
-nothing to learn from, every text is `und`.
+Training takes labelled windows: at most WINDOWS of each language, drawn by a hash of the row and the place from the windows of
+all rows that are not held out, at most PER_ROW of a row (so that one long text does not stand for a language) and anywhere in
+it, and the LANGUAGES most frequent labels. These three are the bounds of the sample; there is no other. Nulls: a text that is null or has no letter is `und` with score 0; rows with a null language are not learned from. If
+there is nothing to learn from, every text is `und`. Rows may share a doc_id or be equal; each counts for itself.
+
+A filter by score takes its least score per language from held-out rows: the score that all but MISSED of them reach.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-PER_LANGUAGE = 600
-SNIPPET = 1024
+WINDOWS = 2_400
+PER_ROW = 4
+LANGUAGES = 256
+HELD = 2_000  # held-out rows per language, about, that least scores are taken from
+MISSED = 0.002
 PASSES = 6
 AT_ONCE = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -141,34 +147,50 @@ class Network:
         return np.add.reduceat(q * sizes[:, None], starts, axis=0) / np.add.reduceat(sizes, starts)[:, None]
 
 
-def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], dict[str, np.ndarray] | None]:
-    """(languages, network) from rows that are not held out. The bounded sample goes to the driver."""
-    usable = ~held_out & F.col(lang).isNotNull() & F.col(text).isNotNull()
-    counts = docs.where(usable).groupBy(F.col(lang).alias("lang")).count().collect()  # a row per language
+def _drawn(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row (lang, text, h, share), about its share of its windows, at places that h decides; each with a rank."""
+    for batch in found:
+        langs, ranks, cut = [], [], []
+        for lang, text, h, share in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "h", "share"))):
+            every, sizes = windows(text)
+            n = min(len(every), max(1, round(min(len(every), PER_ROW) * share)))
+            r = np.random.default_rng(h % 2**63)
+            for at in r.choice(len(every), n, replace=False).tolist():
+                if sizes[at] > 32 or len(every) == 1:
+                    raw = every[at].tobytes()
+                    if LETTER.search(raw.decode("utf-8", "ignore")):
+                        langs.append(lang)
+                        ranks.append(int(r.integers(2**62)))
+                        cut.append(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ranks, pa.int64()), pa.array(cut, pa.binary())], ["lang", "rank", "window"])
+
+
+def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], dict[str, np.ndarray] | None]:
+    """(languages, network) from rows that are not held out. The bounded sample of windows goes to the driver."""
+    size = F.least(F.ceil(F.greatest(F.octet_length(text), F.lit(1)) / WINDOW), F.lit(PER_ROW))
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("size"), F.xxhash64(F.monotonically_increasing_id()).alias("h"), held_out.alias("held"))
+    rows = rows.where("not held and lang is not null and text is not null").drop("held")
+    counts = rows.groupBy("lang").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], None
-    # hashes under a bound that leaves about four times the rows wanted; only these are shuffled and ranked
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(min(1.0, 4 * PER_LANGUAGE / r["count"]) * 2**62))])
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "snippet"))
-    spread = F.greatest(F.length(text) - SNIPPET, F.lit(1))
-    snippet = F.substring(text, (F.pmod(F.xxhash64(F.lit(1), F.col(key)), spread) + 1).cast("int"), F.lit(SNIPPET))
-    rows = docs.where(usable).select(F.col(lang).alias("lang"), F.xxhash64(key).bitwiseAND(F.lit(2**62 - 1)).alias("h"), snippet.alias("snippet"))
-    got = rows.where(F.col("h") <= F.element_at(bounds, F.col("lang"))).withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).orderBy("lang", "rank").collect()
-    got = [r for r in got if LETTER.search(r.snippet)]
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.5 * WINDOWS / r.n))])
+    wanted = rows.withColumn("share", F.element_at(shares, F.col("lang"))).where("share is not null")
+    # a row of few windows is looked at with the probability that one of them is drawn
+    wanted = wanted.where((F.col("share") >= 1) | (F.pmod("h", F.lit(2**40)) < F.col("size") * F.col("share") * 2**40))
+    drawn = wanted.select("lang", "text", "h", "share").mapInArrow(_drawn, "lang string, rank long, window binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "window"))
+    got = drawn.withColumn("place", place).where(F.col("place") <= WINDOWS).orderBy("lang", "place").collect()
     langs = sorted({r.lang for r in got})
     if not langs:
         return [], None
     x, y = [], []
     for i, r in enumerate(got):
-        cut, sizes = windows(r.snippet)
-        cut = cut[sizes > 32] if (sizes > 32).any() else cut
-        x.append(cut)
-        y += [langs.index(r.lang)] * len(cut)
-        if i % 2 == 0:  # short texts are to be told as well
-            few, _ = windows(r.snippet[: 12 + i % 60])
-            x.append(few[:1])
-            y.append(langs.index(r.lang))
-    return langs, train(np.concatenate(x), np.array(y), len(langs))
+        x.append(np.frombuffer(r.window, np.uint8))
+        y.append(langs.index(r.lang))
+        if i % 4 == 0:  # short texts are to be told as well
+            x.append(np.concatenate([x[-1][: 12 + i // 4 % 60], np.full(WINDOW, 32, np.uint8)])[:WINDOW])
+            y.append(y[-1])
+    return langs, train(np.stack(x), np.array(y), len(langs))
 
 
 class Judge:
@@ -203,22 +225,45 @@ def _predict(langs: list[str], params: dict[str, np.ndarray] | None):
     return run
 
 
-def _sure(langs: list[str], params: dict[str, np.ndarray] | None, text: str, least: float):
+def _sure(langs: list[str], params: dict[str, np.ndarray] | None, text: str, least: dict[str, float]):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(langs, params)
         for batch in found:
             pred, score = judge(batch.column(text).to_pylist())
-            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+            yield batch.filter(pa.array([p != "und" and s >= least.get(p, 0.0) for p, s in zip(pred, score)], pa.bool_()))
+
+    return run
+
+
+def _told(langs: list[str], params: dict[str, np.ndarray] | None):
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(langs, params)
+        for batch in found:
+            pred, score = judge(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang", "pred", "score"])
 
     return run
 
 
-def keep_identified(docs: DataFrame, held_out: Column | None = None, least: float = 0.3, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose language is told with a score of `least` or more; nothing is shuffled."""
+def least_scores(docs: DataFrame, held_out: Column, langs: list[str], params: dict[str, np.ndarray] | None, text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """Per language: the score that all but MISSED of the held-out rows reach that are told right, from about HELD rows each."""
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("h"), held_out.alias("held")).where("held and text is not null")
+    rows = rows.where(F.col("lang").isin(langs)).drop("held") if langs else rows.where("false").drop("held")
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, HELD / n))])
+    some = rows.where(F.pmod("h", F.lit(2**40)) < F.element_at(shares, F.col("lang")) * 2**40).select("lang", "text")
+    told = some.mapInArrow(_told(langs, params), "lang string, pred string, score double").where("pred = lang")
+    return {r.lang: r.least for r in told.groupBy("lang").agg(F.percentile_approx("score", MISSED, 10_000).alias("least")).collect()}
+
+
+def keep_identified(docs: DataFrame, held_out: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose language is told with the least score of that language or more; no text is shuffled."""
     if held_out is None:
         held_out = _fifth(key)
-    langs, params = learn(docs, held_out, text, lang, key)
-    return docs.mapInArrow(_sure(langs, params, text, least), docs.schema)
+    langs, params = learn(docs, held_out, text, lang)
+    return docs.mapInArrow(_sure(langs, params, text, least_scores(docs, held_out, langs, params, text, lang)), docs.schema)
 
 
 def _fifth(key: str) -> Column:
@@ -229,6 +274,6 @@ def identify(docs: DataFrame, held_out: Column | None = None, text: str = "text"
     """Per row: doc_id, held_out, lang_pred, score. By default a fifth of the rows, by crc32 of the key, is held out."""
     if held_out is None:
         held_out = _fifth(key)
-    langs, params = learn(docs, held_out, text, lang, key)
+    langs, params = learn(docs, held_out, text, lang)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predict(langs, params), "doc_id long, held_out boolean, lang_pred string, score double")

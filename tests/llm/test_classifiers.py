@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +28,49 @@ def test_language_of_odd_rows(spark):
     assert langid.keep_identified(df).columns == df.columns
 
 
+def test_network_against_a_plain_convolution():
+    r = np.random.default_rng(3)
+    x, y = r.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8), r.integers(0, 3, 40)
+    p = langid.train(x, y, 3, passes=1)
+    got = langid.Network(p).probabilities(x[:4])
+    for row, probabilities in zip(x[:4], got):
+        pooled = []
+        for w in langid.WIDTHS:
+            kernel = p[f"f{w}"].reshape(w, langid.EMBEDDING, langid.FILTERS)
+            for f in range(langid.FILTERS):
+                best = max(sum(float(p["embed"][row[i + j]] @ kernel[j, :, f]) for j in range(w)) for i in range(langid.WINDOW - w + 1))
+                pooled.append(max(0.0, best + float(p[f"b{w}"][f])))
+        logits = np.array(pooled) @ p["out"] + p["bias"]
+        want = np.exp(logits - logits.max())
+        assert np.allclose(probabilities, want / want.sum(), atol=1e-4)
+
+
+def test_language_of_a_text_is_the_mean_over_all_its_windows():
+    r = np.random.default_rng(4)
+    network = langid.Network(langid.train(r.integers(97, 123, (30, langid.WINDOW)).astype(np.uint8), r.integers(0, 2, 30), 2, passes=1))
+    text = "".join(map(chr, r.integers(97, 123, 1_000)))
+    cut = [text[a : a + langid.WINDOW] for a in range(0, 1_000, langid.WINDOW)]
+    each = [network.texts([t])[0] * len(t) for t in cut]
+    assert np.allclose(network.texts([text])[0], sum(each) / 1_000, atol=1e-6)
+
+
+def test_language_is_not_lost_if_its_rows_share_an_id_or_are_equal(spark):
+    rows = [(i, "the house and the garden " * 4, "en") for i in range(400)] + [(3, "das haus und der garten " * 4, "de")] * 4_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.identify(df).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"en": 400, "de": 4_000}
+
+
+def test_language_filter_drops_what_no_language_is_like(spark):
+    r = np.random.default_rng(1)
+    words = {"en": "the and house of garden with water they were".split(), "de": "das und haus der garten mit wasser sie waren".split()}
+    rows = [(i, " ".join(r.choice(words[k], 40)), k) for i, k in enumerate(["en", "de"] * 400)]
+    junk = [(10_000 + i, "".join(map(chr, r.integers(0x4E00, 0x9000, 200))), None) for i in range(50)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = [x.doc_id for x in langid.keep_identified(df).collect()]
+    assert sum(i < 10_000 for i in kept) >= 0.99 * len(rows)
+
+
 @needs_tables
 def test_language_on_held_out_rows(spark):
     df = queries.op1_language(spark, str(FOLDER)).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
