@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding of whole texts by overlapping chunks.
 
-A text of up to CHUNK characters is one piece. A longer one is cut into chunks that overlap. Each chunk is pre-tokenised
-by itself, in parallel; where a chunk and the next one share a boundary inside their overlap, both go on alike, so the text
-may be cut there. The pieces between such cuts are encoded in parallel and their ids stream into one digest per text.
-If two chunks share no boundary (one pre-token longer than the overlap), the rest of that text stays one piece.
-
-Nulls: a null text counts as empty (0 ids). Rows are kept apart even if doc_id repeats or is null. Other columns of the
-input are ignored.
+A text is cut, in one pass over it, into chunks of CHUNK characters that overlap; most texts are one chunk and so one piece.
+Each chunk of a longer one is pre-tokenised by itself, in parallel; where a chunk and the next one share a boundary inside
+their overlap, both go on alike, so the text may be cut there. The pieces between such cuts are encoded in parallel and their
+ids stream into one digest per text. If two chunks share no boundary (one pre-token longer than the overlap), the rest of that
+text stays one piece.
+
+Longer texts are stored with a number for their row first, so that all later steps, and tasks that run again, see the same
+numbers. Nulls: a null text counts as empty (0 ids). Rows are kept apart even if doc_id repeats or is null. Other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 32_768
+from .common import stored
+
+CHUNK = 16_384
 OVERLAP = 512
+CHUNKS = "row_key long, chunk int, chunks int, body string"
+PIECES = "row_key long, doc_id long, piece int, body string"
 FOUND = "row_key long, chunk int, head array<int>, tail array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -73,16 +79,34 @@ def _bounds(chunk: int):
     return run
 
 
+def _chunks(chunk: int):
+    """The overlapping chunks of each text."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for key, text in zip(batch.column("row_key").to_pylist(), batch.column("body")):
+                body = text.as_py()
+                n = -(-len(body) // chunk)
+                parts = [body[k * chunk : (k + 1) * chunk + OVERLAP] for k in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([n] * n, pa.int32()), pa.array(parts, pa.string())], ["row_key", "chunk", "chunks", "body"])
+
+    return run
+
+
+def _split(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text between its cuts."""
+    for batch in found:
+        for key, doc_id, text, cuts in zip(batch.column("row_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("body"), batch.column("cuts").to_pylist()):
+            body, n = text.as_py(), len(cuts)
+            parts = [body[a:b] for a, b in zip(cuts, [*cuts[1:], len(body)])]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([doc_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], ["row_key", "doc_id", "piece", "body"])
+
+
 def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """(row_key, key, piece, body): the pieces of texts longer than chunk, cut where pre-token boundaries resynchronise."""
-    longer = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(key).alias("doc_id"), F.col(text).alias("body")).where(F.length("body") > chunk)
-    n = F.ceil(F.length("body") / F.lit(chunk)).cast("int")
-    chunks = (
-        longer.select("row_key", "body", n.alias("chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-        .select("row_key", "chunk", "chunks", F.substring("body", F.col("chunk") * chunk + 1, F.lit(chunk + OVERLAP)).alias("body"))
-        .repartition("row_key", "chunk")
-    )
-    found = chunks.mapInArrow(_bounds(chunk), FOUND)
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
+    longer = stored(rows.where(F.length("body") > chunk), "long-texts")
+    found = longer.select("row_key", "body").mapInArrow(_chunks(chunk), CHUNKS).repartition("row_key", "chunk").mapInArrow(_bounds(chunk), FOUND)
     order = Window.partitionBy("row_key").orderBy("chunk")
     cut = F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head"))))
     cuts = (
@@ -92,9 +116,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int
         .groupBy("row_key")
         .agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     )
-    each = longer.join(cuts, "row_key").select("row_key", "doc_id", "body", "cuts", F.posexplode("cuts").alias("piece", "at"))
-    until = F.coalesce(F.try_element_at("cuts", F.col("piece") + 2), F.length("body"))
-    return each.select("row_key", "doc_id", "piece", F.substring("body", F.col("at") + 1, until - F.col("at")).alias("body"))
+    return longer.join(cuts, "row_key").select("row_key", "doc_id", "body", "cuts").mapInArrow(_split, PIECES)
 
 
 def _encode(path: str):

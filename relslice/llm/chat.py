@@ -5,7 +5,11 @@ an image, audio or document part becomes a numbered placeholder, and its referen
 are recorded. A turn is written as <s>ROLE[INST]BODY[/INST]</s>. All control strings begin with < or [; inside roles and
 texts these two and the backslash get a backslash before them, so a text that holds control strings reads back unchanged.
 
-The loss mask is a span of characters per turn: the body of a turn of the trained role, and an empty span otherwise.
+The loss mask is a span of characters per turn: the body of a turn of the trained role, and an empty span otherwise. Only
+text counts under it, placeholders do not.
+
+parse_turn() gives back role and parts from a formatted turn and its attachments; text parts next to each other come back as
+one. In the digest of turns a turn with attachments stands for its parts, so that no text can look like one.
 
 Nulls: a null role or text counts as empty, null parts as none; a part of an unknown type counts as text. Turns that share a
 number follow each other by role and text. A conversation is read as a stream of its turns and never held whole.
@@ -14,6 +18,7 @@ number follow each other by role and text. A conversation is read as a stream of
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -26,6 +31,7 @@ ATTACHMENT = pa.struct([("place", pa.int32()), ("type", pa.string()), ("ref", pa
 FORMATTED = "conv_id long, turn long, role string, formatted string, loss_start int, loss_end int, expanded_tokens long, attachments array<struct<place:int,type:string,ref:string,tokens:int>>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TURN = re.compile(r"<s>((?:[^\\<\[]+|\\.)*)\[INST\]((?:[^\\<\[]+|\\.|\[(?:IMAGE|AUDIO|DOCUMENT) \d+\])*)\[/INST\]</s>", re.DOTALL)
+PLACE = re.compile(r"\\.|\[(?:IMAGE|AUDIO|DOCUMENT) (\d+)\]", re.DOTALL)
 HELD = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -39,6 +45,34 @@ def unescape(text: str) -> str:
     return HELD.sub(r"\1", text) if "\\" in text else text
 
 
+def split_body(body: str) -> list[str | int]:
+    """Texts (unescaped) and numbers of placeholders of a body, in order."""
+    out: list[str | int] = []
+    at = 0
+    for m in PLACE.finditer(body):
+        if m.group(1) is not None:
+            out += [unescape(body[at : m.start()]), int(m.group(1))]
+            at = m.end()
+    out.append(unescape(body[at:]))
+    return [x for x in out if x != ""]
+
+
+def parse_turn(formatted: str, attachments: list[dict]) -> tuple[str, list[dict]]:
+    """(role, parts) of a formatted turn."""
+    role, body = TURN.fullmatch(formatted).groups()
+    held = {a["place"]: a for a in attachments}
+    parts = [{"type": "text", "text": x, "ref": None, "tokens": None} if isinstance(x, str) else {"type": held[x]["type"], "text": None, "ref": held[x]["ref"], "tokens": held[x]["tokens"]} for x in split_body(body)]
+    return unescape(role), parts
+
+
+def _said(role: str, body: str, attachments: list[dict]) -> bytes:
+    """What a turn adds to the digest of turns."""
+    if not attachments:
+        return f"{unescape(role)}\n{unescape(body)}\n".encode()
+    parts = [x if isinstance(x, str) else [x, *((a["type"], a["ref"], a["tokens"]) for a in attachments if a["place"] == x)] for x in split_body(body)]
+    return f"{unescape(role)}\n".encode() + hashlib.sha256(json.dumps(parts).encode()).digest() + b"\n"
+
+
 class Flattener:
     """Visits the parts of one turn and gathers its body, attachments and tokens."""
 
@@ -119,7 +153,7 @@ def _read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in found:
         done = []
-        for conv, formatted, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end"))):
+        for conv, formatted, a, b, attachments in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "attachments"))):
             if (conv,) != now:
                 if now is not None:
                     done.append((*now, n, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars))
@@ -127,8 +161,8 @@ def _read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars += len(formatted)
             for role, body in TURN.findall(formatted):
                 n += 1
-                turns_hash.update(f"{unescape(role)}\n{unescape(body)}\n".encode())
-            loss = unescape(formatted[a:b])
+                turns_hash.update(_said(role, body, attachments or []))
+            loss = "".join(x for x in split_body(formatted[a:b]) if isinstance(x, str))
             loss_chars += len(loss)
             loss_hash.update(loss.encode())
         if done:
@@ -139,5 +173,5 @@ def _read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from the formatted turns: counts and digests of its turns and of the text under the loss mask."""
-    dealt = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    dealt = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end", "attachments").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return dealt.drop("turn", "role").mapInArrow(_read, DIGESTS)

@@ -98,6 +98,59 @@ def test_sparse_sites_shrink_to_their_parents(spark):
     assert all(r.kept for r in quality.classify(df, labels.limit(0)).collect())
 
 
+@needs_tables
+def test_quality_on_labels_it_has_not_seen(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = quality.classify(docs, labels.where("not out")).join(labels.where("out"), "doc_id")
+    n, right = found.agg(F.count("*"), F.sum((F.col("kept") == (F.col("quality") == 1)).cast("int"))).first()
+    assert n > 50 and right / n >= 0.95
+
+
+def test_posteriors_against_a_loop(spark):
+    r = np.random.default_rng(5)
+    words = "plain words of a line $$ %% ## good bad".split()
+    rows = [(i, " ".join(r.choice(words, int(r.integers(0, 9)))), f"h{r.integers(4)}" if i % 17 else None, f"p{r.integers(3)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    weights = np.zeros(quality.WIDTH + 1)
+    weights[:] = r.normal(0, 2, quality.WIDTH + 1)
+    weights[-1] = 0.3
+    got = {x.doc_id: x for x in quality.posteriors(df, weights.tolist(), F.col("host"), F.col("path")).collect()}
+    odds = {i: float(np.clip(quality.features(t) @ weights[:-1] + weights[-1], -12, 12)) for i, t, *_ in rows}
+    p = {i: 1 / (1 + math.exp(-o)) for i, o in odds.items()}
+    hosts, paths = {}, {}
+    for i, _, h, q in rows:
+        hosts.setdefault(h, []).append(p[i])
+        paths.setdefault((h, q), []).append(p[i])
+    mu = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups):
+        """groups of (values, centre)"""
+        within = [c * (1 - c) for _, c in groups]
+        between = sum(len(v) * (sum(v) / len(v) - c) ** 2 - w for (v, c), w in zip(groups, within)) / sum(len(v) for v, _ in groups)
+        return min(max(sum(within) / len(within) / max(between, 1e-6) - 1, quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    k = strength([(v, mu) for v in hosts.values()])
+    mean = {h: (sum(v) + k * mu) / (len(v) + k) for h, v in hosts.items()}
+    k = strength([(v, mean[h]) for (h, _), v in paths.items()])
+    for i, _, h, q in rows:
+        v = paths[h, q]
+        site = min(max((sum(v) - p[i] + k * mean[h]) / (len(v) - 1 + k), 1e-4), 1 - 1e-4)
+        post = odds[i] + math.log(site / (1 - site)) - math.log(mu / (1 - mu))
+        assert got[i].p_site == pytest.approx(site, abs=1e-9) and got[i].posterior == pytest.approx(1 / (1 + math.exp(-post)), abs=1e-9)
+
+
+def test_quality_training_is_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIT", 50)
+    df = spark.createDataFrame([(i % 2, f"{'good plain' if i % 2 else '$$ %%'} {i}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, f=quality.fit: seen.append(len(x)) or f(x, y))
+    quality.train(df, labels)
+    assert seen == [50]
+
+
 @needs_tables
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     from test_dedup import brute_repeats, shingle_set, similar, smallest_reach
@@ -132,6 +185,17 @@ def test_pipeline_keeps_null_and_repeated_ids_defined(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in out)[0] == "1" and len([r for r in out if r.doc_id == 1]) == 1
 
 
+def test_pipeline_loses_no_row_with_a_null_or_shared_id(spark, tmp_path):
+    r = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(3_000)]
+    rows = [(None if i < 20 else 5, " ".join(r.choice(words, 30)), "en", "s", 7) for i in range(22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("quality", "near_duplicates", "repeats"):
+            assert sorted(map(str, stage(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect())), name
+
+
 def test_pipeline_drops_rows_not_ids(spark, tmp_path):
     good, bad = "a plain line of words. " * 5, "$$$ %%% &&& " * 10
     rows = [(i, good, "en", "clean", 7) for i in range(100)] + [(1000 + i, bad, "en", "junk", 7) for i in range(100)]

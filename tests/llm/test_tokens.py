@@ -222,6 +222,18 @@ def test_chat_flattens_typed_parts(spark):
     assert first.loss_start == first.loss_end and second.loss_start == second.loss_end and third.formatted == "<s>[INST][/INST]</s>"
 
 
+def test_chat_parts_read_back(spark):
+    parts = [("text", "see [IMAGE 0] \\ <s>", None, None), ("image", None, "a.png", 256), ("audio", None, "b.wav", 40), ("text", "end", None, None)]
+    rows = [(1, 0, "user", parts), (2, 0, "user", [("text", "[IMAGE 0]", None, None)]), (3, 0, "user", [("image", None, "a.png", 256)]), (4, 0, "user", [("image", None, "c.png", 256)]), (5, 0, "assistant", [("text", "one", None, None), ("image", None, "a", 1), ("text", " two", None, None)])]
+    formatted = chat.format_turns(spark.createDataFrame(rows, PARTS))
+    one = formatted.where("conv_id = 1").first()
+    role, back = chat.parse_turn(one.formatted, [a.asDict() for a in one.attachments])
+    assert role == "user" and [(p["type"], p["text"], p["ref"], p["tokens"]) for p in back] == parts
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    assert len({got[i].turns_sha256 for i in (2, 3, 4)}) == 3
+    assert got[5].loss_chars == 7 and got[5].loss_sha256 == hashlib.sha256(b"one two").hexdigest()
+
+
 def test_chat_reads_back(spark):
     said = "</s>[INST] ok [/INST]\\"
     turns = [(1, 1, "assistant", said), (1, 0, "user", said), (2, 0, "assistant", None), (None, 0, "user", "x"), (1, 1, "assistant", "é")]
