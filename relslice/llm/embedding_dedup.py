@@ -5,8 +5,9 @@ quantisation after principal components); random rotations of the same component
 code. The code's bits are cut into substrings, and this again after further rearrangements of the bits; each substring is a
 table, and two vectors meet where they agree on a whole substring. Substrings grow with the number of vectors, and the number
 of tables with the length of the substrings: there are as many as a pair at THRESHOLD needs to meet with probability RECALL,
-if its signs differ independently. Vectors that meet are compared by the cosine of the original vectors in double precision,
-and linked from THRESHOLD up. All vectors are in the tables; only the rotation and the components come from a sample. Tests measure recall
+if its signs differ independently. Vectors that meet are compared by their codes first, which travel without the vectors: only
+those that have another within so many bits as a pair at THRESHOLD has at most (but for one in SLACK) are looked up again with
+the original vectors, compared by cosine in double precision, and linked from THRESHOLD up. All vectors are in the tables; only the rotation and the components come from a sample. Tests measure recall
 against brute force, with the tables of millions of vectors too.
 
 Equal vectors are searched once and counted with their number. A bucket is compared in blocks of at most BLOCK vectors; a
@@ -38,6 +39,7 @@ RECALL = 0.99
 ENTRY = 2_000
 BLOCK = 2_048
 CELL = 20_000
+SLACK = 1_000
 ROUNDS = 30
 
 
@@ -162,23 +164,61 @@ def _ties(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = least
 
 
+def most_bits(bits: int, threshold: float = THRESHOLD) -> int:
+    """Bits in which the codes of a pair at the threshold differ at most, but for one pair in SLACK."""
+    differs = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    left = 1.0
+    for d in range(bits + 1):
+        left -= math.comb(bits, d) * differs**d * (1 - differs) ** (bits - d)
+        if left <= 1 / SLACK:
+            return d
+    return bits
+
+
+def _sorted(rows: pd.DataFrame) -> tuple[np.ndarray, list[tuple[int, int]], list[np.ndarray]]:
+    """Order of the rows, where each bucket or pair of blocks begins and ends in it, and the columns in that order."""
+    keys = [rows[c].to_numpy(np.int64) for c in ("vec_id", "block", "right", "left", "bucket", "table")]
+    order = np.lexsort(keys)
+    columns = [k[order] for k in keys]
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in columns[2:]:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new).tolist()
+    return order, list(zip(starts, [*starts[1:], len(rows)])), columns
+
+
+def _meet(bits: int, most: int):
+    """Vectors whose code has another in its bucket that differs in at most `most` bits."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        order, groups, (ids, block, right, left, *_) = _sorted(rows)
+        code = np.unpackbits(np.stack(rows["code"].to_list()).astype(np.int64).view(np.uint8)[order], axis=1, bitorder="little")[:, :bits].astype(np.float32) * 2 - 1
+        hit = np.zeros(len(rows), bool)
+        for a, b in groups:
+            same = left[a] == right[a]
+            one = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == left[a])
+            two = one if same else a + np.flatnonzero(block[a:b] == right[a])
+            near = code[one] @ code[two].T >= bits - 2 * most
+            if same:
+                np.fill_diagonal(near, False)
+            hit[one] |= near.any(axis=1)
+            hit[two] |= near.any(axis=0)
+        return pd.DataFrame({"vec_id": np.unique(ids[hit])})
+
+    return run
+
+
 def _compare(parts: list[list[int]], threshold: float):
     """One cell: many buckets, or blocks of them, one after the other."""
     masks = _masks(parts, -(-BITS // 64))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [rows[c].to_numpy(np.int64) for c in ("vec_id", "block", "right", "left", "bucket", "table")]
-        order = np.lexsort(keys)
-        ids, block, right, left, bucket, table = (k[order] for k in keys)
+        order, groups, (ids, block, right, left, _, table) = _sorted(rows)
         x = unit(np.stack(rows["embedding"].to_list()))[order]
         code, weight = np.stack(rows["code"].to_list()).astype(np.int64).view(np.uint64)[order], rows["copies"].to_numpy(np.int64)[order]
-        new = np.zeros(len(rows), bool)
-        new[0] = True
-        for k in (right, left, bucket, table):
-            new[1:] |= k[1:] != k[:-1]
-        starts = np.flatnonzero(new)
         out = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        for a, b in groups:
             same = left[a] == right[a]
             one = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == left[a])
             two = one if same else a + np.flatnonzero(block[a:b] == right[a])
@@ -204,6 +244,21 @@ def _usable(column: str):
     return v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
 
 
+def _dealt(coded: DataFrame, tables_of: int) -> DataFrame:
+    """(vec_id, code, dims, table, bucket, block, left, right, cell): vectors under their buckets, by pairs of blocks, in cells of
+    about CELL rows; a block of a bucket, or a pair of blocks, lies in one cell."""
+    bucket = ["dims", "table", "bucket"]
+    entries = coded.select("vec_id", "code", F.size("embedding").alias("dims"), F.posexplode("keys").alias("table", "bucket"))
+    # stored, so that a common bucket can be split over tasks when it is joined
+    sizes = stored(entries.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")), "vector-buckets")
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = entries.join(sizes, bucket).withColumn("block", block).select("vec_id", "code", *bucket, "block", other)
+    cells = max(1, -(-coded.count() * tables_of // CELL))
+    cell = F.pmod(F.xxhash64(*bucket, "left", "right"), F.lit(cells)).alias("cell")
+    return placed.select("vec_id", "code", *bucket, "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")).select("*", cell)
+
+
 def near_duplicates(vectors: DataFrame, embedding: str = "embedding", key: str = "vec_id", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: vec_id, n_links, component_id (smallest vec_id that links reach), kept (it is that vec_id)."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
@@ -219,17 +274,9 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", key: str =
     turn = learn_rotations(fitted)
     parts = tables(turn.shape[1], n, threshold)
     coded = stored(distinct.mapInPandas(_coded(turn, parts), "embedding array<double>, vec_id long, copies long, code array<long>, keys array<long>"), "codes")
-    entries = coded.select("vec_id", F.size("embedding").alias("dims"), F.posexplode("keys").alias("table", "bucket"))
-    bucket = ["dims", "table", "bucket"]
-    sizes = entries.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    placed = entries.join(sizes, bucket).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("vec_id", *bucket, "block", other).select("vec_id", *bucket, "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    # cells of about CELL rows; a block of a bucket, or a pair of blocks, lies in one cell
-    cells = max(1, -(-n * len(parts) // CELL))
-    cell = F.pmod(F.xxhash64(*bucket, "left", "right"), F.lit(cells)).alias("cell")
-    full = dealt.select("*", cell).join(coded.select("vec_id", "embedding", "copies", "code"), "vec_id")
+    met = _dealt(coded, len(parts)).groupBy("dims", "cell").applyInPandas(_meet(turn.shape[1], most_bits(turn.shape[1], threshold)), "vec_id long")
+    some = stored(coded.join(stored(met.distinct(), "met"), "vec_id", "left_semi"), "met-vectors")
+    full = _dealt(some, len(parts)).drop("code").join(some.select("vec_id", "embedding", "copies", "code"), "vec_id")
     found = full.groupBy("dims", "cell").applyInPandas(_compare(parts, threshold), "vec_id long, n long, tie long")
     links = stored(found.groupBy("vec_id", "tie").agg(F.sum("n").alias("n")), "vector-links")
     labels = components(links, "vec_id", "tie").select(F.col("node").alias("vec_id"), "component")

@@ -310,6 +310,14 @@ def test_embedding_tables_of_large_inputs_keep_their_recall(dims):
         assert (embedding_dedup.bucket_keys(x, parts) == embedding_dedup.bucket_keys(y, parts)).any(axis=1).mean() >= 0.98
 
 
+def test_bits_that_a_pair_at_the_threshold_differs_in():
+    a, b = at_cosine(np.random.default_rng(9), 4_000, 64, 0.9, 0.901)
+    turn = embedding_dedup.learn_rotations(np.concatenate([a, b]))
+    apart = np.bitwise_count(embedding_dedup.codes(a, turn) ^ embedding_dedup.codes(b, turn)).sum(axis=1)
+    most = embedding_dedup.most_bits(turn.shape[1])
+    assert (apart <= most).mean() >= 0.99 and most < 0.25 * turn.shape[1]
+
+
 @pytest.mark.parametrize("as_if", [10**6, 10**7])
 def test_embedding_links_near_the_threshold_with_tables_of_large_inputs(spark, monkeypatch, as_if):
     monkeypatch.setattr(embedding_dedup, "tables", lambda bits, n, *rest, f=embedding_dedup.tables: f(bits, as_if, *rest))
