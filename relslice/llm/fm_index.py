@@ -116,18 +116,18 @@ def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[np.ndarray]
     documents of a match are looked at every LOOK words; where they are too late, p is taken as the last place reached.
     """
     m = np.array([len(q) for q in queries], np.int64)
-    table = np.zeros((len(queries), int(m.max(initial=1))), np.int64)
-    for i, q in enumerate(queries):
-        table[i, : m[i]] = q
+    base = np.cumsum(m) - m
+    words = np.concatenate([*queries, np.zeros(1, np.int64)])
     found = [np.zeros(max(0, k - window + 1), bool) for k in m.tolist()]
-    lengths = np.full((len(queries), table.shape[1] + 1), -1, np.int64)
+    lengths = np.full(len(words) + len(queries), -1, np.int64)
+    spot = base + np.arange(len(queries))  # where the lengths of a query begin
     start = np.zeros(len(queries), np.int64)
     reach = np.ones(len(queries), np.int64)  # windows that a try covers
     end = np.minimum(m, window)
     place, low, high = end.copy(), np.zeros(len(queries), np.int64), np.full(len(queries), index.n, np.int64)
     live = np.flatnonzero(m >= window)
     while len(live):
-        lo, hi = index.extend(table[live, place[live] - 1], low[live], high[live])
+        lo, hi = index.extend(words[base[live] + place[live] - 1], low[live], high[live])
         place[live] -= 1
         good = lo < hi
         place[live[~good]] += 1  # the match starts after the word that failed
@@ -139,7 +139,7 @@ def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[np.ndarray]
             place[live[late]] += 1  # at most so many words match
         done = live[~good]
         hit = live[good & (place[live] == start[live])]
-        lengths[hit, end[hit]], lengths[done, end[done]] = end[hit] - place[hit], end[done] - place[done]
+        lengths[spot[hit] + end[hit]], lengths[spot[done] + end[done]] = end[hit] - place[hit], end[done] - place[done]
         for i in hit.tolist():
             found[i][start[i] : end[i] - window + 1] = True
         long, short = done[reach[done] > 1], done[reach[done] == 1]
@@ -152,4 +152,4 @@ def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[np.ndarray]
         reach[again[end[again] - start[again] == window]] = 1
         place[again], low[again], high[again] = end[again], 0, index.n
         live = live[start[live] + window <= m[live]]
-    return found, [row[: k + 1] for row, k in zip(lengths, m.tolist())]
+    return found, [lengths[a : a + k + 1] for a, k in zip(spot.tolist(), m.tolist())]

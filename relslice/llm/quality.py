@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -109,10 +110,9 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posteriors(docs: DataFrame, weights: list[float], host: Column, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, host, path, p_document, p_site (its path's mean without it) and posterior, all from 0 to 1."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
-    scored = stored(rows.mapInArrow(_scores(weights), "doc_id long, host string, path string, odds double").withColumn("p", 1 / (1 + F.exp(-F.col("odds")))), "scores")
+def _sites(scored: DataFrame) -> tuple[DataFrame, float, float]:
+    """(sites, strength of a host for its paths, mean of all) from rows (host, path, p). Sites have the sums of their rows and
+    the mean of their host."""
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     mu = hosts.agg(((F.sum("s") + 1) / (F.sum("n") + 2)).alias("mu")).first().mu or 0.5
@@ -121,18 +121,60 @@ def posteriors(docs: DataFrame, weights: list[float], host: Column, path: Column
     path_level = paths.join(host_level, paths["host"].eqNullSafe(host_level["of_host"]))
     strength = path_level.agg(_strength(F.col("host_mean")).alias("k")).first().k or 1.0
     # stored, so that a host with very many documents can be split over tasks in the next join
-    path_level = stored(path_level.select("of_host", F.col("path").alias("of_path"), "n", "s", "host_mean"), "sites")
-    together = scored.join(path_level, scored["host"].eqNullSafe(path_level["of_host"]) & scored["path"].eqNullSafe(path_level["of_path"]))
-    site = (F.col("s") - F.col("p") + strength * F.col("host_mean")) / (F.col("n") - 1 + strength)
-    site = F.least(F.greatest(site, F.lit(1e-4)), F.lit(1 - 1e-4))
-    odds = F.col("odds") + _logit(F.col("p_site")) - float(np.log(mu / (1 - mu)))
-    return together.withColumn("p_site", site).select("doc_id", "host", "path", F.col("p").alias("p_document"), "p_site", (1 / (1 + F.exp(-odds))).alias("posterior"))
+    return stored(path_level.select("of_host", F.col("path").alias("of_path"), "n", "s", "host_mean"), "sites"), strength, mu
+
+
+def _site_mean(p: Column, strength: float) -> Column:
+    """The mean of a row's path without it, shrunk towards its host."""
+    site = (F.col("s") - p + strength * F.col("host_mean")) / (F.col("n") - 1 + strength)
+    return F.least(F.greatest(site, F.lit(1e-4)), F.lit(1 - 1e-4))
+
 
+def _posterior(odds: Column, site: Column, mu: float) -> Column:
+    return 1 / (1 + F.exp(-(odds + _logit(site) - float(np.log(mu / (1 - mu))))))
+
+
+def posteriors(docs: DataFrame, weights: list[float], host: Column, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, host, path, p_document, p_site (its path's mean without it) and posterior, all from 0 to 1."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("text"))
+    scored = stored(rows.mapInArrow(_scores(weights), "doc_id long, host string, path string, odds double").withColumn("p", 1 / (1 + F.exp(-F.col("odds")))), "scores")
+    sites, strength, mu = _sites(scored)
+    together = scored.join(sites, scored["host"].eqNullSafe(sites["of_host"]) & scored["path"].eqNullSafe(sites["of_path"]))
+    together = together.withColumn("p_site", _site_mean(F.col("p"), strength))
+    return together.select("doc_id", "host", "path", F.col("p").alias("p_document"), "p_site", _posterior(F.col("odds"), F.col("p_site"), mu).alias("posterior"))
+
+
+def _path(host: str, within: str) -> Column:
+    """The path of a document is its host and its value of `within`."""
+    return F.concat_ws("/", F.col(host), F.col(within))
+
+
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", within: str = "lang") -> DataFrame:
+    """posteriors() and kept (posterior >= KEEP)."""
+    weights = train(docs, labels, text, key)
+    return posteriors(docs, weights, F.col(host), _path(host, within), text, key).withColumn("kept", F.col("posterior") >= KEEP)
+
+
+def _with_odds(weights: list[float]):
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.array(weights)
+        for batch in found:
+            odds = [float(np.clip(features(t.as_py()) @ w[:-1] + w[-1], -12, 12)) for t in batch.column("_text")]
+            rest = [c for c in batch.schema.names if c != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(odds, pa.float64())], [*rest, "odds"])
+
+    return run
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", within: str = "lang", row: str | None = None) -> DataFrame:
-    """posteriors() and kept (posterior >= KEEP). The path of a document is its host and its value of `within`.
 
-    Labels are found by key; doc_id in the result is the column `row` instead, where that is given."""
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", within: str = "lang") -> DataFrame:
+    """The rows of docs that classify() keeps, each judged for itself whatever its key. Texts are scored twice, for the sites
+    and for the filter, and neither stored nor joined by key."""
     weights = train(docs, labels, text, key)
-    found = posteriors(docs, weights, F.col(host), F.concat_ws("/", F.col(host), F.col(within)), text, row or key)
-    return found.withColumn("kept", F.col("posterior") >= KEEP)
+    sided = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("host"), _path(host, within).alias("path"), F.col(text).alias("_text"))
+    scored = sided.select("host", "path", "_text").mapInArrow(_with_odds(weights), "host string, path string, odds double")
+    sites, strength, mu = _sites(stored(scored.select("host", "path", (1 / (1 + F.exp(-F.col("odds")))).alias("p")), "scores"))
+    fields = T.StructType([sided.schema["row"], sided.schema["host"], sided.schema["path"], T.StructField("odds", T.DoubleType())])
+    told = sided.mapInArrow(_with_odds(weights), fields)
+    together = told.join(sites, told["host"].eqNullSafe(sites["of_host"]) & told["path"].eqNullSafe(sites["of_path"]))
+    p = 1 / (1 + F.exp(-F.col("odds")))
+    return together.where(_posterior(F.col("odds"), _site_mean(p, strength), mu) >= KEEP).select("row.*")

@@ -3,13 +3,14 @@
 Words are runs of characters other than blank and \\t\\n\\v\\f\\r, unchanged. A window is WINDOW consecutive words of a document.
 A word goes if a window that covers it also starts in a document with a smaller doc_id; windows are judged on the input.
 
-1. Every window has one anchor: the place in it of the smallest hash among its runs of GRAM words. Equal windows have equal
-   anchors, so windows are compared only with those under the same anchor hash. The windows of a document that share an
-   anchor form a passage; copies of a passage (equal hashes of anchor and words) share one entry from here on.
+1. Every window has one anchor: the smallest hash among its runs of GRAM words. Equal windows have equal anchors, so windows are
+   compared only with those under the same anchor. Windows in a row of a document that have the same anchor form a passage,
+   also where the run of words comes again (as in texts that repeat themselves); copies of a passage (equal hashes of anchor
+   and words) share one entry from here on.
 2. A passage is trimmed to what can repeat: sorted by the words from the anchor on, the longest beginning that it shares with
    any other passage is that shared with a neighbour; likewise backwards from the anchor. Each sort is spread over tasks by
-   range, with the passage as the last key, so that a common passage is spread too; the first and last passage of a task are
-   left untrimmed. What is left of N documents around a common passage is a few pieces.
+   range, with the passage as the last key, so that a common passage is spread too; the first and last passage of a task, and
+   those in which the anchor comes again, are left untrimmed. What is left of N documents around a common passage is a few pieces.
 3. Pieces go to shards by their anchor. Each shard indexes its pieces (FMIndex) and streams them through it; backward search
    gives the matching statistics, of which stretches of a window and more in earlier documents are reported. An anchor with
    more than a shard's words is split: its pieces are indexed in blocks, and each piece is looked up in every block.
@@ -41,8 +42,8 @@ GRAM = 8
 SHARD_WORDS = 300_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # blanks to str.split() alone
-ANCHORS = "anchor long, passage long, doc_id long, part long, first int, size int, at int"
-BODIES = "anchor long, passage long, rank long, copied boolean, before string, after string"
+ANCHORS = "anchor long, passage long, doc_id long, part long, first int, size int, at int, again boolean"
+BODIES = "anchor long, passage long, rank long, whole boolean, before string, after string"
 PIECES = "anchor long, passage long, rank long, piece long, shift int, size int, body string"
 RESULT = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
 FOUND = "anchor long, piece long, runs array<struct<a:int,b:int,least:long>>"
@@ -53,14 +54,14 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if OTHER_BLANKS.search(text) else text.split()
 
 
-def anchors(words: list[str], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Per passage: hash at its anchor, its first word, its number of words, its words before the anchor, a hash of all its words."""
+def anchors(words: list[str], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Per passage: its anchor, its first word, its number of words, its words before the anchor, whether that comes again, a hash of all its words."""
     from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
     n = len(words)
     if n < window:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, []
+        return none, none, none, none, none, []
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     h = np.fromiter(map(xxh64_intdigest, raw), np.uint64, n)
     gram = min(gram, window)
@@ -71,27 +72,28 @@ def anchors(words: list[str], window: int = WINDOW, gram: int = GRAM) -> tuple[n
     grams ^= grams >> np.uint64(32)
     wide = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1)
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    least = grams[at]
+    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.concatenate([new[1:], [len(at)]]) - 1
     size = last - new + window
     joined = b" ".join(raw)
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1)
     a = np.concatenate([[0], ends])[new].tolist()
     b = (ends[new + size - 1] - 1).tolist()
-    return grams[at[new]].view(np.int64), new, size, at[new] - new, [xxh3_64_intdigest(joined[i:j]) - 2**63 for i, j in zip(a, b)]
+    return grams[at[new]].view(np.int64), new, size, at[new] - new, at[last] != at[new], [xxh3_64_intdigest(joined[i:j]) - 2**63 for i, j in zip(a, b)]
 
 
 def _anchors(window: int):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for doc, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("text")):
-                hashes, first, size, place, passages = anchors(words_of(text.as_py()), window)
-                for column, values in zip(out, (hashes, passages, [doc] * len(first), [part] * len(first), first, size, place)):
+                hashes, first, size, place, again, passages = anchors(words_of(text.as_py()), window)
+                for column, values in zip(out, (hashes, passages, [doc] * len(first), [part] * len(first), first, size, place, again)):
                     column.append(np.asarray(values, np.int64))
             if out[0]:
-                kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds)], ["anchor", "passage", "doc_id", "part", "first", "size", "at"])
+                kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds)], ["anchor", "passage", "doc_id", "part", "first", "size", "at", "again"])
 
     return run
 
@@ -104,9 +106,9 @@ def _cut_passages(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for w in wanted:
                 said, at = words[w["first"] : w["first"] + w["size"]], w["at"]
-                rows.append((w["anchor"], w["passage"], rank, w["copied"], "".join([x + " " for x in said[:at][::-1]]), "".join([x + " " for x in said[at:]])))
+                rows.append((w["anchor"], w["passage"], rank, w["whole"], "".join([x + " " for x in said[:at][::-1]]), "".join([x + " " for x in said[at:]])))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "passage", "rank", "copied", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "passage", "rank", "whole", "before", "after"])
 
 
 def common_words(a: str, b: str) -> int:
@@ -163,7 +165,7 @@ def _trimmed(window: int):
             out = []
             for row in batch.to_pylist():
                 before, after = row["before"].split(" ")[:-1], row["after"].split(" ")[:-1]
-                a, b = (len(before), len(after)) if row["copied"] else (row["shared"], row["after_shared"])
+                a, b = (len(before), len(after)) if row["whole"] else (row["shared"], row["after_shared"])
                 if a + b >= window:
                     body = " ".join(before[:a][::-1] + after[:b])
                     out.append((row["anchor"], row["passage"], row["rank"], xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - 2**63, len(before) - a, a + b, body))
@@ -245,8 +247,8 @@ def stretches(docs: DataFrame, part: Column, text: str = "text", key: str = "doc
     # stored, as are the other sides of joins, so that both are plain exchanges and a very common key can be split over tasks
     shared = stored(every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     held = stored(every.join(shared, "anchor"), "shared-anchors")
-    heads = held.groupBy("anchor", "passage", "size").agg(F.min(F.struct("doc_id", "part", "first", "at")).alias("head"), F.max("doc_id").alias("last"))
-    wanted = heads.select("head.doc_id", "head.part", F.struct("anchor", "passage", "head.first", "size", "head.at", (F.col("last") > F.col("head.doc_id")).alias("copied")).alias("w"))
+    heads = held.groupBy("anchor", "passage", "size").agg(F.min(F.struct("doc_id", "part", "first", "at")).alias("head"), F.max("doc_id").alias("last"), F.max("again").alias("again"))
+    wanted = heads.select("head.doc_id", "head.part", F.struct("anchor", "passage", "head.first", "size", "head.at", (F.col("again") | (F.col("last") > F.col("head.doc_id"))).alias("whole")).alias("w"))
     wanted = wanted.groupBy("doc_id", "part").agg(F.collect_list("w").alias("wanted"))
     bodies = stored(rows.join(wanted, ["doc_id", "part"]).mapInArrow(_cut_passages, BODIES), "bodies")
     # by range of the words themselves; a passage that many documents hold is spread by its hash
