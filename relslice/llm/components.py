@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large-star and small-star rounds of joins and minima.
 
-Each round is written to the shared folder, so lineage stays short and lost executors cost one round. Links may be repeated,
-in either direction, or lead from a node to itself; links with a null end are left out.
+Each round is written to the shared folder, so lineage stays short and lost executors cost one round. Minima are summed up in
+parts and stored before links are joined with them, so both sides of a join are plain exchanges and a node with very many links
+can be split over tasks. Links may be repeated, in either direction, or lead from a node to itself; links with a null end are
+left out.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the smallest node around it."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are tied to the smallest of them; each link has a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     others = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(others).distinct()
 
@@ -36,7 +38,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     edges = stored(ends.where("l is not null and r is not null and a > b").select("a", "b").distinct(), "links")
     mark = _mark(edges)
     for _ in range(most_rounds):
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        edges = stored(_small_star(stored(_large_star(edges), "stars")), "stars")
         before, mark = mark, _mark(edges)
         if mark == before:
             break
