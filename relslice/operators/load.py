@@ -41,12 +41,14 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 def upsert(target: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """target after updates: rows that match by key take the columns sent, others are added; adds `created`.
 
-    A column named in an update's _omit keeps the target's value; a null that is sent overwrites it."""
+    A column named in an update's _omit keeps the target's value; a null that is sent overwrites it. Keys have to be unique on
+    both sides, and updates without one are added: guarded_upsert() sees to that."""
     omit = F.coalesce(F.col("u._omit"), F.array().cast("array<string>")) if "_omit" in updates.columns else F.array().cast("array<string>")
-    joined = target.alias("t").join(updates.alias("u"), F.col(f"t.{key}") == F.col(f"u.{key}"), "full_outer")
-    sent = F.col(f"u.{key}").isNotNull()
+    there, sent_rows = target.withColumn("__there", F.lit(True)), updates.withColumn("__sent", F.lit(True))
+    joined = there.alias("t").join(sent_rows.alias("u"), F.col(f"t.{key}") == F.col(f"u.{key}"), "full_outer")
+    sent = F.col("u.__sent").isNotNull()
     values = [F.when(sent & ~F.array_contains(omit, c), F.col(f"u.{c}")).otherwise(F.col(f"t.{c}")).alias(c) for c in columns]
-    return joined.select(F.coalesce(f"t.{key}", f"u.{key}").alias(key), *values, F.col(f"t.{key}").isNull().alias("created"))
+    return joined.select(F.coalesce(f"t.{key}", f"u.{key}").alias(key), *values, F.col("t.__there").isNull().alias("created"))
 
 
 def refused(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:

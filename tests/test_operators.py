@@ -11,9 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from relslice.functions import mask
-from relslice.model import ForeignKey
+from relslice.model import Dataset, ForeignKey, TableSpec
 from relslice.operators import catalog, graph, idmap, load, scope, verify
 from relslice.operators.idmap import Rule
+from relslice.sources import tables
 
 EDGES = "src string, dst string, field string, nillable boolean, master_detail boolean, polymorphic boolean, kind string, pos int"
 
@@ -170,3 +171,88 @@ def test_semi_join_reads_only_the_keys(spark, tmp_path):
     out = scope.with_ids(child, "fk", scope.scan_ids(root, "rid", "rid < 3")).select("v")
     plan = out._jdf.queryExecution().toString()
     assert out.count() == 30 and "ReadSchema: struct<rid:bigint>" in plan and "unused" not in plan.split("== Physical Plan ==")[1] and "Cartesian" not in plan
+
+
+def small_dataset(spark):
+    """An account, contacts that point to it, notes on either, and owners above."""
+    owner = spark.createDataFrame([(1,), (2,), (3,)], "owner_id long")
+    account = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "account_id long, owner long")
+    contact = spark.createDataFrame([(20, 10, 3), (21, 11, 1), (22, None, 2)], "contact_id long, account long, owner long")
+    note = spark.createDataFrame([("account", 10), ("contact", 10), ("contact", 20), ("account", 11), (None, 10), ("account", 10)], "kind string, about long")
+    specs = {
+        s.name: s
+        for s in (
+            TableSpec("owner", "owner_id"),
+            TableSpec("account", "account_id", (ForeignKey("account", "owner", ("owner",)),)),
+            TableSpec("contact", "contact_id", (ForeignKey("contact", "account", ("account",)), ForeignKey("contact", "owner", ("owner",)))),
+            TableSpec("note", None, (ForeignKey("note", "about", ("account", "contact"), type_column="kind"),)),
+        )
+    }
+    return Dataset({"owner": owner, "account": account, "contact": contact, "note": note}, specs)
+
+
+def test_scopes_follow_declarations(spark):
+    data = small_dataset(spark)
+    found = scope.scopes(data, "account", spark.createDataFrame([(10,)], "id long"))
+    assert {k: v[0] for k, v in found.items()} == {"account": "root", "owner": "direct-parent", "contact": "direct-child", "note": "direct-child"}
+    assert rows(found["account"][1]) == [(10, 1)] and rows(found["owner"][1]) == [(1,)] and rows(found["contact"][1]) == [(20, 10, 3)]
+    up = scope.scopes(data, "contact", spark.createDataFrame([(20,), (22,)], "id long"))
+    assert up["owner"][0] == "direct-parent" and rows(up["owner"][1]) == [(2,), (3,)] and rows(up["account"][1]) == [(10, 1)]
+
+
+def test_guarded_upsert_neither_multiplies_nor_adds_rows(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "k string, v long")
+    updates = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30), ("c", 31), ("d", 40), (None, 50), ("", 60)], "k string, v long")
+    done, rejected = load.guarded_upsert(target, updates, "k", ["v"])
+    assert sorted(((r.k, r.v, r.created) for r in done.collect()), key=str) == sorted([("a", 10, False), ("b", 2, False), ("b", 3, False), (None, 4, False), ("d", 40, True)], key=str)
+    assert sorted((r.v, r.reject_reason) for r in rejected.collect()) == [(20, "repeated-on-target"), (30, "repeated-key"), (31, "repeated-key"), (50, "no-key"), (60, "no-key")]
+
+
+def test_names_held_twice_map_nothing(spark):
+    source = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, name string")
+    target = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", "y"), ("D", None)], "tid string, tname string")
+    assert rows(idmap.by_natural_key(source, target, "t", "id", "name", "tid", "tname")) == [("t", "1", "A")]
+    assert rows(idmap.adopt_duplicates(source, "id", "name", target, "tname", "tid", "t")) == [("t", "1", "A")]
+    assert rows(idmap.ambiguous_names(target, "tname")) == [("y", 2)]
+
+
+def test_layers_and_merges_settle_ties(spark):
+    m = "object string, source_id string, target_id string"
+    one = spark.createDataFrame([("t", "1", "a"), ("t", "1", "b"), ("t", "2", "")], m)
+    assert rows(idmap.layered(one)) == [("t", "1", "b")]
+    stamped = spark.createDataFrame([("t", "1", "a", 5), ("t", "1", "b", 5)], m + ", updated_at long")
+    assert rows(idmap.merge(stamped, stamped.where("target_id = 'a'"))) == [("t", "1", "a", 5)]
+
+
+def test_a_batch_stops_after_rejects_and_passes_over_finished_steps(spark):
+    people = spark.createDataFrame([(1, 9)], "id long, boss long")
+    rule = Rule(ForeignKey("people", "boss", ("people",)), "reject")
+    mint = lambda df, table, key: idmap.assign(df, table, key, "t")
+    steps = [("done", people, "id", []), ("people", people, "id", [rule]), ("later", people, "id", [])]
+    outcome, ids = load.stitch(steps, id_map(spark, []), mint, finished=("done",), stop_on_reject=True)
+    assert rows(outcome) == [("done", "already-run", 1), ("later", "not-run", 1), ("people", "rejected", 1)] and {r.object for r in ids.collect()} == {"people"}
+    assert ("later", "inserted", 1) in rows(load.stitch(steps, id_map(spark, []), mint)[0])
+
+
+def test_a_patch_with_a_null_overwrites(spark):
+    target = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "id string, v long, w string")
+    patches = spark.createDataFrame([("a", None), ("z", 5)], "id string, v long")
+    assert sorted(map(str, load.patch(target, "id", patches, ["v"]).collect())) == sorted(map(str, spark.createDataFrame([("a", None, "x"), ("b", 2, "y")], "id string, v long, w string").collect()))
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Session())
