@@ -109,6 +109,21 @@ def test_simhash_query_shape_and_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not FOLDER.is_dir(), reason="the given tables are not here")
+def test_simhash_query_over_a_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    fps = {}
+    for i, text in rows:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+        hashes = np.array([xxh64_intdigest(x.encode(), 42) for x in shingles], np.uint64)
+        fps[i] = sum(int(2 * int((hashes >> np.uint64(b) & np.uint64(1)).sum()) > len(hashes)) << b for b in range(64))
+    ids = sorted(fps)
+    want = smallest_reach(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash(spark, str(FOLDER)).collect()}
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in ids}
+
+
 def shingle_set(text, shingle=5):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} if len(words) > shingle else {tuple(words)} if words else set()

@@ -54,6 +54,14 @@ def test_round_trip_by_chunks(spark, reference, chunk):
         assert got[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_columns_with_clashing_names_do_no_harm(spark):
+    names = ("row_key", "piece", "body", "chunk", "ids", "n_tokens", "start", "length", "sequence_id", "range", "segment")
+    df = docs(spark).select("doc_id", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    assert bpe_codec.round_trip(df, RANKS, chunk=50).count() == len(ODD)
+    assert token_file.read_tokens(token_file.write_tokens(df, BYTES)).count() == len(ODD)
+    assert packing.pack_documents(df, WORDS).select("doc_id").distinct().count() == len(ODD)
+
+
 def test_round_trip_of_repeated_ids_and_no_rows(spark):
     same = spark.createDataFrame([(1, "ab " * 400), (1, "cd " * 300), (None, "x")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in bpe_codec.round_trip(same, RANKS, chunk=100).collect())[-1] > 300
