@@ -120,7 +120,7 @@ def noise_hidden_counts(spark, sf):
     return catalog.hidden_counts(derive(spark, sf, _LISTED))
 
 
-@query(f"WITH {C}, d AS (SELECT table_name, CASE WHEN NOT createable THEN 'non-createable' END AS why FROM c) SELECT table_name, count(*) FILTER (why IS NULL) AS kept, 0 AS formula, 0 AS audit, count(*) FILTER (why = 'non-createable') AS non_createable FROM d GROUP BY table_name")
+@query(f"WITH {C}, d AS (SELECT table_name, CASE WHEN NOT createable THEN 'non-createable' END AS why FROM c) SELECT table_name, count(*) FILTER (why IS NULL) AS kept, CAST(0 AS BIGINT) AS formula, CAST(0 AS BIGINT) AS audit, count(*) FILTER (why = 'non-createable') AS non_createable FROM d GROUP BY table_name")
 def catalog_field_filter_included(spark, sf):
     """Formula and audit columns are kept on request."""
     return catalog.filter_report(columns(spark, sf), include_formula=True, include_audit=True)
