@@ -57,20 +57,20 @@ def cap(value: Column, length: Column | int | None) -> Column:
 
 def preset(name: str, digest: Column) -> Column:
     """The mask of one preset from a keyed digest."""
-    a, b, c = draw(digest, 0), draw(digest, 1), draw(digest, 2)
+    a, b, c, d = (draw(digest, k) for k in range(4))
     if name == "email":
         return F.lower(F.concat(_pick(FIRST_NAMES, a), F.lit("."), _pick(LAST_NAMES, b), F.substring(digest, 17, 6), F.lit("@example.com")))
     if name == "phone":
         digits = F.lpad((draw(digest, 0) * 4 + b % 4).cast("string"), 11, "0")
         return F.concat(F.substring(digits, 2, 3), F.lit("-"), F.substring(digits, 5, 3), F.lit("-"), F.substring(digits, 8, 4))
     if name == "person-name":
-        return F.concat(_pick(FIRST_NAMES, a), F.lit(" "), _pick(LAST_NAMES, b))
+        return F.concat(_pick(FIRST_NAMES, a), F.lit(" "), _pick(FIRST_NAMES, d), F.lit(" "), _pick(LAST_NAMES, b), F.lit("-"), _pick(LAST_NAMES, c))
     if name == "street-address":
         return F.concat((a % 9899 + 1).cast("string"), F.lit(" "), _pick(STREETS, b))
     if name == "postal-code":
         return (F.lit(10000) + a % 90000).cast("string")
     if name == "generic-text":
-        return F.concat(_pick(WORDS, a), F.lit(" "), _pick(WORDS, c))
+        return F.concat(_pick(WORDS, a), _pick(WORDS, b), F.lit(" "), _pick(WORDS, c), _pick(WORDS, d))
     raise ValueError(f"no preset named {name}")
 
 

@@ -287,14 +287,14 @@ def _list(words: list[str], n: str) -> str:
 
 
 def preset_sql(name: str, d: str) -> str:
-    a, b, c = (draw_sql(d, k) for k in range(3))
+    a, b, c, e = (draw_sql(d, k) for k in range(4))
     return {
         "email": f"lower({_list(mask.FIRST_NAMES, a)} || '.' || {_list(mask.LAST_NAMES, b)} || substr({d}, 17, 6) || '@example.com')",
         "phone": f"substr(lpad(CAST({a} * 4 + {b} % 4 AS STRING), 11, '0'), 2, 3) || '-' || substr(lpad(CAST({a} * 4 + {b} % 4 AS STRING), 11, '0'), 5, 3) || '-' || substr(lpad(CAST({a} * 4 + {b} % 4 AS STRING), 11, '0'), 8, 4)",
-        "person-name": f"{_list(mask.FIRST_NAMES, a)} || ' ' || {_list(mask.LAST_NAMES, b)}",
+        "person-name": f"{_list(mask.FIRST_NAMES, a)} || ' ' || {_list(mask.FIRST_NAMES, e)} || ' ' || {_list(mask.LAST_NAMES, b)} || '-' || {_list(mask.LAST_NAMES, c)}",
         "street-address": f"CAST({a} % 9899 + 1 AS STRING) || ' ' || {_list(mask.STREETS, b)}",
         "postal-code": f"CAST(10000 + {a} % 90000 AS STRING)",
-        "generic-text": f"{_list(mask.WORDS, a)} || ' ' || {_list(mask.WORDS, c)}",
+        "generic-text": f"{_list(mask.WORDS, a)} || {_list(mask.WORDS, b)} || ' ' || {_list(mask.WORDS, c)} || {_list(mask.WORDS, e)}",
     }[name]
 
 
