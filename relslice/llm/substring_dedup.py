@@ -5,8 +5,8 @@ A word goes if a window that covers it also starts in a document with a smaller
 
 1. Every window has one anchor: the smallest hash among its runs of GRAM words. Equal windows have equal anchors, so windows are
    compared only with those under the same anchor. Windows in a row of a document that have the same anchor form a passage,
-   also where the run of words comes again (as in texts that repeat themselves); copies of a passage (equal hashes of anchor
-   and words) share one entry from here on.
+   also where the run of words comes again (as in texts that repeat themselves), at most LONGEST of them; copies of a passage
+   (equal hashes of anchor and words) share one entry from here on.
 2. A passage is trimmed to what can repeat: sorted by the words from the anchor on, the longest beginning that it shares with
    any other passage is that shared with a neighbour; likewise backwards from the anchor. Each sort is spread over tasks by
    range, with the passage as the last key, so that a common passage is spread too; the first and last passage of a task, and
@@ -39,6 +39,7 @@ from .fm_index import FMIndex, earlier_windows
 
 WINDOW = 50
 GRAM = 8
+LONGEST = 256  # windows of a passage
 SHARD_WORDS = 300_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # blanks to str.split() alone
@@ -73,7 +74,10 @@ def anchors(words: list[str], window: int = WINDOW, gram: int = GRAM) -> tuple[n
     wide = window - gram + 1
     at = np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1)
     least = grams[at]
-    new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    changed = np.concatenate([[True], least[1:] != least[:-1]])
+    here = np.arange(len(at))
+    begun = np.maximum.accumulate(np.where(changed, here, 0))
+    new = np.flatnonzero(changed | ((here - begun) % LONGEST == 0))
     last = np.concatenate([new[1:], [len(at)]]) - 1
     size = last - new + window
     joined = b" ".join(raw)
