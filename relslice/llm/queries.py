@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, embedding_dedup, langid, multiset_hash, packing, quality, simhash, substring_dedup, token_file
+from . import bpe_codec, chat, embedding_dedup, langid, merkle, multiset_hash, packing, quality, simhash, substring_dedup, token_file
 from .common import read
 
 
@@ -63,8 +63,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op5_embedding_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op5_embedding_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality, op11_merkle)}
 
 
 #: Digests of the turns, and of the text under the loss mask, straight from the table; the template's length is counted.
@@ -98,6 +102,33 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) A
 FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
 
 
+def _sized(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR) END"
+
+
+#: CRC-32 of the digits of doc_id, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda s, b: list_reduce(list_prepend(xor(s, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"
+_LEAF = f"sha256({_sized('doc_id')} || {_sized('source')} || {_sized('lang')} || {{}} || {_sized('text')})"
+
+#: Whole trees, level by level; folding goes up one step of every path at a time.
+OP11_SQL = f"""
+WITH RECURSIVE l AS (SELECT doc_id, lang, {_LEAF.format(_sized('n_chars'))} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF.format(_sized('(n_chars + 1)'))} END AS tampered FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t(lang, lvl, pos, h, n) AS (SELECT lang, 0, pos, leaf, n FROM k UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, pos, h, n) AS (SELECT 0, pos, subroot, n FROM s UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+g AS (SELECT DISTINCT lang, lvl FROM t WHERE n > 1), v AS (SELECT DISTINCT lvl FROM u WHERE n > 1),
+a AS (SELECT k.lang, k.pos, g.lvl, t.h, k.pos >> g.lvl & 1 AS odd FROM k JOIN g ON g.lang IS NOT DISTINCT FROM k.lang LEFT JOIN t ON t.lang IS NOT DISTINCT FROM k.lang AND t.lvl = g.lvl AND t.pos = xor(k.pos >> g.lvl, 1)
+  UNION ALL SELECT k.lang, k.pos, 100 + v.lvl, u.h, s.pos >> v.lvl & 1 FROM k JOIN s ON s.lang IS NOT DISTINCT FROM k.lang CROSS JOIN v LEFT JOIN u ON u.lvl = v.lvl AND u.pos = xor(s.pos >> v.lvl, 1)),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang, pos ORDER BY lvl) AS step, count(*) OVER (PARTITION BY lang, pos) AS steps FROM a),
+f(lang, pos, step, h) AS (SELECT lang, pos, 0, coalesce(tampered, leaf) FROM k
+  UNION ALL SELECT f.lang, f.pos, f.step + 1, sha256(CASE WHEN p.h IS NULL THEN f.h WHEN odd = 1 THEN p.h || f.h ELSE f.h || p.h END) FROM f JOIN p ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos AND p.step = f.step + 1),
+w AS (SELECT lang, pos, arg_max(h, step) AS folded FROM f GROUP BY lang, pos), q AS (SELECT lang, pos, string_agg(h, '' ORDER BY lvl) AS said FROM a GROUP BY lang, pos),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT k.doc_id, k.leaf, s.subroot, r.root, sha256(coalesce(q.said, '')) AS proof_sha256, w.folded AS folded_root, w.folded = r.root AS verified
+FROM k CROSS JOIN r JOIN s ON s.lang IS NOT DISTINCT FROM k.lang JOIN w ON w.lang IS NOT DISTINCT FROM k.lang AND w.pos = k.pos LEFT JOIN q ON q.lang IS NOT DISTINCT FROM k.lang AND q.pos = k.pos"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenizers, XXH64 and trained models are beyond SQL; tests/llm holds the other queries against brute force."""
-    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op11_merkle": OP11_SQL}
