@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, embedding_dedup, langid, merkle, multiset_hash, packing, quality, simhash, spelling, substring_dedup, token_file
+from . import bpe_codec, chat, embedding_dedup, langid, merkle, multiset_hash, packing, quality, simhash, spelling, substring_dedup, token_file, toxicity
 from .common import read
 
 
@@ -67,12 +67,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op5_embedding_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality, op11_merkle, op13_spelling)}
+    return {f.__name__: f for f in (op1_language, op2_bpe_round_trip, op3_chat_format, op4_substring_dedup, op5_embedding_dedup, op6_multiset_hash, op7_token_file, op8_simhash, op9_packing, op10_quality, op11_merkle, op12_toxicity, op13_spelling)}
 
 
 #: Digests of the turns, and of the text under the loss mask, straight from the table; the template's length is counted.
