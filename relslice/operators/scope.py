@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Dataset, ForeignKey
+from ..sources.tables import staged, staged_count
+
+Scopes = dict[str, tuple[str, DataFrame]]
 
 
 def present(column: str, df: DataFrame) -> Column:
@@ -93,7 +96,8 @@ def scopes(data: Dataset, root: str, root_ids: DataFrame, max_hops: int = 4, loo
 
     Direct parents and children of the root, tables that its children look up (by the (child, column) pairs in lookups; None
     takes all), and then further parents, at most max_hops above the root. A table that several paths reach takes the union of
-    them; transitive paths count only where there is no other. Only names are looked at here, no rows."""
+    them; transitive paths count only where there is no other. Only names are looked at here, no rows: a table is visited once, so
+    rows that are needed again from a deeper level are not in yet. closed() adds them."""
     out = {root: ("root", with_ids(data.tables[root], data.specs[root].key, root_ids))}
     near: dict[str, list[tuple[str, str, DataFrame]]] = {}
 
@@ -137,6 +141,106 @@ def scopes(data: Dataset, root: str, root_ids: DataFrame, max_hops: int = 4, loo
     return out
 
 
+def targets_of(data: Dataset, rows: DataFrame, fk: ForeignKey, target: str) -> DataFrame:
+    """(id): the rows of one target that a foreign key of rows points to, each once.
+
+    With several targets, the type column tells which one; without it, the first declared target that has the id."""
+    ids = _pointing(rows, fk, target).select(F.col(fk.column).alias("id")).where("id is not null").distinct()
+    if not fk.type_column:
+        for earlier in fk.targets[: fk.targets.index(target)]:
+            if earlier in data.tables:
+                ids = ids.join(data.tables[earlier].select(F.col(data.specs[earlier].key).alias("id")), "id", "left_anti")
+    return ids
+
+
+def _followed(data: Dataset, table: str, required: bool) -> list[tuple[ForeignKey, str]]:
+    """Foreign keys of a table with each of their targets that has a key; required: those alone that may not be null."""
+    keys = [fk for fk in data.parents(table) if fk.required or not required]
+    return [(fk, target) for fk in keys for target in fk.targets if target in data.tables and data.specs[target].key]
+
+
+def closed(data: Dataset, scopes: Scopes, required: bool = True, compact: int = 8) -> Scopes:
+    """Scopes with every row that rows in scope point to, and what those point to, until nothing is missing.
+
+    Follows required foreign keys, or all of them. Per table, only the rows that came new in a round are followed in the next one;
+    they are staged with their foreign keys, so a table is read once a round, and only where something points to it. Rows of one
+    table that point to each other (self references), several paths to a table and cycles between tables need nothing of their
+    own: the rounds end when no table has new rows, at the latest after as many as the longest chain of rows. Ids that the target
+    does not have stay open; dangling() reports them. A table that gains rows has `closure` among its kinds."""
+
+    def needed(table: str) -> list[str]:
+        own = [data.specs[table].key] if data.specs[table].key else []
+        return list(dict.fromkeys(own + [c for fk, _ in _followed(data, table, required) for c in (fk.column, fk.type_column) if c]))
+
+    held: dict[str, list[DataFrame]] = {}
+    new: dict[str, DataFrame] = {}
+    for table, (_, rows) in scopes.items():
+        if needed(table):
+            new[table] = staged(rows.select(*needed(table)), "scope")
+            if data.specs[table].key:
+                held[table] = [new[table].select(F.col(data.specs[table].key).alias("id"))]
+    gained: set[str] = set()
+    while new:
+        wanted: dict[str, list[DataFrame]] = {}
+        for table, rows in new.items():
+            for fk, target in _followed(data, table, required):
+                wanted.setdefault(target, []).append(targets_of(data, rows, fk, target))
+        new = {}
+        for target, ids in wanted.items():
+            open_ids = reduce(DataFrame.union, ids).distinct()
+            if target in held:
+                open_ids = open_ids.join(reduce(DataFrame.union, held[target]), "id", "left_anti")
+            key = data.specs[target].key
+            found, n = staged_count(with_ids(data.tables[target].select(*needed(target)), key, open_ids), "closure")
+            if n:
+                new[target] = found
+                gained.add(target)
+        for target, found in new.items():  # after all were compared with what was held before the round
+            parts = [*held.get(target, []), found.select(F.col(data.specs[target].key).alias("id"))]
+            held[target] = [staged(reduce(DataFrame.union, parts), "held")] if len(parts) > compact else parts
+    out = dict(scopes)
+    for table in gained:
+        kinds, before = scopes.get(table, ("", None))
+        rows = with_ids(data.tables[table], data.specs[table].key, reduce(DataFrame.union, held[table]))
+        out[table] = (",".join(sorted({*filter(None, kinds.split(",")), "closure"})), rows)
+    return out
+
+
+def dangling(data: Dataset, scopes: Scopes, required: bool = True) -> DataFrame:
+    """(table_name, column_name, target, reason, n): rows in scope whose foreign key leads to no row in scope.
+
+    The reason is not-in-scope, or not-in-source if the target table lacks the row itself."""
+    found = []
+    for table, (_, rows) in scopes.items():
+        for fk in data.parents(table):
+            if required and not fk.required:
+                continue
+            for target in fk.targets:
+                if target not in data.tables or not data.specs[target].key:
+                    continue
+                key = data.specs[target].key
+                lost = _pointing(rows, fk, target).select(F.col(fk.column).alias("id")).where("id is not null")
+                if len(fk.targets) > 1 and not fk.type_column:
+                    lost = lost.join(targets_of(data, rows, fk, target), "id", "left_semi")
+                    if target != fk.targets[-1]:  # what no target has is reported with the last one
+                        lost = with_ids(lost, "id", data.tables[target].select(key))
+                if target in scopes:
+                    lost = lost.join(scopes[target][1].select(F.col(key).alias("id")), "id", "left_anti")
+                there = data.tables[target].select(F.col(key).alias("id")).distinct().withColumn("there", F.lit(True))
+                judged = lost.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(there, "id", "left")
+                reason = F.when(F.col("there"), "not-in-scope").otherwise("not-in-source")
+                found.append(judged.groupBy(reason.alias("reason")).agg(F.sum("n").alias("n")).select(F.lit(table).alias("table_name"), F.lit(fk.column).alias("column_name"), F.lit(target).alias("target"), "reason", "n"))
+    if not found:
+        raise ValueError("no foreign key is declared for these tables")
+    return reduce(DataFrame.union, found)
+
+
+def scope_ids(data: Dataset, scopes: Scopes) -> DataFrame:
+    """(table_name, id): the ids in scope of every table with a key, as text."""
+    each = [rows.select(F.lit(name).alias("table_name"), F.col(data.specs[name].key).cast("string").alias("id")) for name, (_, rows) in scopes.items() if data.specs[name].key]
+    return reduce(DataFrame.union, each)
+
+
 def star_scopes(data: Dataset, root_ids: DataFrame) -> dict[str, tuple[str, DataFrame]]:
     """scopes() for a root of orders."""
     return scopes(data, "orders", root_ids)

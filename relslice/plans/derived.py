@@ -56,6 +56,15 @@ PARTIAL_MAP = "SELECT 'customer' AS object, CAST(c_custkey AS STRING) AS source_
 #: A target that has some of the customers already, under ids of its own.
 TARGET_CUSTOMERS = "SELECT c_name AS name, 'T' || CAST(c_custkey AS STRING) AS id, c_acctbal + 1 AS acctbal, c_mktsegment AS segment FROM {customer} WHERE c_custkey % 4 = 0"
 
+#: Customers name their first order, orders their customer and an earlier order: a cycle between tables and chains within one.
+HIERARCHY = {
+    "nation": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM {nation}",
+    "customer": """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, first_order FROM {customer}
+      LEFT JOIN (SELECT o_custkey, min(CAST(o_orderkey AS BIGINT)) AS first_order FROM {orders} GROUP BY o_custkey) f ON o_custkey = c_custkey""",
+    "orders": """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderdate, o_orderstatus,
+      CASE WHEN o_orderkey % 5 <> 0 THEN CAST(floor(o_orderkey / 2) AS BIGINT) END AS parent_order FROM {orders}""",
+}
+
 #: A load log, one row per event.
 LOG = """
 SELECT CAST(event_id AS STRING) AS source_id, CASE WHEN event_id % 3 = 0 THEN 'customer' ELSE 'orders' END AS table_name,

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import STAR, Dataset, ForeignKey, TableSpec
 from ..operators import graph, scope
 from ..sources.tables import dataset, staged, table, table_or_none
-from .derived import EDGES, ROOT, TIGHT, derive, plain
+from .derived import EDGES, HIERARCHY, ROOT, TIGHT, derive, plain
 from .registry import query
 
 COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "no_such_table"]
@@ -164,3 +165,80 @@ def scope_paths(spark, sf):
     edges = staged(derive(spark, sf, EDGES), "edges")
     lookups = edges.where("field = 'f4'").select(F.col("src").alias("child"), "field").distinct()
     return graph.scope_paths(edges, "t12", lookups, 3)
+
+
+# ---- scopes closed over rows
+
+#: Every row that a foreign key of the star schema ties to another, by table; lineitem has no key and is followed from the root.
+_STAR_LINKS = """k(a, x, b, y) AS (SELECT 'nation', n_nationkey, 'region', n_regionkey FROM nation UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM customer
+  UNION ALL SELECT 'supplier', s_suppkey, 'nation', s_nationkey FROM supplier UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey FROM orders)"""
+_SOME_SUPPLIERS = "s_nationkey % 5 = 2"
+_OF_THEM = f"lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE {_SOME_SUPPLIERS})"
+_STAR_CLOSURE = f"""{_STAR_LINKS}, r(t, i) AS (SELECT 'supplier', s_suppkey FROM supplier WHERE {_SOME_SUPPLIERS} UNION SELECT 'orders', l_orderkey FROM {_OF_THEM} UNION SELECT 'part', l_partkey FROM {_OF_THEM}
+  UNION SELECT 'supplier', l_suppkey FROM {_OF_THEM} UNION SELECT k.b, k.y FROM r JOIN k ON k.a = r.t AND k.x = r.i)"""
+
+
+def _of_suppliers(spark, sf):
+    data = dataset(spark, sf)
+    ids = staged(scope.scan_ids(data.tables["supplier"], "s_suppkey", _SOME_SUPPLIERS), "roots")
+    return data, scope.closed(data, scope.scopes(data, "supplier", ids), required=False)
+
+
+@query(f"WITH RECURSIVE {_STAR_CLOSURE} SELECT t AS table_name, count(*) AS n FROM r GROUP BY t UNION ALL SELECT 'lineitem', count(*) FROM {_OF_THEM}")
+def scope_closure_star(spark, sf):
+    """Nations are reached from suppliers at once and from customers of their orders three hops later; both count."""
+    _, reached = _of_suppliers(spark, sf)
+    return scope.scope_counts(reached).select("table_name", "n")
+
+
+_NESTED = {
+    "region": STAR["region"],
+    "nation": STAR["nation"],
+    "customer": TableSpec("customer", "c_custkey", (ForeignKey("customer", "c_nationkey", ("nation",), required=True), ForeignKey("customer", "first_order", ("orders",), required=True))),
+    "orders": TableSpec("orders", "o_orderkey", (ForeignKey("orders", "o_custkey", ("customer",), required=True), ForeignKey("orders", "parent_order", ("orders",), required=True))),
+}
+_NESTED_ROOT = "o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-01-01 00:00:00'"
+_NESTED_CLOSURE = f"""c AS ({plain(HIERARCHY["customer"])}), o AS ({plain(HIERARCHY["orders"])}),
+  k(a, x, b, y) AS (SELECT 'nation', n_nationkey, 'region', n_regionkey FROM nation UNION ALL SELECT 'customer', c_custkey, 'nation', c_nationkey FROM c UNION ALL SELECT 'customer', c_custkey, 'orders', first_order FROM c WHERE first_order IS NOT NULL
+    UNION ALL SELECT 'orders', o_orderkey, 'customer', o_custkey FROM o UNION ALL SELECT 'orders', o_orderkey, 'orders', parent_order FROM o WHERE parent_order IN (SELECT o_orderkey FROM o)),
+  r(t, i) AS (SELECT 'orders', o_orderkey FROM o WHERE {_NESTED_ROOT} UNION SELECT k.b, k.y FROM r JOIN k ON k.a = r.t AND k.x = r.i)"""
+
+
+def _nested(spark, sf):
+    data = Dataset({name: derive(spark, sf, HIERARCHY[name]) if name in HIERARCHY else table(spark, sf, name) for name in _NESTED}, _NESTED)
+    ids = scope.scan_ids(data.tables["orders"], "o_orderkey", _NESTED_ROOT)
+    return data, scope.closed(data, {"orders": ("root", scope.with_ids(data.tables["orders"], "o_orderkey", ids))})
+
+
+@query(f"WITH RECURSIVE {_NESTED_CLOSURE} SELECT t AS table_name, CAST(i AS VARCHAR) AS id FROM r")
+def scope_closure(spark, sf):
+    """Chains within orders, and a cycle between orders and customers, followed to their ends."""
+    data, reached = _nested(spark, sf)
+    return scope.scope_ids(data, reached)
+
+
+@query(
+    f"""WITH RECURSIVE {_NESTED_CLOSURE} SELECT 'orders' AS table_name, 'parent_order' AS column_name, 'orders' AS target, 'not-in-source' AS reason, count(*) AS n
+    FROM o WHERE o_orderkey IN (SELECT i FROM r WHERE t = 'orders') AND parent_order NOT IN (SELECT o_orderkey FROM o) HAVING count(*) > 0"""
+)
+def scope_dangling(spark, sf):
+    """Nothing points to a row out of scope; what the source itself lacks is named."""
+    return scope.dangling(*_nested(spark, sf))
+
+
+@query(
+    f"""WITH k AS (SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM {_OF_THEM})), c AS (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM k)))
+    SELECT 'customer' AS table_name, 'c_nationkey' AS column_name, 'nation' AS target, 'not-in-scope' AS reason, count(*) AS n FROM c WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE {_SOME_SUPPLIERS}) HAVING count(*) > 0"""
+)
+def scope_dangling_open(spark, sf):
+    """What scopes by names alone leave open: the nations of customers that are reached last."""
+    data = dataset(spark, sf)
+    ids = staged(scope.scan_ids(data.tables["supplier"], "s_suppkey", _SOME_SUPPLIERS), "roots")
+    return scope.dangling(data, scope.scopes(data, "supplier", ids))
+
+
+@query(f"WITH RECURSIVE {_STAR_CLOSURE} SELECT r.t AS table_name, count(*) AS n FROM r JOIN k ON k.a = r.t AND k.x = r.i LEFT JOIN r s ON s.t = k.b AND s.i = k.y WHERE s.i IS NULL GROUP BY r.t")
+def scope_dangling_closed(spark, sf):
+    """Closed scopes leave nothing open."""
+    data, reached = _of_suppliers(spark, sf)
+    return scope.dangling(data, reached, required=False).select("table_name", "n")

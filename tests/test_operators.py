@@ -256,3 +256,60 @@ def test_a_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_folder(Session())
+
+
+# ---- scopes closed over rows
+
+
+def made(spark, specs, **values):
+    """A dataset of tables given as lists of tuples; columns are the key and the foreign keys, all long."""
+    tables_of = {}
+    for name, spec in specs.items():
+        columns = list(dict.fromkeys(([spec.key] if spec.key else []) + [c for fk in spec.foreign_keys for c in (fk.column, fk.type_column) if c]))
+        typed = ", ".join(f"{c} {'string' if c.endswith('_type') else 'long'}" for c in columns)
+        tables_of[name] = spark.createDataFrame(values[name], typed)
+    return Dataset(tables_of, specs)
+
+
+def spec(name, *keys):
+    return TableSpec(name, f"{name}_id", tuple(ForeignKey(name, f"{name}_{t}", (t,), required=True) for t in keys))
+
+
+def ids_of(reached, name):
+    return sorted(r[0] for r in reached[name][1].select(f"{name}_id").collect())
+
+
+def test_a_table_that_a_deeper_level_needs_again_takes_those_rows_as_well(spark):
+    specs = {s.name: s for s in (spec("r", "a", "c"), spec("a", "d"), spec("c", "b"), spec("b", "d"), spec("d"))}
+    data = made(spark, specs, r=[(1, 1, 1), (2, 1, 1)], a=[(1, 1)], c=[(1, 1)], b=[(1, 2)], d=[(1,), (2,), (3,)])
+    root = spark.createDataFrame([(1,)], "id long")
+    by_name = scope.scopes(data, "r", root)
+    assert ids_of(by_name, "d") == [1] and rows(scope.dangling(data, by_name)) == [("b", "b_d", "d", "not-in-scope", 1)]
+    reached = scope.closed(data, by_name)
+    assert ids_of(reached, "d") == [1, 2] and reached["d"][0] == "closure,transitive" and ids_of(reached, "r") == [1]
+    assert rows(scope.dangling(data, reached)) == []
+
+
+def test_rows_that_point_within_their_table_and_in_circles_are_followed(spark):
+    node = TableSpec("n", "n_id", (ForeignKey("n", "n_up", ("n",), required=True), ForeignKey("n", "n_m", ("m",), required=True)))
+    back = TableSpec("m", "m_id", (ForeignKey("m", "m_n", ("n",), required=True), ForeignKey("m", "m_x", ("x",))))
+    data = made(spark, {"n": node, "m": back, "x": TableSpec("x", "x_id")}, n=[(i, i + 1, None) for i in range(1, 20)] + [(20, 99, 7), (40, 41, None), (41, 40, None)], m=[(7, 40, 5), (8, 1, None)], x=[(5,)])
+    start = {"n": ("root", data.tables["n"].where("n_id = 1"))}
+    reached = scope.closed(data, start, compact=3)
+    assert ids_of(reached, "n") == [*range(1, 21), 40, 41] and ids_of(reached, "m") == [7] and "x" not in reached
+    assert rows(scope.dangling(data, reached)) == [("n", "n_up", "n", "not-in-source", 1)]
+    assert ids_of(scope.closed(data, start, required=False), "x") == [5]
+
+
+def test_typed_and_first_declared_targets_are_told_apart(spark):
+    typed = TableSpec("t", None, (ForeignKey("t", "ref", ("a", "b"), type_column="ref_type", required=True), ForeignKey("t", "any", ("b", "a"), first_declared=True, required=True)))
+    data = made(spark, {"t": typed, "a": TableSpec("a", "a_id"), "b": TableSpec("b", "b_id")}, t=[(1, "a", 10), (2, "b", 11), (None, "b", None)], a=[(1,), (2,), (10,), (11,)], b=[(1,), (2,), (10,)])
+    reached = scope.closed(data, {"t": ("root", data.tables["t"])})
+    assert ids_of(reached, "a") == [1, 11] and ids_of(reached, "b") == [2, 10] and rows(scope.dangling(data, reached)) == []
+
+
+def test_closing_an_empty_scope_adds_nothing(spark):
+    specs = {s.name: s for s in (spec("r", "a"), spec("a"))}
+    data = made(spark, specs, r=[(1, 1)], a=[(1,)])
+    reached = scope.closed(data, {"r": ("root", data.tables["r"].where("r_id > 5"))})
+    assert list(reached) == ["r"] and reached["r"][1].count() == 0
