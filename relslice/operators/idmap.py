@@ -97,7 +97,8 @@ def remap(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFr
     """df with rewritten foreign keys (text), target_id, _omit (columns to leave out) and reject_reason.
 
     Null stays null. Rows whose foreign key is null do not take part in the look-up by a common key: they are dealt out by
-    their own key, so that they do not meet in one task. A polymorphic key looks only among rows of its type's table.
+    their own key, so that they do not meet in one task. A polymorphic key looks only among rows of its type's table. Of repeated
+    entries of the map, the larger target counts, as in layered(); they never multiply rows.
     """
     out = df.withColumn("__omit", F.array().cast("array<string>")).withColumn("__reject", F.array().cast("array<string>"))
     for i, rule in enumerate(rules):
@@ -106,10 +107,10 @@ def remap(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFr
         found = id_map.where(F.col("object").isin(targets))
         source = F.coalesce(F.col(column).cast("string"), F.concat(F.lit("\0"), F.col(key).cast("string")))
         if rule.key.type_column:
-            m = found.select(F.col("object").alias(f"__o{i}"), F.col("source_id").alias(f"__s{i}"), F.col("target_id").alias(f"__t{i}"))
+            m = found.groupBy(F.col("object").alias(f"__o{i}"), F.col("source_id").alias(f"__s{i}")).agg(F.max("target_id").alias(f"__t{i}"))
             out = out.join(m, (source == m[f"__s{i}"]) & (F.col(rule.key.type_column) == m[f"__o{i}"]), "left").drop(f"__o{i}")
         else:  # of several targets, the first declared one that has the id
-            m = found.groupBy(F.col("source_id").alias(f"__s{i}")).agg(F.min_by("target_id", place).alias(f"__t{i}"))
+            m = found.groupBy(F.col("source_id").alias(f"__s{i}")).agg(F.max_by("target_id", F.struct(-place, F.col("target_id"))).alias(f"__t{i}"))
             out = out.join(m, source == m[f"__s{i}"], "left")
         lost = F.col(column).isNotNull() & F.col(f"__t{i}").isNull()
         if rule.unmapped == "omit":
@@ -117,7 +118,7 @@ def remap(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFr
         if rule.unmapped == "reject":
             out = out.withColumn("__reject", F.when(lost, F.concat("__reject", F.array(F.lit(column)))).otherwise(F.col("__reject")))
         out = out.withColumn(column, F.col(f"__t{i}")).drop(f"__s{i}", f"__t{i}")
-    own = id_map.where(F.col("object") == table).select(F.col("source_id").alias("__own"), F.col("target_id"))
+    own = id_map.where(F.col("object") == table).groupBy(F.col("source_id").alias("__own")).agg(F.max("target_id").alias("target_id"))
     out = out.join(own, F.col(key).cast("string") == F.col("__own"), "left").drop("__own")
     reason = F.when(F.size("__reject") > 0, F.concat(F.lit("unresolved:"), F.array_join("__reject", ",")))
     return out.withColumn("_omit", F.col("__omit")).withColumn("reject_reason", reason).drop("__omit", "__reject")

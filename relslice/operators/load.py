@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
+from . import graph
 from .idmap import MAP, Rule, layered, remap
 
 
@@ -99,10 +100,42 @@ def first_phase(df: DataFrame, table: str, key: str, broken: str, rules: list[Ru
     return rows.withColumn("_omit", F.when(upserted, F.concat("_omit", F.array(F.lit(broken)))).otherwise(F.col("_omit"))).withColumn(broken, F.lit(None).cast("string"))
 
 
+def spread_rejects(rejected: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, depth): rejected rows (id, depth 0) and all rows that lead to one along links (child, parent), by the fewest links.
+
+    Null ends lead nowhere. Ids may be structs, (object, source_id) say, for links between tables. A chain takes a round per link;
+    only rows that were rejected in the last round are followed, so a row is never judged twice, in a circle either."""
+    down = links.where("child is not null and parent is not null").select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    return graph.walk(down, rejected.select(F.col("id").alias("node")).where("node is not null"), 1_000_000).withColumnRenamed("node", "id")
+
+
+def judge(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFrame, mint) -> DataFrame:
+    """(id, rejected) per row of df that is to be loaded, staged. id is the key as text.
+
+    A row is rejected if a key with the rule `reject` has no entry in the map, or leads within the table to a rejected row. Rows of
+    df count as entries of each other until one of them is rejected; the rejection then spreads along the keys within the table."""
+    hoped = layered(mint(df, table, key), id_map)
+    own = [r for r in rules if r.unmapped == "reject" and table in r.key.targets]
+    columns = [F.col(f"__own{i}") for i in range(len(own))]
+    kept = df
+    for i, r in enumerate(own):
+        inside = F.lit(True) if r.key.type_column is None else F.col(r.key.type_column) == table
+        kept = kept.withColumn(f"__own{i}", F.when(inside, F.col(r.key.column).cast("string")))
+    tried = staged(remap(kept, table, key, rules, hoped).select(F.col(key).cast("string").alias("id"), F.col("reject_reason").isNotNull().alias("bad"), *columns), "tried")
+    if not own:
+        return tried.select("id", F.col("bad").alias("rejected"))
+    links = tried.select(F.col("id").alias("child"), F.explode(F.array(*columns)).alias("parent"))
+    loaded = id_map.where(F.col("object") == table).select(F.col("source_id").alias("parent"))  # by an earlier run
+    spread = spread_rejects(tried.where("bad").select("id"), links.join(loaded, "parent", "left_anti")).select(F.col("id").alias("__id"))
+    return tried.join(spread, F.col("id") == F.col("__id"), "left").select("id", (F.col("bad") | F.col("__id").isNotNull()).alias("rejected"))
+
+
 def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame, mint, finished: tuple[str, ...] = (), stop_on_reject: bool = False) -> tuple[DataFrame, DataFrame]:
     """Run steps (table, rows, key, rules) in order over one shared id map; later steps resolve keys to earlier ones.
 
-    Returns (outcome per table, id map). mint(df, table, key) makes the map rows of a step; rows that the map has are skipped.
+    Returns (outcome per table, id map). mint(df, table, key) makes the map rows of a step; rows that the map has are skipped. Only
+    rows that are not rejected enter the map, so rejects spread to later steps and, along keys within a table, within a step; a
+    later run tries them again. A key that several rows share enters if none of them is rejected.
     The map and the outcomes are staged after each step, so a run that breaks off goes on from there. Steps in finished are not
     run again (outcome already-run); after a step with rejected rows, stop_on_reject leaves out the rest (not-run)."""
     id_map, outcomes, stopped = start.select(*MAP), [], False
@@ -111,13 +144,15 @@ def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame
             state = "already-run" if table in finished else "not-run"
             outcomes.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), F.lit(state).alias("outcome"), "n"))
             continue
-        known = id_map.where(F.col("object") == table).select(F.col("source_id").alias("__k"))
-        flagged = df.join(known, F.col(key).cast("string") == F.col("__k"), "left").withColumn("__done", F.col("__k").isNotNull()).drop("__k")
-        id_map = staged(layered(mint(df, table, key), id_map), "id-map")
-        rows = remap(flagged, table, key, rules, id_map)
-        state = F.when(F.col("__done"), "already-loaded").when(F.col("reject_reason").isNotNull(), "rejected").otherwise("inserted")
-        outcome = rows.groupBy(state.alias("outcome")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "outcome", "n")
-        outcomes.append(staged(outcome, "outcome"))
+        known = id_map.where(F.col("object") == table).select(F.col("source_id").alias("__k")).distinct()
+        flagged = df.join(known, F.col(key).cast("string") == F.col("__k"), "left")
+        todo = flagged.where("__k is null").drop("__k")
+        judged = staged(judge(todo, table, key, rules, id_map, mint), "judged")
+        bad = judged.where("rejected").select(F.col("id").alias("__bad"))
+        id_map = staged(layered(mint(todo.join(bad, F.col(key).cast("string") == F.col("__bad"), "left_anti"), table, key), id_map), "id-map")
+        new = judged.select(F.when(F.col("rejected"), "rejected").otherwise("inserted").alias("outcome"))
+        outcome = new.union(flagged.where("__k is not null").select(F.lit("already-loaded"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+        outcomes.append(staged(outcome.select(F.lit(table).alias("table_name"), "outcome", "n"), "outcome"))
         stopped = stop_on_reject and not outcomes[-1].where("outcome = 'rejected'").isEmpty()
     return reduce(DataFrame.union, outcomes), id_map
 

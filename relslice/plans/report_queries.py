@@ -221,6 +221,48 @@ def multi_step_control(spark, sf):
     return load.stitch(steps, derive(spark, sf, PARTIAL_MAP), mint, finished=("supplier",), stop_on_reject=True)[0]
 
 
+# ---- rejects that spread
+
+#: Nations without an entry in the map: their customers are rejected, then those customers' orders, orders after these, and lines.
+_KNOWN_NATIONS = "SELECT 'nation' AS object, CAST(n_nationkey AS STRING) AS source_id, 'N' || CAST(n_nationkey AS STRING) AS target_id FROM {nation} WHERE n_nationkey % 7 <> 3"
+_ALL_NATIONS = "SELECT 'nation' AS object, CAST(n_nationkey AS STRING) AS source_id, 'N' || CAST(n_nationkey AS STRING) AS target_id FROM {nation}"
+_FOLLOWING = """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_custkey, CASE WHEN parent_order IN (SELECT CAST(o_orderkey AS BIGINT) FROM {orders}) THEN parent_order END AS parent_order
+  FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(floor(o_orderkey / 2) AS BIGINT) END AS parent_order FROM {orders}) p"""
+_LINES = "SELECT CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS line, l_orderkey FROM {lineitem}"
+_FIRST_BAD = f"""o AS ({plain(_FOLLOWING)}), l AS ({plain(_LINES)}), c AS (SELECT c_custkey, c_nationkey % 7 = 3 AS bad FROM customer), b(k) AS (SELECT o_orderkey FROM o JOIN c ON c_custkey = o_custkey WHERE bad UNION SELECT o.o_orderkey FROM b JOIN o ON o.parent_order = b.k),
+  j AS (SELECT 'customer' AS table_name, bad, c_custkey AS id FROM c UNION ALL SELECT 'orders', k IS NOT NULL, o_orderkey FROM o LEFT JOIN b ON k = o_orderkey UNION ALL SELECT 'lines', k IS NOT NULL, line FROM l LEFT JOIN b ON k = l_orderkey)"""
+
+
+def _cascade(spark, sf, start):
+    customers, orders, lines = table(spark, sf, "customer"), derive(spark, sf, _FOLLOWING), derive(spark, sf, _LINES)
+    required = lambda name, column, target: Rule(ForeignKey(name, column, (target,), required=True), "reject")
+    steps = [
+        ("customer", customers, "c_custkey", [required("customer", "c_nationkey", "nation")]),
+        ("orders", orders, "o_orderkey", [required("orders", "o_custkey", "customer"), required("orders", "parent_order", "orders")]),
+        ("lines", lines, "line", [required("lines", "l_orderkey", "orders")]),
+    ]
+    return load.stitch(steps, start, mint)
+
+
+@query(f"WITH RECURSIVE {_FIRST_BAD} SELECT table_name, CASE WHEN bad THEN 'rejected' ELSE 'inserted' END AS outcome, count(*) AS n FROM j GROUP BY 1, 2")
+def reject_cascade(spark, sf):
+    """Rejects go from step to step and along orders that follow a rejected order."""
+    return _cascade(spark, sf, derive(spark, sf, _KNOWN_NATIONS))[0]
+
+
+@query(f"WITH RECURSIVE {_FIRST_BAD} SELECT DISTINCT table_name AS object, CAST(id AS VARCHAR) AS source_id FROM j WHERE NOT bad UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey % 7 <> 3")
+def reject_cascade_map(spark, sf):
+    """Only rows that were kept are in the map."""
+    return _cascade(spark, sf, derive(spark, sf, _KNOWN_NATIONS))[1].select("object", "source_id")
+
+
+@query(f"WITH RECURSIVE {_FIRST_BAD} SELECT table_name, CASE WHEN bad THEN 'inserted' ELSE 'already-loaded' END AS outcome, count(*) AS n FROM j GROUP BY 1, 2")
+def reject_retry(spark, sf):
+    """A second run, once the nations are there, loads what the first one rejected and nothing else."""
+    first = _cascade(spark, sf, derive(spark, sf, _KNOWN_NATIONS))[1]
+    return _cascade(spark, sf, idmap.layered(derive(spark, sf, _ALL_NATIONS), first))[0]
+
+
 # ---- masks, checked through the id map
 
 #: What went to the target: masked names, some clear, some lost; segments as they were.

@@ -230,7 +230,7 @@ def test_a_batch_stops_after_rejects_and_passes_over_finished_steps(spark):
     mint = lambda df, table, key: idmap.assign(df, table, key, "t")
     steps = [("done", people, "id", []), ("people", people, "id", [rule]), ("later", people, "id", [])]
     outcome, ids = load.stitch(steps, id_map(spark, []), mint, finished=("done",), stop_on_reject=True)
-    assert rows(outcome) == [("done", "already-run", 1), ("later", "not-run", 1), ("people", "rejected", 1)] and {r.object for r in ids.collect()} == {"people"}
+    assert rows(outcome) == [("done", "already-run", 1), ("later", "not-run", 1), ("people", "rejected", 1)] and ids.isEmpty()  # a rejected row does not enter the map
     assert ("later", "inserted", 1) in rows(load.stitch(steps, id_map(spark, []), mint)[0])
 
 
@@ -313,3 +313,44 @@ def test_closing_an_empty_scope_adds_nothing(spark):
     data = made(spark, specs, r=[(1, 1)], a=[(1,)])
     reached = scope.closed(data, {"r": ("root", data.tables["r"].where("r_id > 5"))})
     assert list(reached) == ["r"] and reached["r"][1].count() == 0
+
+
+# ---- rejects that spread
+
+
+def test_rejected_rows_stay_out_of_the_map_and_take_what_needs_them_along(spark):
+    mint = lambda df, name, key: idmap.assign(df, name, key, "t")
+    need = lambda name, column, target: Rule(ForeignKey(name, column, (target,), required=True), "reject")
+    a = spark.createDataFrame([(1,)], "id long")
+    b = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, a long")
+    c = spark.createDataFrame([(100, 10), (101, 11)], "id long, b long")
+    run = lambda a, start: load.stitch([("a", a, "id", []), ("b", b, "id", [need("b", "a", "a")]), ("c", c, "id", [need("c", "b", "b")])], start, mint)
+    outcome, made_map = run(a, id_map(spark, []))
+    assert rows(outcome) == [("a", "inserted", 1), ("b", "inserted", 2), ("b", "rejected", 1), ("c", "inserted", 1), ("c", "rejected", 1)]
+    assert sorted((r.object, r.source_id) for r in made_map.collect()) == [("a", "1"), ("b", "10"), ("b", "12"), ("c", "100")]
+    again, _ = run(a, made_map)
+    assert ("b", "rejected", 1) in rows(again) and ("c", "rejected", 1) in rows(again)
+    mended, whole = run(spark.createDataFrame([(1,), (2,)], "id long"), made_map)
+    assert rows(mended) == [("a", "already-loaded", 1), ("a", "inserted", 1), ("b", "already-loaded", 2), ("b", "inserted", 1), ("c", "already-loaded", 1), ("c", "inserted", 1)]
+    assert whole.count() == 7
+
+
+def test_rejects_spread_within_a_table_but_not_past_loaded_rows(spark):
+    mint = lambda df, name, key: idmap.assign(df, name, key, "t")
+    up = Rule(ForeignKey("n", "up", ("n",), required=True), "reject")
+    chain = [(i, i - 1 if i > 1 else 99) for i in range(1, 9)]  # 1 points nowhere
+    other = [(20, 21), (21, 20), (22, None), (23, 22), (24, 24), (30, 3)]  # 20 and 21 need each other; 30 is on the chain
+    df = spark.createDataFrame(chain + other, "id long, up long")
+    outcome, made_map = load.stitch([("n", df, "id", [up])], id_map(spark, []), mint)
+    assert rows(outcome) == [("n", "inserted", 5), ("n", "rejected", 9)]
+    outcome, made_map = load.stitch([("n", df, "id", [up])], id_map(spark, [("3", "T3")], "n"), mint)
+    assert rows(outcome) == [("n", "already-loaded", 1), ("n", "inserted", 11), ("n", "rejected", 2)]
+    loose = Rule(ForeignKey("n", "up", ("n",)), "null")
+    assert rows(load.stitch([("n", df, "id", [loose])], id_map(spark, []), mint)[0]) == [("n", "inserted", 14)]
+
+
+def test_repeated_entries_of_a_map_do_not_multiply_rows(spark):
+    df = spark.createDataFrame([(1, 10, "p")], "id long, p long, kind string")
+    ids = id_map(spark, [("10", "A"), ("10", "B")]).union(id_map(spark, [("1", "X"), ("1", "Y")], "c"))
+    for key in (ForeignKey("c", "p", ("p", "q"), type_column="kind"), ForeignKey("c", "p", ("p",)), ForeignKey("c", "p", ("q", "p"), first_declared=True)):
+        assert rows(idmap.remap(df, "c", "id", [Rule(key)], ids).select("p", "target_id")) == [("B", "Y")]
