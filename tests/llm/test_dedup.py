@@ -466,3 +466,34 @@ def test_lanes_add_and_take_away(spark):
     lanes = df.select(*[multiset_hash.whole_lanes(F.col(c)).alias(c) for c in "xyz"])
     row = lanes.select(multiset_hash.combine(F.col("y"), F.col("z")) == F.col("x"), multiset_hash.combine(F.col("x"), F.col("z"), -1) == F.col("y")).first()
     assert row[0] and row[1]
+
+
+def test_near_duplicates_behind_a_tie_that_does_not_hold_are_found(spark):
+    """Triples of which two pairs are similar and the third just looks so: no link is lost to the third one."""
+    from relslice.llm import simhash_texts
+
+    r, rows, want = np.random.default_rng(8), [], []
+
+    def changed(words, at):
+        out = words.copy()
+        out[at] = r.integers(10**9, 2 * 10**9, len(at))
+        return out
+
+    for t in range(40):
+        base = r.integers(0, 10**9, 1_000)
+        spots = np.arange(20, 1_000, 30)[: 2 * 13]
+        three = [base, changed(base, spots[:13]), changed(base, spots[13:])]
+        order = r.permutation(3)
+        sets = [simhash_texts.shingle_hashes(simhash_texts.word_hashes(" ".join(map(str, w)))) for w in three]
+        assert simhash_texts.alike(sets[0], sets[1]) and simhash_texts.alike(sets[0], sets[2]) and not simhash_texts.alike(sets[1], sets[2])
+        rows += [(3 * t + int(k), " ".join(map(str, w))) for k, w in zip(order, three)]
+        want += [(3 * t + k, 3 * t) for k in range(3)]
+    df = spark.createDataFrame(rows, "row long, text string").repartition(4)
+    got = simhash_texts.near_duplicate_texts(df).collect()
+    fps = {i: simhash_texts.word_fingerprint(simhash_texts.word_hashes(t)) for i, t in rows}
+    near = lambda a, b: bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1") <= simhash_texts.DISTANCE
+    # every link that the fingerprints bring together is there
+    texts = {i: simhash_texts.shingle_hashes(simhash_texts.word_hashes(t)) for i, t in rows}
+    group = {r.row: r.group for r in got}
+    met = [(a, b) for t in range(40) for a in range(3 * t, 3 * t + 3) for b in range(a + 1, 3 * t + 3) if near(a, b) and simhash_texts.alike(texts[a], texts[b])]
+    assert len(met) > 60 and all(group[a] == group[b] for a, b in met)
