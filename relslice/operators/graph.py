@@ -77,52 +77,81 @@ def closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None,
     return walk(edges, starts, most, stop).select("node")
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node along edges (src to dst), to its fixed point."""
-    labels = staged(labels, "labels")
+def _step(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """One round of (node, ahead, behind): the first node that a node is known to reach, and the first that is known to reach it.
+
+    Both move over an edge, or to what the node found so far has found itself, so what is seen of a path grows by half or more in a
+    round (names come in random order along a path)."""
+    none = F.lit(None).cast("string")
+    at = lambda column, value, name: state.select(F.col("node").alias(column), F.col(value).alias(name))
+    found = [
+        state.select("node", "ahead", "behind", F.col("ahead").alias("ahead0"), F.col("behind").alias("behind0")),
+        edges.join(at("dst", "ahead", "v"), "dst").select("src", "v", none, none, none),
+        edges.join(at("src", "behind", "v"), "src").select("dst", none, "v", none, none),
+        state.where("ahead <> node").join(at("n", "ahead", "v"), F.col("ahead") == F.col("n")).select("node", "v", none, none, none),
+        state.where("behind <> node").join(at("n", "behind", "v"), F.col("behind") == F.col("n")).select("node", none, "v", none, none),
+    ]
+    new = reduce(DataFrame.union, found).groupBy("node").agg(*[F.min(c).alias(c) for c in ("ahead", "behind", "ahead0", "behind0")])
+    return new.select("node", "ahead", "behind", ((F.col("ahead") < F.col("ahead0")) | (F.col("behind") < F.col("behind0"))).alias("moved"))
+
+
+def _acyclic(edges: DataFrame) -> DataFrame:
+    """(node): sources of edges that cannot reach a cycle. Edges to nodes that are done close; those to a node with one open edge
+    are drawn on to its end, so chains close in a logarithmic number of rounds. It ends when no node closes."""
+    open_edges, before = edges, None
     while True:
-        reached = edges.join(labels, edges["src"] == labels["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("up"))
-        new = labels.join(reached, "node", "left").select("node", F.least("label", "up").alias("label"), F.coalesce(F.col("up") < F.col("label"), F.lit(False)).alias("moved"))
-        new, moved = staged_with(new, F.count_if("moved"), "labels")
-        labels = new.drop("moved")
-        if not moved:
-            return labels
+        degree = open_edges.groupBy(F.col("src").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next"))
+        met = open_edges.join(degree, F.col("dst") == F.col("of"))  # edges to nodes without open edges close
+        drawn = met.select("src", F.when((F.col("n") == 1) & (F.col("src") != F.col("dst")), F.col("next")).otherwise(F.col("dst")).alias("dst")).distinct()
+        open_edges = staged(drawn, "open")
+        now = open_edges.select("src").distinct().count()
+        if now == before or not now:
+            return edges.select(F.col("src").alias("node")).distinct().join(open_edges.select(F.col("src").alias("node")), "node", "left_anti")
+        before = now
 
 
-def components(edges: DataFrame) -> DataFrame:
+NAME_AT = 17  # names of nodes follow 16 digits of their hash
+
+
+def _shuffled(node: str) -> Column:
+    """A name for a node whose order says nothing about its place in the graph."""
+    return F.concat(F.lpad(F.hex(F.xxhash64(node)), 16, "0"), F.col(node).cast("string"))
+
+
+def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more, or of one with an edge to itself.
 
-    Nodes without a way in or out are peeled off; labels then spread forwards, and what reaches its label's node backwards
-    within the label is a component. Rounds go on with the rest. The component is named by its smallest node.
-    """
+    In each round, every node learns the first node (in an order by hash) that it reaches, and the first that reaches it. Nodes for
+    which these are one node are its component. Edges between nodes that differ in either cannot be part of a cycle; the rounds
+    go on with the rest, which falls apart into ever smaller pieces; after two rounds, edges of nodes that reach no cycle
+    or that no cycle reaches go too. The numbers of rounds grow with the logarithm of the longest path. The component is named by its smallest node; nodes are text."""
     every = edges.select("src", "dst").distinct()
-    loops = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("label"))
-    rest, size = staged_count(every.where("src <> dst"), "edges")
+    loops = every.where("src = dst").select(F.col("src").cast("string").alias("node")).withColumn("component", F.col("node"))
+    rest, size = staged_count(every.where("src <> dst").select(_shuffled("src").alias("src"), _shuffled("dst").alias("dst")), "edges")
     found: DataFrame | None = None
-    while True:
-        while size:
-            live = rest.select(F.col("src").alias("node")).intersect(rest.select("dst"))
-            kept, left = staged_count(rest.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(live.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "edges")
-            before, size, rest = size, left, kept
-            if size == before:
-                break
+    for turn in range(most):
+        if turn == 2:  # what has not fallen apart by now may be long chains
+            for turned in (False, True):
+                way = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else rest
+                free = staged(_acyclic(way), "free").select(F.col("node").alias("dst" if turned else "src"))
+                rest, size = staged_count(rest.join(free, free.columns[0], "left_anti").select("src", "dst"), "edges")
         if not size:
             break
-        nodes = rest.select(F.col("src").alias("node")).distinct()
-        labels = _spread(nodes.withColumn("label", F.col("node")), rest)
-        inside = staged(
-            rest.join(labels.select(F.col("node").alias("src"), F.col("label").alias("l")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("m")), "dst").where("l = m").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inside"
-        )
-        back = staged(walk(inside, labels.where("node = label").select("node"), 1_000_000).select("node").join(labels, "node"), "back")
-        found = back if found is None else found.union(back)
-        gone = back.select("node")
-        rest, size = staged_count(rest.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        state = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+        state, moved = staged(state.select("node", F.col("node").alias("ahead"), F.col("node").alias("behind")), "state"), 1
+        while moved:
+            state, moved = staged_with(_step(state, rest), F.count_if("moved"), "state")
+            state = state.drop("moved")
+        one = state.where("ahead = behind").select("node", F.col("ahead").alias("label"))
+        found = one if found is None else found.union(one)
+        a, b = state.select(F.col("node").alias("src"), F.col("ahead").alias("a1"), F.col("behind").alias("b1")), state.select(F.col("node").alias("dst"), F.col("ahead").alias("a2"), F.col("behind").alias("b2"))
+        rest, size = staged_count(rest.join(a, "src").join(b, "dst").where("a1 = a2 and b1 = b2 and a1 <> b1").select("src", "dst"), "edges")
     if found is None:
-        return loops.select("node", F.col("label").alias("component"))
-    large = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).where("n > 1")
-    big = found.join(large, "label").select("node", "component")
-    single = loops.join(big.select("node"), "node", "left_anti").select("node", F.col("label").alias("component"))
-    return big.union(single)
+        return loops
+    named = found.select(F.substring("node", NAME_AT, 1_000_000).alias("node"), "label")
+    large = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).where("n > 1")
+    big = named.join(large, "label").select("node", "component")
+    return big.union(loops.join(big.select("node"), "node", "left_anti"))
 
 
 def break_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,20 +174,55 @@ def cycle_steps(breaks: DataFrame) -> DataFrame:
 def load_waves(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, wave): every node comes in a later wave than what it points to; a component is one step.
 
-    A level that keeps rising for more than `most` rounds is an error."""
+    The table of a round has the edges that are still open, each with the number of waves it spans, and a row without `b` per
+    step, the least wave that closed edges demand. An edge to a step without open edges closes. An edge to a step with one open
+    edge is drawn on to that edge's end: chains and trees, hierarchies of rows say, double their reach in a round; what
+    branches and meets again takes a round a level. A cycle that labels do not name is an error."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    named = staged(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("step")), "steps")
+    named, n = staged_count(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("step")), "steps")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     s, d = named.select(F.col("node").alias("src"), F.col("step").alias("a")), named.select(F.col("node").alias("dst"), F.col("step").alias("b"))
-    between = staged(edges.join(s, "src").join(d, "dst").where("a <> b").select("a", "b").distinct(), "between")
-    levels = staged(named.select(F.col("step").alias("a")).distinct().withColumn("wave", F.lit(0)), "levels")
+    between = edges.select("src", "dst").distinct().join(s, "src").join(d, "dst").where("a <> b").select("a", "b", one.alias("w")).distinct()
+    floor = named.select(F.col("step").alias("a"), F.lit(None).cast(named.schema["step"].dataType).alias("b"), zero.alias("w")).distinct()
+    state, left = staged_with(between.union(floor), F.count("b"), "waves")
+    for _ in range(most):
+        if not left:
+            return named.join(state, named["step"] == state["a"]).select("node", F.col("w").cast("int").alias("wave"))
+        status = state.groupBy(F.col("a").alias("of")).agg(F.max(F.when(F.col("b").isNull(), F.col("w"))).alias("least"), F.count("b").alias("open"), F.min("b").alias("next"), F.max(F.when(F.col("b").isNotNull(), F.col("w"))).alias("span"))
+        met = state.where("b is not null").join(status, F.col("b") == F.col("of"))
+        closed = met.where("open < 2").select("a", F.lit(None).cast(state.schema["b"].dataType).alias("b"), (F.col("least") + F.col("w")).alias("w"))
+        drawn = met.where("open > 0").select("a", F.when(F.col("open") == 1, F.col("next")).otherwise(F.col("b")).alias("b"), F.when(F.col("open") == 1, F.col("w") + F.col("span")).otherwise(F.col("w")).alias("w"))
+        new = state.where("b is null").union(closed).union(drawn).groupBy("a", "b").agg(F.max("w").alias("w"))
+        state, left = staged_with(new, F.when(F.max("w") > n, F.lit(-1).cast("long")).otherwise(F.count("b")), "waves")
+        if left < 0:  # a path longer than there are nodes
+            raise RuntimeError("load order has a circle; are components missing?")
+    raise RuntimeError("load order did not settle")
+
+
+def feedback_edges(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """(edges to leave out at first, components that stay): without the former, the latter are all that is cyclic.
+
+    Only nillable edges are left out. In each component, tables that many others point to come first (by edges in less edges
+    out); nillable edges against that order go, or, if there are none, the component's break edge. That is repeated on what
+    stays cyclic, until the components left have required edges alone and cannot be loaded."""
+    every = staged(edges.withColumn("__id", F.monotonically_increasing_id()), "edges")
+    gone: DataFrame | None = None
     for _ in range(most):
-        up = between.join(levels.select(F.col("a").alias("b"), "wave"), "b").groupBy("a").agg((F.max("wave") + 1).alias("up"))
-        new = levels.join(up, "a", "left").select("a", F.greatest("wave", "up").alias("wave"), F.coalesce(F.col("up") > F.col("wave"), F.lit(False)).alias("moved"))
-        new, moved = staged_with(new, F.count_if("moved"), "levels")
-        levels = new.drop("moved")
-        if not moved:
-            return named.join(levels, named["step"] == levels["a"]).select("node", "wave")
-    raise RuntimeError("load order did not settle; are components missing?")
+        rest = every if gone is None else every.join(gone, "__id", "left_anti")
+        labels = staged(components(rest), "components")
+        a, b = labels.select(F.col("node").alias("src"), "component"), labels.select(F.col("node").alias("dst"), F.col("component").alias("other"))
+        inner = staged(rest.join(a, "src").join(b, "dst").where("component = other").drop("other"), "inner")
+        surplus = inner.select(F.col("src").alias("node"), F.lit(-1).alias("s")).union(inner.select("dst", F.lit(1))).groupBy("node").agg(F.struct((-F.sum("s")).alias("s"), F.col("node").alias("name")).alias("place"))
+        place = lambda end: surplus.select(F.col("node").alias(end), F.col("place").alias(f"{end}_place"))
+        against = F.col("src_place") <= F.col("dst_place")  # an edge to itself too
+        free = inner.where("nillable").join(place("src"), "src").join(place("dst"), "dst").select("component", "__id", "pos", against.alias("against"))
+        chosen = free.groupBy("component").agg(F.count_if("against").alias("n"), F.min_by("__id", F.struct("pos", "__id")).alias("first"))
+        cut, n = staged_count(free.join(chosen, "component").where("against or (n = 0 and __id = first)").select("__id"), "cut")
+        if not n:
+            out = every.where("false") if gone is None else every.join(gone, "__id", "left_semi")
+            return out.drop("__id"), labels
+        gone = cut if gone is None else gone.union(cut)
+    raise RuntimeError("feedback edges did not settle")
 
 
 def scope_paths(edges: DataFrame, root: str, lookups: DataFrame, max_hops: int) -> DataFrame:

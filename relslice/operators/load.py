@@ -93,11 +93,19 @@ def backfill(rows: DataFrame, table: str, key: str, column: str, other: str, id_
     return pending.join(far, "__fk", "left").join(own, "source_id", "left").select("source_id", "target_id", "fk_target_id", reason.alias("reason"))
 
 
-def first_phase(df: DataFrame, table: str, key: str, broken: str, rules: list[Rule], id_map: DataFrame, key_column: str | None = None) -> DataFrame:
-    """First phase of a cycle: rows are rewritten, with the broken column null for inserts and left out for upserts."""
-    rows = remap(df, table, key, [r for r in rules if r.key.column != broken], id_map)
+def backfill_all(rows: DataFrame, table: str, key: str, broken: list[tuple[str, str]], id_map: DataFrame) -> DataFrame:
+    """backfill() for several broken (column, table it points to), with column_name."""
+    each = [backfill(rows, table, key, column, other, id_map).withColumn("column_name", F.lit(column)) for column, other in broken]
+    return reduce(DataFrame.union, each)
+
+
+def first_phase(df: DataFrame, table: str, key: str, broken: str | list[str], rules: list[Rule], id_map: DataFrame, key_column: str | None = None) -> DataFrame:
+    """First phase of a cycle: rows are rewritten, with the broken columns null for inserts and left out for upserts."""
+    broken = [broken] if isinstance(broken, str) else broken
+    rows = remap(df, table, key, [r for r in rules if r.key.column not in broken], id_map)
     upserted = has_key(key_column) if key_column else F.lit(False)
-    return rows.withColumn("_omit", F.when(upserted, F.concat("_omit", F.array(F.lit(broken)))).otherwise(F.col("_omit"))).withColumn(broken, F.lit(None).cast("string"))
+    left_out = F.when(upserted, F.concat("_omit", F.array(*map(F.lit, broken)))).otherwise(F.col("_omit"))
+    return rows.withColumn("_omit", left_out).withColumns({c: F.lit(None).cast("string") for c in broken})
 
 
 def spread_rejects(rejected: DataFrame, links: DataFrame) -> DataFrame:

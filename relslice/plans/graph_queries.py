@@ -169,6 +169,25 @@ def load_waves(spark, sf):
     return graph.load_waves(every, staged(graph.components(every), "components"))
 
 
+@query(
+    f"""WITH RECURSIVE h AS (SELECT src, dst FROM ({plain(EDGES)}) q WHERE NOT nillable), r(a, b) AS (SELECT src, dst FROM h UNION SELECT r.a, h.dst FROM r JOIN h ON h.src = r.b)
+    SELECT x.a AS node, min(y.b) AS component FROM r x JOIN r y ON x.a = y.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a"""
+)
+def cycle_feedback_rest(spark, sf):
+    """What stays cyclic once a set of nillable edges is left out: the cycles of required edges alone."""
+    return graph.feedback_edges(edges(spark, sf))[1]
+
+
+_ORDERS_AFTER = "SELECT CAST(o_orderkey AS STRING) AS src, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS STRING) AS dst FROM {orders}"
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS node, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS wave FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+def load_waves_rows(spark, sf):
+    """Rows of a hierarchy in an order that puts parents first: each order after its customer's order before it."""
+    after = staged(derive(spark, sf, _ORDERS_AFTER).where("dst is not null"), "hierarchy")
+    return graph.load_waves(after, staged(graph.components(after), "components"))
+
+
 @query(
     f"""WITH RECURSIVE {E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(node, depth) AS (SELECT '{ROOT}', 0 UNION SELECT b.dst, depth + 1 FROM w JOIN b ON b.src = w.node WHERE depth < 2) SELECT node, min(depth) AS depth FROM w GROUP BY node"""
 )

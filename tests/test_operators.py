@@ -354,3 +354,64 @@ def test_repeated_entries_of_a_map_do_not_multiply_rows(spark):
     ids = id_map(spark, [("10", "A"), ("10", "B")]).union(id_map(spark, [("1", "X"), ("1", "Y")], "c"))
     for key in (ForeignKey("c", "p", ("p", "q"), type_column="kind"), ForeignKey("c", "p", ("p",)), ForeignKey("c", "p", ("q", "p"), first_declared=True)):
         assert rows(idmap.remap(df, "c", "id", [Rule(key)], ids).select("p", "target_id")) == [("B", "Y")]
+
+
+# ---- long and tangled graphs
+
+
+def test_long_chains_and_circles_take_few_rounds(spark, monkeypatch):
+    jobs = []
+    for name in ("staged", "staged_with", "staged_count"):
+        monkeypatch.setattr(graph, name, lambda *a, f=getattr(tables, name): (jobs.append(1), f(*a))[1])
+    n = 100
+    chain = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(n)], "src string, dst string").repartition(3)
+    waves = graph.load_waves(chain, spark.createDataFrame([], "node string, component string"))
+    assert rows(waves) == [(f"n{i:04}", n - i) for i in range(n + 1)] and len(jobs) <= 20
+    with pytest.raises(RuntimeError):
+        graph.load_waves(chain.union(spark.createDataFrame([(f"n{n:04}", "n0000")], "src string, dst string")), spark.createDataFrame([], "node string, component string"))
+    jobs.clear()
+    circle = spark.createDataFrame([(f"n{i:04}", f"n{(i + 1) % n:04}") for i in range(n)] + [("x", "n0003"), ("n0007", "y")], "src string, dst string")
+    assert rows(graph.components(circle)) == [(f"n{i:04}", "n0000") for i in range(n)] and len(jobs) <= 60
+
+
+@settings(max_examples=2, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.booleans()), min_size=1, max_size=25, unique_by=lambda e: e[:2]))
+def test_components_waves_and_feedback_edges_of_any_graph(spark, links):
+    def reach(pairs):
+        seen = set(pairs)
+        while True:
+            more = {(a, d) for a, b in seen for c, d in pairs if b == c} - seen
+            if not more:
+                return seen
+            seen |= more
+
+    def cyclic(pairs):
+        r = reach(pairs)
+        return {(f"n{a}", f"n{min(b for b in range(10) if (a, b) in r and (b, a) in r)}") for a in range(10) if (a, a) in r}
+
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", "f", nillable, i) for i, (a, b, nillable) in enumerate(links)], "src string, dst string, field string, nillable boolean, pos int")
+    labels = tables.staged(graph.components(e), "c")
+    assert set(rows(labels)) == cyclic([x[:2] for x in links])
+    step, wave = {f"n{i}": f"n{i}" for i in range(10)} | dict(rows(labels)), dict(rows(graph.load_waves(e, labels)))
+    for a, b, _ in links:
+        a, b = f"n{a}", f"n{b}"
+        assert wave[a] > wave[b] or step[a] == step[b] and wave[a] == wave[b]
+    assert all(w == 0 or any(wave[f"n{b}"] == w - 1 for a, b, _ in links if step[f"n{a}"] == step[n]) for n, w in wave.items())
+    out, rest = graph.feedback_edges(e)
+    out = out.collect()
+    assert all(r.nillable for r in out) and set(rows(rest)) == cyclic([x[:2] for x in links if not x[2]])
+    gone = {(r.src, r.dst) for r in out}
+    assert cyclic([x[:2] for x in links if (f"n{x[0]}", f"n{x[1]}") not in gone]) == set(rows(rest))
+
+
+def test_a_component_with_several_cycles_is_broken_and_filled_in_again(spark):
+    # a -> b -> a, a -> c -> a, b -> b: one edge does not do
+    e = edges(spark, [("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("b", "b")])
+    out, rest = graph.feedback_edges(e)
+    assert rest.isEmpty() and rows(out.select("src", "dst")) == [("a", "b"), ("a", "c"), ("b", "b")]
+    a = spark.createDataFrame([(1, 10, 20), (2, None, 21)], "id long, b long, c long")
+    ids = id_map(spark, [("1", "A1"), ("2", "A2")], "a").union(id_map(spark, [("10", "B10")], "b")).union(id_map(spark, [("20", "C20")], "c"))
+    broken = [Rule(ForeignKey("a", "b", ("b",))), Rule(ForeignKey("a", "c", ("c",)))]
+    assert rows(load.first_phase(a, "a", "id", ["b", "c"], broken, ids).select("id", "b", "c", "target_id")) == [(1, None, None, "A1"), (2, None, None, "A2")]
+    filled = load.backfill_all(a, "a", "id", [("b", "b"), ("c", "c")], ids)
+    assert rows(filled.select("column_name", "source_id", "target_id", "fk_target_id").na.fill("-")) == [("b", "1", "A1", "B10"), ("c", "1", "A1", "C20"), ("c", "2", "A2", "-")]
