@@ -4,8 +4,9 @@ Documents longer than a sequence are cut into full pieces and a rest; nothing el
 groups of about GROUP pieces; each group is packed in one task. It starts with the pieces in order of arrival, each where it
 leaves the least room. Then bins give to the others, the emptiest first: a bin moves a piece, exchanges one for one, or two
 for one, always so that the other bin, which is no emptier, gets fuller. That raises the sum of squared fills with every step,
-until the bin is empty and goes, or has no step left. Passes over all bins go on until the group has as few bins as its
-tokens allow, or two whole passes in a row have emptied none; there is no limit on steps or passes.
+until the bin is empty and goes, or has no step left. Exchanges are looked up by size: for every number of tokens, the smallest
+piece that could come back for them. Passes over all bins go on until the group has as few bins as its sizes allow, or two
+whole passes in a row have emptied none; there is no limit on steps or passes.
 Each group leaves about one bin that is not full, in about four thousand bins.
 
 Nulls: a null text counts as empty; its only token is the end id. Repeated rows are packed each on its own and dealt to groups
@@ -51,13 +52,35 @@ def in_order(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def least_bins(sizes: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing goes below.
+
+    Besides the sum of sizes: pieces of a size t or more stand at most capacity // t in a bin; and pieces over half a bin each need
+    their own, so that smaller ones of t or more only have the room those leave."""
+    if not len(sizes):
+        return 0
+    number = np.bincount(sizes, minlength=capacity + 1)
+    size = np.arange(capacity + 1)
+    from_here = np.cumsum(number[::-1])[::-1]  # pieces of this size or more
+    summed = np.cumsum((number * size)[::-1])[::-1]
+    t = np.unique(sizes[sizes > 0])
+    by_number = int((-(-from_here[t] // (capacity // t))).max(initial=0))
+    half = capacity // 2 + 1
+    t = t[t < half]
+    alone = from_here[np.minimum(capacity - t + 1, capacity)] * (t > 0)  # next to these, nothing of t fits
+    large, filled = from_here[half] - alone, summed[half] - summed[np.minimum(capacity - t + 1, capacity)] * (t > 0)
+    small = summed[t] - summed[half]
+    by_room = alone + large + np.maximum(0, -(-(small - (large * capacity - filled)) // capacity))
+    return max(-(-int(sizes.sum()) // capacity), by_number, int(by_room.max(initial=0)))
+
+
 class Search:
     """The state of a local search: sizes of pieces, the bin of each, and how full bins are."""
 
     def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int):
         self.sizes, self.bins, self.capacity = sizes.astype(np.int64), bins.astype(np.int64), capacity
         self.fill = np.bincount(bins, weights=sizes, minlength=1).astype(np.int64)
-        self.least = -(-int(self.sizes.sum()) // capacity)
+        self.least = least_bins(self.sizes, capacity)
         self.steps = {"move": 0, "one for one": 0, "two for one": 0}
 
     def run(self) -> np.ndarray:
@@ -113,28 +136,35 @@ class Search:
             return False
         theirs = self.sizes[at]
         limit = theirs + room[self.bins[at]]
-        for kind, given in (("one for one", [[i] for i in mine]), ("two for one", [[i, j] for k, i in enumerate(mine) for j in mine[k + 1 :]])):
-            best, chosen = 0, None
-            for out in given:
-                size = int(self.sizes[out].sum())
-                if size <= best:
-                    continue
-                gain = np.where(size <= limit, size - theirs, 0)
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, chosen = int(gain[k]), (out, int(at[k]))
-            if chosen:
-                out, back = chosen
-                taker = int(self.bins[back])
-                self.bins[out] = taker
-                self.bins[back] = giver
-                for i in out:
-                    mine.remove(i)
-                mine.append(back)
-                self._shift(giver, taker, best, room)
-                self.steps[kind] += 1
-                return True
-        return False
+        # the smallest piece that could come back for so many tokens, by size
+        back = np.full(self.capacity + 1, self.capacity + 1)
+        np.minimum.at(back, limit, theirs)
+        back = np.minimum.accumulate(back[::-1])[::-1]
+        kinds, of, number = np.unique(self.sizes[mine], return_inverse=True, return_counts=True)
+        gain = kinds - back[kinds]
+        k = int(gain.argmax())
+        kind, out = "one for one", [k]
+        if gain[k] <= 0:
+            both = kinds[:, None] + kinds
+            fits = (both <= self.capacity) & (np.triu(np.ones(both.shape, bool), 1) | np.diag(number > 1))
+            gain = np.where(fits, both - back[np.minimum(both, self.capacity)], 0)
+            k = int(gain.argmax())
+            kind, out = "two for one", list(divmod(k, len(kinds)))
+            if gain.flat[k] <= 0:
+                return False
+        size, given = int(kinds[out].sum()), []
+        for x in out:
+            given.append(next(mine[i] for i in np.flatnonzero(of == x).tolist() if mine[i] not in given))
+        piece = int(at[np.flatnonzero((theirs == back[size]) & (limit >= size))[0]])
+        taker = int(self.bins[piece])
+        self.bins[given] = taker
+        self.bins[piece] = giver
+        for i in given:
+            mine.remove(i)
+        mine.append(piece)
+        self._shift(giver, taker, size - int(self.sizes[piece]), room)
+        self.steps[kind] += 1
+        return True
 
 
 def pack(lengths: np.ndarray, capacity: int = LENGTH) -> np.ndarray:

@@ -251,3 +251,34 @@ def test_chat_reads_back(spark):
     assert got[1].loss_sha256 == hashlib.sha256((said + "é").encode()).hexdigest()
     assert got[1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\nassistant\né\n".encode()).hexdigest()
     assert chat.read_back(chat.format_turns(df.limit(0).withColumn("parts", chat.text_parts("text")))).count() == 0
+
+
+def test_bound_on_bins_holds_and_stops_searches_that_cannot_gain():
+    def optimum(sizes, capacity):
+        best = len(sizes)
+
+        def place(i, fills):
+            nonlocal best
+            if len(fills) >= best:
+                return
+            if i == len(sizes):
+                best = len(fills)
+                return
+            for k in range(len(fills)):
+                if fills[k] + sizes[i] <= capacity:
+                    place(i + 1, fills[:k] + [fills[k] + sizes[i]] + fills[k + 1 :])
+            place(i + 1, [*fills, sizes[i]])
+
+        place(0, [])
+        return best
+
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        capacity = int(r.integers(4, 30))
+        sizes = r.integers(1, capacity + 1, int(r.integers(1, 9)))
+        least = packing.least_bins(sizes, capacity)
+        bins = packing.pack(sizes, capacity)
+        assert least <= optimum(sizes.tolist(), capacity) <= len(set(bins.tolist())) and np.bincount(bins, weights=sizes).max() <= capacity
+    for sizes, n in ((np.full(16_000, 50), 198), (r.integers(1_400, 2_001, 16_000), 8_000)):
+        search = packing.Search(sizes, packing.in_order(sizes, 4096), 4096)
+        assert len(set(search.run().tolist())) == search.least == n and not any(search.steps.values())
