@@ -129,10 +129,11 @@ def mask_strategies(columns: DataFrame) -> DataFrame:
 
 
 def mask_selection(columns: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Sensitive text columns with strategy auto, then overrides (table_name, column_name, strategy); copy opts out."""
+    """Sensitive text columns with strategy auto, then overrides (table_name, column_name, strategy); copy opts out. Of two overrides of a
+    column the larger strategy counts."""
     found = columns.where(is_sensitive() & F.col("type").isin(TEXT_TYPES)).select("table_name", "column_name", F.lit("auto").alias("strategy"), F.lit(0).alias("rank"))
     both = found.unionByName(overrides.select("table_name", "column_name", "strategy", F.lit(1).alias("rank")))
-    return both.groupBy("table_name", "column_name").agg(F.max_by("strategy", "rank").alias("strategy")).where("strategy <> 'copy'")
+    return both.groupBy("table_name", "column_name").agg(F.max_by("strategy", F.struct("rank", "strategy")).alias("strategy")).where("strategy <> 'copy'")
 
 
 def recall_report(columns: DataFrame) -> DataFrame:

@@ -66,6 +66,12 @@ def walk(edges: DataFrame, starts: DataFrame, hops: int, stop: DataFrame | None
     return seen
 
 
+def child_lookups(edges: DataFrame, root: str, field: str) -> DataFrame:
+    """(node): what the children of a root point to by a field, each once; a child's edge to itself does not count."""
+    children = child_edges(edges, root).select(F.col("child").alias("src")).distinct()
+    return edges.where((F.col("field") == field) & (F.col("src") != F.col("dst"))).join(children, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(node, depth) within hops, whichever way edges point."""
     both = edges.select("src", "dst").union(edges.select("dst", "src"))

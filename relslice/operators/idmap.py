@@ -44,6 +44,15 @@ def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy("object", "source_id").agg(last.alias("r")).select("object", "source_id", "r.target_id", "r.updated_at")
 
 
+def merge_sizes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: ids in old and in the merged map, and how many of those are new, point elsewhere now, or are as they were."""
+    before = old.groupBy("object", "source_id").agg(F.max_by("target_id", F.struct("updated_at", "target_id")).alias("was"), F.lit(True).alias("had"))
+    both = merge(old, new).join(before, ["object", "source_id"], "left")
+    had, same = F.coalesce("had", F.lit(False)), F.col("was").eqNullSafe(F.col("target_id"))
+    counts = {"before": had, "after": F.lit(True), "added": ~had, "changed": had & ~same, "kept": had & same}
+    return both.agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+
+
 def valid(id_map: DataFrame, meta: DataFrame, target_id: str, stamp: str | None) -> DataFrame:
     """(object, source_id, target_id, reason): the map where its meta row (map_id, target, stamp) fits; else reason says why not.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
@@ -24,6 +26,28 @@ def pick_key(population: DataFrame) -> DataFrame:
     return population.agg(F.when(F.max("filled") > 0, best).alias("column_name"), F.max("filled").alias("filled"))
 
 
+STICKY = "table_name string, column_name string, updated_at long"
+
+
+def sticky_keys(spark: SparkSession, path: str) -> DataFrame:
+    """The stored choices of keys (STICKY). A store that is missing, whose files are no Parquet or that is another table counts as
+    empty, so the keys are chosen anew; other errors are errors."""
+    try:
+        return spark.read.parquet(path).select("table_name", "column_name", F.col("updated_at").cast("long"))
+    except AnalysisException:
+        return spark.createDataFrame([], STICKY)
+    except Py4JJavaError as e:
+        if "CANNOT_READ_FILE_FOOTER" not in str(e) and "is not a Parquet file" not in str(e):
+            raise
+        return spark.createDataFrame([], STICKY)
+
+
+def merge_sticky(*stores: DataFrame) -> DataFrame:
+    """(table_name, column_name, updated_at): the last choice per table; of two at once the larger name."""
+    last = F.max(F.struct("updated_at", "column_name")).alias("r")
+    return reduce(DataFrame.unionByName, stores).where("table_name is not null").groupBy("table_name").agg(last).select("table_name", "r.column_name", "r.updated_at")
+
+
 def has_key(column: str) -> Column:
     c = F.col(column).cast("string")
     return c.isNotNull() & (c != "")

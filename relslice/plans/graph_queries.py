@@ -93,9 +93,7 @@ def walk_children(spark, sf):
 
 @query(f"WITH {E} SELECT DISTINCT b.dst AS node FROM e a JOIN e b ON b.src = a.src AND b.field = 'f4' WHERE a.dst = '{ROOT}' AND a.src <> '{ROOT}' AND b.dst <> b.src")
 def walk_child_lookup(spark, sf):
-    every = edges(spark, sf)
-    children = graph.child_edges(every, ROOT).select(F.col("child").alias("src")).distinct()
-    return every.where("field = 'f4' and src <> dst").join(children, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    return graph.child_lookups(edges(spark, sf), ROOT, "f4")
 
 
 @query(

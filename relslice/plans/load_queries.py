@@ -51,6 +51,17 @@ def idmap_merge(spark, sf):
     return idmap.merge(derive(spark, sf, _OLD), derive(spark, sf, _NEW))
 
 
+_LAST = lambda rows: f"SELECT object, source_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY object, source_id ORDER BY updated_at DESC) AS rn FROM ({rows}) u) q WHERE rn = 1"
+
+
+@query(
+    f"""WITH a AS ({_LAST(plain(_OLD))}), b AS ({_LAST(f"{plain(_OLD)} UNION ALL {plain(_NEW)}")}) SELECT count(a.source_id) AS before, count(*) AS after, count(*) FILTER (a.source_id IS NULL) AS added,
+    count(*) FILTER (a.target_id <> b.target_id) AS changed, count(*) FILTER (a.target_id = b.target_id) AS kept FROM b LEFT JOIN a ON a.source_id = b.source_id"""
+)
+def idmap_merge_sizes(spark, sf):
+    return idmap.merge_sizes(derive(spark, sf, _OLD), derive(spark, sf, _NEW))
+
+
 _MAPS = "SELECT c_nationkey % 5 AS map_id, 'customer' AS object, CAST(c_custkey AS STRING) AS source_id, 'C' || CAST(c_custkey AS STRING) AS target_id FROM {customer}"
 _META = "SELECT n_nationkey AS map_id, CASE WHEN n_nationkey = 1 THEN 'other' ELSE 'here' END AS target, CASE WHEN n_nationkey = 2 THEN NULL WHEN n_nationkey = 3 THEN 'old' ELSE 'now' END AS stamp FROM {nation} WHERE n_nationkey BETWEEN 1 AND 4"
 
@@ -186,8 +197,7 @@ _KEPT = "SELECT p_brand AS table_name, CASE WHEN p_size % 2 = 0 THEN 'ExternalId
 @query(f"SELECT table_name, column_name FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY updated_at DESC) AS rn FROM ({plain(_KEPT)}) k) q WHERE rn = 1")
 def sticky_keys_merge(spark, sf):
     """The last choice per table wins."""
-    kept = derive(spark, sf, _KEPT)
-    return kept.groupBy("table_name").agg(F.max_by("column_name", "updated_at").alias("column_name"))
+    return load.merge_sticky(derive(spark, sf, _KEPT)).select("table_name", "column_name")
 
 
 @query(f"SELECT CASE WHEN ext IS NOT NULL AND ext <> '' THEN 'UPSERT' ELSE 'INSERT' END AS route, count(*) AS n FROM ({plain(_KEYED)}) k GROUP BY 1")

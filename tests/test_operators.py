@@ -415,3 +415,22 @@ def test_a_component_with_several_cycles_is_broken_and_filled_in_again(spark):
     assert rows(load.first_phase(a, "a", "id", ["b", "c"], broken, ids).select("id", "b", "c", "target_id")) == [(1, None, None, "A1"), (2, None, None, "A2")]
     filled = load.backfill_all(a, "a", "id", [("b", "b"), ("c", "c")], ids)
     assert rows(filled.select("column_name", "source_id", "target_id", "fk_target_id").na.fill("-")) == [("b", "1", "A1", "B10"), ("c", "1", "A1", "C20"), ("c", "2", "A2", "-")]
+
+
+def test_a_store_of_keys_that_is_missing_or_broken_counts_as_empty(spark, tmp_path):
+    assert load.sticky_keys(spark, str(tmp_path / "none")).isEmpty()
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not a table")
+    assert load.sticky_keys(spark, str(tmp_path / "bad")).isEmpty()
+    spark.range(1).write.parquet(str(tmp_path / "other"))
+    assert load.sticky_keys(spark, str(tmp_path / "other")).isEmpty()
+    new = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("u", "x", 3), ("u", "y", 3), (None, "z", 1)], load.STICKY)
+    load.merge_sticky(load.sticky_keys(spark, str(tmp_path / "none")), new).write.parquet(str(tmp_path / "good"))
+    assert rows(load.sticky_keys(spark, str(tmp_path / "good"))) == [("t", "b", 2), ("u", "y", 3)]
+
+
+def test_sizes_of_a_merge(spark):
+    kind = "object string, source_id string, target_id string, updated_at long"
+    old = spark.createDataFrame([("a", "1", "x", 1), ("a", "1", "w", 0), ("a", "2", "y", 5), ("a", "3", "z", 1)], kind)
+    new = spark.createDataFrame([("a", "1", "n", 2), ("a", "2", "n", 4), ("a", "4", "n", 1)], kind)
+    assert rows(idmap.merge_sizes(old, new)) == [(3, 4, 1, 1, 2)]
