@@ -388,6 +388,32 @@ def mask_collisions(spark, sf):
     return verify.collisions(values)
 
 
+#: Postal codes, each of another customer.
+_CODES = "SELECT c_custkey AS k, lpad(CAST((c_custkey * 7919) % 100003 AS STRING), 6, '0') AS v FROM {customer}"
+
+
+def _permuted_sql() -> str:
+    out = f"SELECT k, v, CAST(substr(v, 1, 3) AS BIGINT) AS l, CAST(substr(v, 4) AS BIGINT) AS r FROM ({plain(_CODES)}) x"
+    for i in range(mask.ROUNDS):
+        half, other = ("l", "r") if i % 2 == 0 else ("r", "l")
+        said = digest_sql(f"'{i}:6:' || CAST({other} AS STRING)")
+        new = f"({half} + CAST('0x' || substr({said}, 1, 15) AS BIGINT) % 1000) % 1000 AS {half}"
+        out = f"SELECT k, v, {new if half == 'l' else 'l'}, {new if half == 'r' else 'r'} FROM ({out}) q{i}"
+    return f"SELECT k, v, lpad(CAST(l AS STRING), 3, '0') || lpad(CAST(r AS STRING), 3, '0') AS masked FROM ({out}) q"
+
+
+@query(f"SELECT k, masked FROM ({_permuted_sql()}) p")
+def mask_permuted(spark, sf):
+    """A mask that is one-to-one: digits under a keyed permutation."""
+    return derive(spark, sf, _CODES).select("k", mask.permute_digits(F.col("v"), SALT).alias("masked"))
+
+
+@query(f"SELECT 'permuted' AS preset, masked, count(DISTINCT v) AS sources FROM ({_permuted_sql()}) p GROUP BY 1, 2 HAVING count(DISTINCT v) > 1")
+def mask_permuted_collisions(spark, sf):
+    """A unique key stays unique: no two codes share a mask."""
+    return verify.collisions(derive(spark, sf, _CODES).select(F.lit("permuted").alias("preset"), F.col("v").alias("source"), mask.permute_digits(F.col("v"), SALT).alias("masked")))
+
+
 @query(f"WITH {_LOADED} SELECT target AS value, count(*) AS n FROM l WHERE target IN (SELECT v FROM l WHERE v <> '') GROUP BY target")
 def mask_leak_scan(spark, sf):
     rows = _loaded(spark, sf)

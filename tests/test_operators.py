@@ -434,3 +434,16 @@ def test_sizes_of_a_merge(spark):
     old = spark.createDataFrame([("a", "1", "x", 1), ("a", "1", "w", 0), ("a", "2", "y", 5), ("a", "3", "z", 1)], kind)
     new = spark.createDataFrame([("a", "1", "n", 2), ("a", "2", "n", 4), ("a", "4", "n", 1)], kind)
     assert rows(idmap.merge_sizes(old, new)) == [(3, 4, 1, 1, 2)]
+
+
+def test_permuted_digits_are_one_to_one_and_keep_the_shape(spark):
+    whole = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
+    assert sorted(r.m for r in whole.select(mask.permute_digits(F.col("v"), "s").alias("m")).collect()) == [f"{i:03}" for i in range(1000)]
+    shapes = ["7", "42", "(555) 123-4567", "007-x", "", None, "no digit", "9" * 36, "1" * 40 + "-2", "12é34"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(shapes)], "i int, v string")
+    got = [r.m for r in df.orderBy("i").select(mask.permute_digits(F.col("v"), "s").alias("m")).collect()]
+    import re
+
+    assert got[4:7] == ["", None, "no digit"] and got[8].endswith("1111-2")
+    assert all(v is None or re.sub("[0-9]", "0", m) == re.sub("[0-9]", "0", v) for v, m in zip(shapes, got))
+    assert got[2] != shapes[2] and got != [r.m for r in df.orderBy("i").select(mask.permute_digits(F.col("v"), "t").alias("m")).collect()]
