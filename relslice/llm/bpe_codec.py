@@ -105,7 +105,7 @@ def _split(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """(row_key, key, piece, body): the pieces of texts longer than chunk, cut where pre-token boundaries resynchronise."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    longer = stored(rows.where(F.length("body") > chunk), "long-texts")
+    longer = stored(rows.where(F.length("body") > chunk), "long-texts", compression="zstd")
     found = longer.select("row_key", "body").mapInArrow(_chunks(chunk), CHUNKS).repartition("row_key", "chunk").mapInArrow(_bounds(chunk), FOUND)
     order = Window.partitionBy("row_key").orderBy("chunk")
     cut = F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head"))))
@@ -119,12 +119,23 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk: int
     return longer.join(cuts, "row_key").select("row_key", "doc_id", "body", "cuts").mapInArrow(_split, PIECES)
 
 
-def _encode(path: str):
+def _narrow(ids: bytes) -> bytes:
+    """32-bit ids in 16 bits each, if all of them fit, after a byte that says how wide they are."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
+
+
+def _widened(ids: bytes) -> bytes:
+    return ids[1:] if ids[0] == 4 else np.frombuffer(ids, "<u2", offset=1).astype("<u4").tobytes()
+
+
+def _encode(path: str, narrow: bool = False):
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = codec(path)
         for batch in found:
             for row in batch.to_pylist():
                 ids = np.array(encode(row["body"]), "<u4").tobytes()
+                ids = _narrow(ids) if narrow else ids
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["row_key"]], pa.int64()), pa.array([row["doc_id"]], pa.int64()), pa.array([row["piece"]], pa.int32()), pa.array([ids], pa.binary())],
                     ["row_key", "doc_id", "piece", "ids"],
@@ -151,7 +162,7 @@ def _digest_pieces(path: str):
                     if now is not None:
                         done.append((doc, n, ids_hash.hexdigest(), raw_hash.hexdigest()))
                     now, doc, n, ids_hash, raw_hash = key, doc_id, 0, hashlib.sha256(), hashlib.sha256()
-                ids = raw.as_py()
+                ids = _widened(raw.as_py())
                 ids_hash.update(ids)
                 listed = np.frombuffer(ids, "<u4").tolist()
                 raw_hash.update(decode(listed, path))
@@ -190,6 +201,6 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", chunk: int = CHUNK) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 of its whole text's ids and of the bytes decoded from them."""
     short = docs.where(F.coalesce(F.length(text), F.lit(0)) <= chunk).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    ids = pieces(docs, text, key, chunk).repartition("row_key", "piece").mapInArrow(_encode(path), "row_key long, doc_id long, piece int, ids binary")
+    ids = pieces(docs, text, key, chunk).repartition("row_key", "piece").mapInArrow(_encode(path, narrow=True), "row_key long, doc_id long, piece int, ids binary")
     whole = ids.repartition("row_key").sortWithinPartitions("row_key", "piece").mapInArrow(_digest_pieces(path), DIGESTS)
     return short.mapInArrow(_digest_texts(path), DIGESTS).unionByName(whole)

@@ -43,11 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage. compression: the session's, or
+    a codec of Parquet."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
