@@ -246,6 +246,11 @@ def scope_paths(edges: DataFrame, root: str, lookups: DataFrame, max_hops: int)
     return start.select("node", F.lit("root").alias("kind")).union(near).union(far.where(F.col("node") != root))
 
 
+def paths_of(wanted: DataFrame, paths: DataFrame) -> DataFrame:
+    """(node, kind) of the tables that a run asks for (node): their ways to the root, or `unknown` where there is none."""
+    return wanted.select("node").distinct().join(paths, "node", "left").select("node", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+
+
 def lookup_errors(requests: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """Requested (child, field) lookups that cannot be followed, and why."""
     children = edges.where((F.col("dst") == root) & (F.col("src") != root)).select(F.col("src").alias("child")).distinct().withColumn("is_child", F.lit(True))

@@ -11,7 +11,7 @@ from ..model import STAR, Dataset, ForeignKey, TableSpec
 from ..operators import graph, scope
 from ..sources.tables import dataset, staged, table, table_or_none
 from .derived import EDGES, HIERARCHY, ROOT, TIGHT, derive, plain
-from .registry import query
+from .registry import ORACLES, query
 
 COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "no_such_table"]
 SAMPLE, CAP = 100, 10_000
@@ -167,6 +167,15 @@ def scope_paths(spark, sf):
     return graph.scope_paths(edges, "t12", lookups, 3)
 
 
+_ASKED = "SELECT DISTINCT 't' || CAST(CAST(floor(p_partkey / 8) AS BIGINT) AS STRING) AS node FROM {part} WHERE p_size % 2 = 0"
+
+
+@query(f"SELECT w.node, coalesce(p.kind, 'unknown') AS kind FROM ({plain(_ASKED)}) w LEFT JOIN ({ORACLES['scope_paths']}) p ON p.node = w.node")
+def scope_paths_asked(spark, sf):
+    """Tables that a run asks for, with their ways to the root; some have none."""
+    return graph.paths_of(derive(spark, sf, _ASKED), scope_paths(spark, sf))
+
+
 # ---- scopes closed over rows
 
 #: Every row that a foreign key of the star schema ties to another, by table; lineitem has no key and is followed from the root.
