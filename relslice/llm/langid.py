@@ -5,10 +5,12 @@ them, each filter's maximum over the window is kept, and a softmax layer gives t
 probabilities are the means over its windows, weighted by their bytes. For use, embedding and filters are folded into tables
 of byte pairs, so that a filter of width 4 costs two look-ups a byte.
 
-Training takes labelled windows: at most WINDOWS of each language, drawn by a hash of the row and the place from the windows of
-all rows that are not held out, at most PER_ROW of a row (so that one long text does not stand for a language) and anywhere in
-it, and the LANGUAGES most frequent labels. These three are the bounds of the sample; there is no other. Nulls: a text that is null or has no letter is `und` with score 0; rows with a null language are not learned from. If
-there is nothing to learn from, every text is `und`. Rows may share a doc_id or be equal; each counts for itself.
+Training takes labelled windows of all languages: at most SAMPLE in all, shared equally, and WINDOWS of one, drawn by a hash of
+what the row holds and the place from the windows of all rows that are not held out, at most PER_ROW of a row (so that one long
+text does not stand for a language) and anywhere in it. These three are the bounds of the sample; there is no other. Equal rows
+are drawn together and learned from once, so the model follows from the rows alone, however a table is cut into partitions.
+Nulls: a text that is null or has no letter is `und` with score 0; rows with a null language are not learned from. If there is
+nothing to learn from, every text is `und`. Rows may share a doc_id or be equal; each gets its own result.
 
 A filter by score takes its least score per language from held-out rows: the score that all but MISSED of them reach.
 """
@@ -29,7 +31,7 @@ FILTERS = 16
 EMBEDDING = 8
 WINDOWS = 2_400
 PER_ROW = 4
-LANGUAGES = 256
+SAMPLE = 614_400
 HELD = 2_000  # held-out rows per language, about, that least scores are taken from
 MISSED = 0.002
 PASSES = 6
@@ -165,21 +167,27 @@ def _drawn(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ranks, pa.int64()), pa.array(cut, pa.binary())], ["lang", "rank", "window"])
 
 
-def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang") -> tuple[list[str], dict[str, np.ndarray] | None]:
+def _hash(text: str, lang: str, key: str) -> Column:
+    """Of the text, its label and its key: the same wherever the row lies."""
+    return F.xxhash64(F.col(text), F.col(lang).cast("string"), F.col(key).cast("string"))
+
+
+def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], dict[str, np.ndarray] | None]:
     """(languages, network) from rows that are not held out. The bounded sample of windows goes to the driver."""
     size = F.least(F.ceil(F.greatest(F.octet_length(text), F.lit(1)) / WINDOW), F.lit(PER_ROW))
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("size"), F.xxhash64(F.monotonically_increasing_id()).alias("h"), held_out.alias("held"))
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), size.alias("size"), _hash(text, lang, key).alias("h"), held_out.alias("held"))
     rows = rows.where("not held and lang is not null and text is not null").drop("held")
-    counts = rows.groupBy("lang").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg((F.approx_count_distinct("h", 0.02) * F.sum("size") / F.count("size")).alias("n")).collect()
     if not counts:
         return [], None
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 1.5 * WINDOWS / r.n))])
-    wanted = rows.withColumn("share", F.element_at(shares, F.col("lang"))).where("share is not null")
+    most = max(1, min(WINDOWS, SAMPLE // len(counts)))
+    shares = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.lang, min(1.0, max(1.5 * most, most + 24) / max(r.n, 1.0)))])  # more than is kept, so that no label is missed by chance
+    wanted = rows.withColumn("share", F.element_at(shares, F.col("lang")))
     # a row of few windows is looked at with the probability that one of them is drawn
     wanted = wanted.where((F.col("share") >= 1) | (F.pmod("h", F.lit(2**40)) < F.col("size") * F.col("share") * 2**40))
     drawn = wanted.select("lang", "text", "h", "share").mapInArrow(_drawn, "lang string, rank long, window binary")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "window"))
-    got = drawn.withColumn("place", place).where(F.col("place") <= WINDOWS).orderBy("lang", "place").collect()
+    got = drawn.distinct().withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place").collect()
     langs = sorted({r.lang for r in got})
     if not langs:
         return [], None
@@ -245,14 +253,14 @@ def _told(langs: list[str], params: dict[str, np.ndarray] | None):
     return run
 
 
-def least_scores(docs: DataFrame, held_out: Column, langs: list[str], params: dict[str, np.ndarray] | None, text: str = "text", lang: str = "lang") -> dict[str, float]:
+def least_scores(docs: DataFrame, held_out: Column, langs: list[str], params: dict[str, np.ndarray] | None, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, float]:
     """Per language: the score that all but MISSED of the held-out rows reach that are told right, from about HELD rows each."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("h"), held_out.alias("held")).where("held and text is not null")
+    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), _hash(text, lang, key).alias("h"), held_out.alias("held")).where("held and text is not null")
     rows = rows.where(F.col("lang").isin(langs)).drop("held") if langs else rows.where("false").drop("held")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return {}
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, HELD / n))])
+    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, HELD / max(n, 1)))])
     some = rows.where(F.pmod("h", F.lit(2**40)) < F.element_at(shares, F.col("lang")) * 2**40).select("lang", "text")
     told = some.mapInArrow(_told(langs, params), "lang string, pred string, score double").where("pred = lang")
     return {r.lang: r.least for r in told.groupBy("lang").agg(F.percentile_approx("score", MISSED, 10_000).alias("least")).collect()}
@@ -262,8 +270,8 @@ def keep_identified(docs: DataFrame, held_out: Column | None = None, text: str =
     """The rows of docs whose language is told with the least score of that language or more; no text is shuffled."""
     if held_out is None:
         held_out = _fifth(key)
-    langs, params = learn(docs, held_out, text, lang)
-    return docs.mapInArrow(_sure(langs, params, text, least_scores(docs, held_out, langs, params, text, lang)), docs.schema)
+    langs, params = learn(docs, held_out, text, lang, key)
+    return docs.mapInArrow(_sure(langs, params, text, least_scores(docs, held_out, langs, params, text, lang, key)), docs.schema)
 
 
 def _fifth(key: str) -> Column:
@@ -274,6 +282,6 @@ def identify(docs: DataFrame, held_out: Column | None = None, text: str = "text"
     """Per row: doc_id, held_out, lang_pred, score. By default a fifth of the rows, by crc32 of the key, is held out."""
     if held_out is None:
         held_out = _fifth(key)
-    langs, params = learn(docs, held_out, text, lang)
+    langs, params = learn(docs, held_out, text, lang, key)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(_predict(langs, params), "doc_id long, held_out boolean, lang_pred string, score double")

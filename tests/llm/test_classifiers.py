@@ -54,6 +54,17 @@ def test_language_of_a_text_is_the_mean_over_all_its_windows():
     assert np.allclose(network.texts([text])[0], sum(each) / 1_000, atol=1e-6)
 
 
+def test_language_model_does_not_follow_the_partitions_and_takes_every_label(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 600)
+    words = {f"l{i:03d}": " ".join(chr(97 + i % 26) + chr(97 + (i * 7 + j) % 26) + "ao"[j % 2] for j in range(12)) for i in range(300)}
+    rows = [(i * 10 + j, f"{w} {w} {j}", lang) for i, (lang, w) in enumerate(words.items()) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = F.col("doc_id") % 10 == 0
+    one, many = langid.learn(df.coalesce(1), held), langid.learn(df.repartition(7, "text"), held)
+    assert one[0] == many[0] == sorted(words)
+    assert all(np.array_equal(one[1][k], many[1][k]) for k in one[1])
+
+
 def test_language_is_not_lost_if_its_rows_share_an_id_or_are_equal(spark):
     rows = [(i, "the house and the garden " * 4, "en") for i in range(400)] + [(3, "das haus und der garten " * 4, "de")] * 4_000
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
