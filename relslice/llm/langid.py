@@ -8,7 +8,7 @@ of byte pairs, so that a filter of width 4 costs two look-ups a byte.
 Training takes labelled windows of all languages: at most SAMPLE in all, shared equally, and WINDOWS of one, drawn by a hash of
 what the row holds and the place from the windows of all rows that are not held out, at most PER_ROW of a row (so that one long
 text does not stand for a language) and anywhere in it. These three are the bounds of the sample; there is no other. Equal rows
-are drawn together and learned from once, so the model follows from the rows alone, however a table is cut into partitions.
+are drawn together, and their copies fill up what the others leave, so the model follows from the rows alone, however a table is cut into partitions.
 Nulls: a text that is null or has no letter is `und` with score 0; rows with a null language are not learned from. If there is
 nothing to learn from, every text is `und`. Rows may share a doc_id or be equal; each gets its own result.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +173,15 @@ def _hash(text: str, lang: str, key: str) -> Column:
     return F.xxhash64(F.col(text), F.col(lang).cast("string"), F.col(key).cast("string"))
 
 
+def _filled(rows: list, most: int) -> list:
+    """All rows, each with a count n, and their copies in rounds while there are fewer than most."""
+    out, copy = list(rows), 2
+    while len(out) < most and any(r.n >= copy for r in rows):
+        out += [r for r in rows if r.n >= copy][: most - len(out)]
+        copy += 1
+    return out
+
+
 def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> tuple[list[str], dict[str, np.ndarray] | None]:
     """(languages, network) from rows that are not held out. The bounded sample of windows goes to the driver."""
     size = F.least(F.ceil(F.greatest(F.octet_length(text), F.lit(1)) / WINDOW), F.lit(PER_ROW))
@@ -187,10 +197,13 @@ def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "la
     wanted = wanted.where((F.col("share") >= 1) | (F.pmod("h", F.lit(2**40)) < F.col("size") * F.col("share") * 2**40))
     drawn = wanted.select("lang", "text", "h", "share").mapInArrow(_drawn, "lang string, rank long, window binary")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "window"))
-    got = drawn.distinct().withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place").collect()
-    langs = sorted({r.lang for r in got})
+    every = drawn.groupBy("lang", "rank", "window").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place").collect()
+    langs = sorted({r.lang for r in every})
     if not langs:
         return [], None
+    got = []
+    for _, rows_of in groupby(every, lambda r: r.lang):
+        got += _filled(list(rows_of), most)
     x, y = [], []
     for i, r in enumerate(got):
         x.append(np.frombuffer(r.window, np.uint8))
