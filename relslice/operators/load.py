@@ -6,7 +6,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import staged
@@ -162,16 +162,62 @@ def judge(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFr
     return tried.join(spread, F.col("id") == F.col("__id"), "left").select("id", (F.col("bad") | F.col("__id").isNotNull()).alias("rejected"))
 
 
-def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame, mint, finished: tuple[str, ...] = (), stop_on_reject: bool = False) -> tuple[DataFrame, DataFrame]:
+JOURNAL = "step int, table_name string, n_map long, map_digest string"
+
+
+def _map_sums() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_map"), F.coalesce(F.sum(F.xxhash64(*MAP).cast("decimal(20,0)")), F.lit(0)).cast("string").alias("map_digest")]
+
+
+def record(id_map: DataFrame, outcome: DataFrame, journal: str, at: int, table: str) -> tuple[DataFrame, DataFrame]:
+    """Write a step's map and outcome into the journal, and last of all its record; returns both as read back."""
+    spark, seen, folder = id_map.sparkSession, Observation(), f"{journal}/{at:04d}"
+    id_map.observe(seen, *_map_sums()).write.mode("overwrite").parquet(f"{folder}-map")
+    outcome.write.mode("overwrite").parquet(f"{folder}-outcome")
+    row = (at, table, seen.get["n_map"], seen.get["map_digest"])
+    spark.createDataFrame([row], JOURNAL).coalesce(1).write.mode("overwrite").parquet(f"{folder}-done")
+    return spark.read.schema(id_map.schema).parquet(f"{folder}-map"), spark.read.schema(outcome.schema).parquet(f"{folder}-outcome")
+
+
+def recorded(spark: SparkSession, journal: str) -> dict[int, Row]:
+    """The records of a journal by step; a folder that does not exist has none."""
+    try:
+        return {r.step: r for r in spark.read.schema(JOURNAL).parquet(f"{journal}/*-done").collect()}
+    except AnalysisException:
+        return {}
+
+
+def resume(spark: SparkSession, journal: str, done: Row, table: str) -> tuple[DataFrame, DataFrame]:
+    """The map and the outcome that a recorded step has left; an error if the step is another one or the map is not as recorded."""
+    if done.table_name != table:
+        raise ValueError(f"the journal has {done.table_name} as step {done.step}, not {table}")
+    id_map, outcome = (spark.read.parquet(f"{journal}/{done.step:04d}-{part}") for part in ("map", "outcome"))
+    found = id_map.agg(*_map_sums()).first()
+    if (found.n_map, found.map_digest) != (done.n_map, done.map_digest):
+        raise ValueError(f"the map of step {done.step} ({table}) is not the one that was recorded")
+    return id_map.select(*MAP), outcome
+
+
+def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame, mint, finished: tuple[str, ...] = (), stop_on_reject: bool = False, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Run steps (table, rows, key, rules) in order over one shared id map; later steps resolve keys to earlier ones.
 
     Returns (outcome per table, id map). mint(df, table, key) makes the map rows of a step; rows that the map has are skipped. Only
     rows that are not rejected enter the map, so rejects spread to later steps and, along keys within a table, within a step; a
     later run tries them again. A key that several rows share enters if none of them is rejected.
     The map and the outcomes are staged after each step, so a run that breaks off goes on from there. Steps in finished are not
-    run again (outcome already-run); after a step with rejected rows, stop_on_reject leaves out the rest (not-run)."""
+    run again (outcome already-run); after a step with rejected rows, stop_on_reject leaves out the rest (not-run).
+
+    journal is a shared folder that outlives the run: each step's map and outcome go there, then one record that it is done. A
+    batch that is started again with the journal takes recorded steps from there, after a check of the map, and goes on with the
+    first one that is not recorded; what a killed step has left is overwritten. A journal of other steps is an error."""
     id_map, outcomes, stopped = start.select(*MAP), [], False
-    for table, df, key, rules in steps:
+    done = recorded(start.sparkSession, journal) if journal else {}
+    for at, (table, df, key, rules) in enumerate(steps):
+        if at in done:
+            id_map, outcome = resume(start.sparkSession, journal, done[at], table)
+            outcomes.append(outcome)
+            stopped = stop_on_reject and not outcome.where("outcome = 'rejected'").isEmpty()
+            continue
         if table in finished or stopped:
             state = "already-run" if table in finished else "not-run"
             outcomes.append(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), F.lit(state).alias("outcome"), "n"))
@@ -181,10 +227,15 @@ def stitch(steps: list[tuple[str, DataFrame, str, list[Rule]]], start: DataFrame
         todo = flagged.where("__k is null").drop("__k")
         judged = staged(judge(todo, table, key, rules, id_map, mint), "judged")
         bad = judged.where("rejected").select(F.col("id").alias("__bad"))
-        id_map = staged(layered(mint(todo.join(bad, F.col(key).cast("string") == F.col("__bad"), "left_anti"), table, key), id_map), "id-map")
+        grown = layered(mint(todo.join(bad, F.col(key).cast("string") == F.col("__bad"), "left_anti"), table, key), id_map)
         new = judged.select(F.when(F.col("rejected"), "rejected").otherwise("inserted").alias("outcome"))
         outcome = new.union(flagged.where("__k is not null").select(F.lit("already-loaded"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-        outcomes.append(staged(outcome.select(F.lit(table).alias("table_name"), "outcome", "n"), "outcome"))
+        outcome = outcome.select(F.lit(table).alias("table_name"), "outcome", "n")
+        if journal:
+            id_map, outcome = record(grown, outcome, journal, at, table)
+        else:
+            id_map, outcome = staged(grown, "id-map"), staged(outcome, "outcome")
+        outcomes.append(outcome)
         stopped = stop_on_reject and not outcomes[-1].where("outcome = 'rejected'").isEmpty()
     return reduce(DataFrame.union, outcomes), id_map
 

@@ -58,6 +58,50 @@ def with_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(values, df[column] == values["__id"], "left_semi")
 
 
+def _comparable(df: DataFrame, column: str, ids: DataFrame) -> str | None:
+    """The type in which equal values of both sides hash alike; None if there is no such type."""
+    a, b = df.schema[column].dataType.simpleString(), ids.schema[0].dataType.simpleString()
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    return "bigint" if {a, b} <= whole else a if a == b and a in ("string", "date", "binary") else None
+
+
+def id_filter(ids: DataFrame, words: int, as_type: str) -> DataFrame:
+    """(word, bits): a Bloom filter of the ids with two bits an id, both in one of `words` (a power of two) 64-bit words.
+
+    It is made by an aggregation with partial sums; a row per word that is not empty."""
+    word, mask = _places(F.col(ids.columns[0]).cast(as_type), words)
+    return ids.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+
+
+def _places(value: Column, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(value)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, n).bitwiseAND(F.lit(63)).cast("int")) for n in (40, 50)]
+    return h.bitwiseAND(F.lit(words - 1)), bits[0].bitwiseOR(bits[1])
+
+
+def sifted(df: DataFrame, column: str, ids: DataFrame, n: int, bits_per_id: int = 16, most_words: int = 2**21) -> DataFrame:
+    """Rows of df whose column may be among n distinct ids: all that are, and about two in a hundred of the others.
+
+    The filter is broadcast, so rows are left out in the stage that reads them. It has at most most_words rows of 16 bytes (some
+    80 MB with its hash table); for more ids than that serves (8 million), and for types that do not hash alike, df comes back as
+    it is."""
+    words = 1 << max(0, (n * bits_per_id - 1) // 64).bit_length()
+    as_type = _comparable(df, column, ids)
+    if as_type is None or words > most_words:
+        return df
+    there = df.where(F.col(column).isNotNull())
+    word, mask = _places(there[column].cast(as_type), words)
+    bits = F.broadcast(id_filter(ids, words, as_type))
+    return there.join(bits, (word == bits["word"]) & (bits["bits"].bitwiseAND(mask) == mask), "left_semi")
+
+
+def with_few_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """with_ids() for a df far larger than what the ids select: a Bloom filter of the ids sifts df where it is read, so that only
+    rows in scope (and a few others) are shuffled to the exact semi-join. Worth it where the ids are too many to be broadcast."""
+    values, n = staged_count(ids.select(F.col(ids.columns[0]).alias("__id")).where("__id is not null").distinct(), "ids")
+    return with_ids(sifted(df, column, values, n), column, values)
+
+
 def parent_of(parent: DataFrame, key: str, scope: DataFrame, column: str) -> DataFrame:
     """Rows of parent that rows in scope point to."""
     return with_ids(parent, key, scope.select(column))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 # fixed values: how load logs name error codes and the row that a duplicate meets
 ERROR_CODE = r'"(?:errorCode|error)"\s*:\s*"([A-Za-z][A-Za-z0-9_]*)"'
 DUPLICATE_ID = r"\bid:\s*([a-zA-Z0-9]{18}|[a-zA-Z0-9]{15})\b"
@@ -77,6 +79,45 @@ def drift(stored: DataFrame, now: DataFrame) -> DataFrame:
     return s.join(t, "table_name", "full_outer").where(~F.col("before").eqNullSafe(F.col("now"))).select("table_name", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_now", F.lit(0)).alias("n_now"))
 
 
+def _down(number: Column, by: int) -> Column:
+    """number / by, rounded down, in whole numbers."""
+    n = number.cast("long")
+    return F.call_function("div", n - F.pmod(n, F.lit(by)), F.lit(by).cast("long"))
+
+
+def range_tree(rows: DataFrame, key: str, columns: list[str], width: int, fan: int = 16, levels: int = 3) -> DataFrame:
+    """(level, node, n, digest): sums of row hashes per range of a whole-number key, folded upwards.
+
+    A leaf (level 0) is a range of width keys, node k of a level covers nodes fan * k to fan * k + fan - 1 below. Rows without a key
+    have a null node. A row counts by three 32-bit words of the SHA-256 of its key and columns; their sums make a digest, so order
+    and partitions do not matter and repeated rows do. Rows meet once, in parts, at their leaf; levels are made from leaves."""
+    said = F.concat(*[F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in [key, *columns]])
+    h = F.sha2(said, 256)
+    words = [F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)").alias(f"w{k}") for k in range(3)]
+    leaves = rows.select(_down(F.col(key), width).alias("leaf"), *words).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{k}").alias(f"w{k}") for k in range(3)])
+    up = [F.struct(F.lit(level).alias("level"), _down(F.col("leaf"), fan**level).alias("node")) for level in range(levels + 1)]
+    nodes = leaves.select(F.explode(F.array(*up)).alias("at"), "n", *[F.col(f"w{k}").cast("decimal(38,0)").alias(f"w{k}") for k in range(3)])
+    sums = nodes.groupBy("at.level", "at.node").agg(F.sum("n").alias("n"), *[F.sum(f"w{k}").cast("string").alias(f"w{k}") for k in range(3)])
+    return sums.select("level", "node", "n", F.concat_ws("-", "w0", "w1", "w2").alias("digest"))
+
+
+def changed_ranges(before: DataFrame, now: DataFrame, width: int, fan: int = 16, levels: int = 3) -> DataFrame:
+    """(range_start, range_end, n_before, n_now): leaves of two range trees (stored, best by level) that differ.
+
+    Compared from the top; below it, only children of nodes that differ are looked at, and no rows at all. Rows without a key are
+    the range with null ends."""
+    suspects = None
+    for level in range(levels, -1, -1):
+        sides = [t.where(F.col("level") == level).select("node", "n", "digest") for t in (before, now)]
+        if suspects is not None:
+            sides = [t.join(suspects, _down(F.col("node"), fan).eqNullSafe(F.col("suspect")), "left_semi") for t in sides]
+        b, t = sides[0].toDF("b_node", "b_n", "b_digest"), sides[1].toDF("t_node", "t_n", "t_digest")
+        unlike = b.join(t, F.col("b_node").eqNullSafe(F.col("t_node")), "full_outer").where(~F.col("b_digest").eqNullSafe(F.col("t_digest")))
+        found = staged(unlike.select(F.coalesce("b_node", "t_node").alias("node"), F.coalesce("b_n", F.lit(0)).alias("n_before"), F.coalesce("t_n", F.lit(0)).alias("n_now")), "ranges")
+        suspects = found.select(F.col("node").alias("suspect"))
+    return found.select((F.col("node") * width).alias("range_start"), (F.col("node") * width + width - 1).alias("range_end"), "n_before", "n_now")
+
+
 def plan_parts(root: str, predicate: str, objects: DataFrame, sample: DataFrame | None = None) -> DataFrame:
     """(part, value) of all that a preview has settled: root, predicate, per table its step and key, and the sample's fingerprint.
 

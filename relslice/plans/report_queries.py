@@ -8,7 +8,7 @@ from ..functions import mask
 from ..model import ForeignKey
 from ..operators import catalog, graph, idmap, load, scope, verify
 from ..operators.idmap import Rule
-from ..sources.tables import dataset, staged, table
+from ..sources.tables import dataset, new_folder, staged, table
 from .derived import COLUMNS, EDGES, PARTIAL_MAP, ROOT, SALT, TARGET_CUSTOMERS, derive, plain
 from .graph_queries import _O, _S, _WALK, CANDIDATE, HOPS, _SCC, C, E, T, columns, edges, root, stops, target_columns, upsert_decisions
 from .graph_queries import ROOT as TABLE
@@ -221,6 +221,16 @@ def multi_step_control(spark, sf):
     return load.stitch(steps, derive(spark, sf, PARTIAL_MAP), mint, finished=("supplier",), stop_on_reject=True)[0]
 
 
+@query(ORACLES["multi_step_stitch"])
+def multi_step_resumed(spark, sf):
+    """A batch that broke off after its first step goes on from the journal and ends as if it had not."""
+    t = {name: table(spark, sf, name) for name in ("customer", "orders")}
+    steps = [("customer", t["customer"].where("c_custkey % 4 <> 2"), "c_custkey", []), ("orders", t["orders"], "o_orderkey", [Rule(TO_CUSTOMER, "reject")])]
+    journal = new_folder(spark, "journal")
+    load.stitch(steps[:1], derive(spark, sf, PARTIAL_MAP), mint, journal=journal)
+    return load.stitch(steps, derive(spark, sf, PARTIAL_MAP), mint, journal=journal)[0]
+
+
 # ---- rejects that spread
 
 #: Nations without an entry in the map: their customers are rejected, then those customers' orders, orders after these, and lines.
@@ -344,3 +354,31 @@ def plan_drift_parts(spark, sf):
     """What has changed since a preview: the predicate, the ids it finds, and decisions of some tables."""
     return verify.plan_drift(staged(_plan(spark, sf, ROOT, False), "plan"), staged(_plan(spark, sf, _GONE, True), "plan"))
 
+
+
+#: Orders as a later run finds them: some are gone, some have another status, some are new.
+_LATER = """SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 1009 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM {orders} WHERE o_orderkey % 1013 <> 5
+  UNION ALL SELECT CAST(-o_orderkey AS BIGINT), o_orderstatus, o_totalprice FROM {orders} WHERE o_orderkey % 2003 = 7"""
+
+
+@query(
+    f"""WITH b AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_orderstatus AS s FROM orders), t AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM ({plain(_LATER)}) x),
+    j AS (SELECT coalesce(b.k, t.k) AS k, b.k IS NOT NULL AS there, t.k IS NOT NULL AS here, b.s IS DISTINCT FROM t.s AS unlike FROM b FULL JOIN t ON b.k = t.k)
+    SELECT CAST(floor(k / 64.0) * 64 AS BIGINT) AS range_start, CAST(floor(k / 64.0) * 64 + 63 AS BIGINT) AS range_end, count(*) FILTER (WHERE there) AS n_before, count(*) FILTER (WHERE here) AS n_now FROM j GROUP BY 1, 2 HAVING bool_or(unlike)"""
+)
+def drift_ranges(spark, sf):
+    """Ranges of keys whose rows have changed since a preview, found from stored sums without the rows."""
+    columns = ["o_orderstatus", "o_totalprice"]
+    before = table(spark, sf, "orders").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+    trees = [staged(verify.range_tree(rows, "o_orderkey", columns, 64), "tree") for rows in (before, derive(spark, sf, _LATER))]
+    return verify.changed_ranges(*trees, 64)
+
+
+_FEW = "o_orderkey % 50 = 11 AND o_totalprice > 1000"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_FEW})")
+def scope_sifted_children(spark, sf):
+    """Children of few roots: lines are sifted by a Bloom filter of the orders where they are read, then matched exactly."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return scope.with_few_ids(lines, "l_orderkey", scope.scan_ids(table(spark, sf, "orders"), "o_orderkey", _FEW))

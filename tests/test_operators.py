@@ -447,3 +447,84 @@ def test_permuted_digits_are_one_to_one_and_keep_the_shape(spark):
     assert got[4:7] == ["", None, "no digit"] and got[8].endswith("1111-2")
     assert all(v is None or re.sub("[0-9]", "0", m) == re.sub("[0-9]", "0", v) for v, m in zip(shapes, got))
     assert got[2] != shapes[2] and got != [r.m for r in df.orderBy("i").select(mask.permute_digits(F.col("v"), "t").alias("m")).collect()]
+
+
+def test_bloom_filter_sifts_before_the_exchange_and_loses_nothing(spark):
+    ids = spark.range(0, 60_000, 3).withColumnRenamed("id", "k")
+    df = spark.range(400_000).select((F.col("id") * 7 % 1_000_003).cast("int").alias("fk"), "id").union(spark.sql("SELECT CAST(NULL AS INT), 1L"))
+    n = ids.count()
+    exact, passed = scope.with_ids(df, "fk", ids), scope.sifted(df, "fk", ids, n)
+    outside = df.count() - exact.count()
+    assert passed.join(exact, "id", "left_semi").count() >= exact.count() and passed.count() - exact.count() < 0.04 * outside
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = scope.with_few_ids(df, "fk", ids)
+        assert rows(got) == rows(exact)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")  # the filter lies below the exact join, on its left side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("kind, sifts", [("string", True), ("date", True), ("double", False), ("decimal(12,2)", False)])
+def test_bloom_filter_of_other_types_of_ids(spark, kind, sifts):
+    value = F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")) if kind == "date" else F.col("id").cast(kind)
+    df = spark.range(500).select(value.alias("k"), F.col("id").alias("word"))
+    ids = df.where("word % 50 = 3").select("k")
+    assert (scope.sifted(df, "k", ids, 10).count() < 500) == sifts
+    assert rows(scope.with_few_ids(df, "k", ids)) == rows(df.where("word % 50 = 3"))
+    assert scope.with_few_ids(df, "k", ids.limit(0)).count() == 0 and scope.with_few_ids(df.limit(0), "k", ids).count() == 0
+
+
+def test_filter_is_left_out_where_ids_are_too_many(spark):
+    df = spark.range(100).toDF("k")
+    assert scope.sifted(df, "k", df, 100, most_words=4).count() == 100
+    assert scope.sifted(df, "k", df.where("k < 5"), 5, most_words=4).count() < 100
+
+
+def test_changed_ranges_are_those_of_changed_rows_alone(spark):
+    schema = "k long, v string, w double"
+    before = [(k, f"v{k}", 1.0) for k in range(-300, 3_000) if k % 3] + [(None, "a", None), (7, "v7", 1.0), (2**60 + 1, "far", None)]
+    build = lambda data: tables.staged(verify.range_tree(spark.createDataFrame(data, schema), "k", ["v", "w"], 10, fan=4, levels=4))
+    tree = build(before)
+    assert verify.changed_ranges(tree, build(before[::-1]), 10, 4, 4).count() == 0
+    now = [r for r in before if r[0] not in (1_000, -299)] + [(-1_000, "new", None), (None, "b", None)]
+    now = [(k, None if k == 2_000 else v, w) for k, v, w in now]
+    now.remove((7, "v7", 1.0))
+    assert rows(verify.changed_ranges(tree, build([r for r in now if r[0] is not None]), 10, 4, 4).where("range_start is null")) == [(None, None, 1, 0)]
+    got = rows(verify.changed_ranges(tree, build(now), 10, 4, 4).where("range_start is not null"))
+    assert got == [(-1_000, -991, 0, 1), (-300, -291, 6, 5), (0, 9, 7, 6), (1_000, 1_009, 7, 6), (2_000, 2_009, 7, 7)]
+    assert rows(verify.changed_ranges(build([]), build([(5, "a", 1.0)]), 10, 4, 4)) == [(0, 9, 0, 1)] and verify.changed_ranges(build([]), build([]), 10, 4, 4).count() == 0
+
+
+def test_a_killed_batch_goes_on_from_its_journal(spark, tmp_path):
+    need = lambda t, to: Rule(ForeignKey(t, "up", (to,), required=True), "reject")
+    frame = lambda pairs: spark.createDataFrame(pairs, "id string, up string")
+    steps = [("a", frame([("1", None), ("2", None)]), "id", []), ("b", frame([("1", "1"), ("2", "9")]), "id", [need("b", "a")]), ("c", frame([("1", "1"), ("2", "2")]), "id", [need("c", "b")])]
+    minted, broken = [], {"c"}
+
+    def mint(df, name, key):
+        minted.append(name)
+        if name in broken:
+            raise RuntimeError("killed")
+        return df.select(F.lit(name).alias("object"), F.col(key).alias("source_id"), F.concat(F.lit(f"{name}-"), key).alias("target_id"))
+
+    journal, start = str(tmp_path / "journal"), id_map(spark, [("0", "old")], "a")
+    with pytest.raises(RuntimeError):
+        load.stitch(steps, start, mint, journal=journal)
+    broken.clear()
+    minted.clear()
+    got = load.stitch(steps, start, mint, journal=journal)
+    assert set(minted) == {"c"}
+    want = load.stitch(steps, start, mint)
+    assert rows(got[0]) == rows(want[0]) and rows(got[1]) == rows(want[1])
+    minted.clear()
+    again = load.stitch(steps, start, mint, journal=journal)
+    assert not minted and rows(again[0]) == rows(want[0]) and rows(again[1]) == rows(want[1])
+    stopped = load.stitch(steps, start, mint, stop_on_reject=True, journal=journal)
+    assert ("b", "rejected", 1) in rows(stopped[0])
+    with pytest.raises(ValueError, match="step 0"):
+        load.stitch([steps[1]], start, mint, journal=journal)
+    id_map(spark, [("1", "else")], "a").write.mode("overwrite").parquet(f"{journal}/0001-map")
+    with pytest.raises(ValueError, match="not the one"):
+        load.stitch(steps, start, mint, journal=journal)
