@@ -205,6 +205,17 @@ def load_waves(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataF
     raise RuntimeError("load order did not settle")
 
 
+def load_steps(edges: DataFrame) -> DataFrame:
+    """(table_name, wave, step, break_edge) of every table: when it is loaded, and how.
+
+    step is `single`, or for tables of a component `two-phase` (break_edge, as src.field, is left empty at first) or `skipped`."""
+    labels = staged(components(edges), "components")
+    waves = load_waves(edges, labels).select("node", "wave")
+    broken = break_edges(edges, labels).select("component", F.concat_ws(".", "break_src", "break_field").alias("said"), F.col("break_src").isNotNull().alias("free"))
+    how = labels.join(broken, "component").select("node", F.when(F.col("free"), "two-phase").otherwise("skipped").alias("step"), F.when(F.col("free"), F.col("said")).alias("break_edge"))
+    return waves.join(how, "node", "left").select(F.col("node").alias("table_name"), "wave", F.coalesce("step", F.lit("single")).alias("step"), "break_edge")
+
+
 def feedback_edges(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """(edges to leave out at first, components that stay): without the former, the latter are all that is cyclic.
 

@@ -382,3 +382,50 @@ def scope_sifted_children(spark, sf):
     """Children of few roots: lines are sifted by a Bloom filter of the orders where they are read, then matched exactly."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return scope.with_few_ids(lines, "l_orderkey", scope.scan_ids(table(spark, sf, "orders"), "o_orderkey", _FEW))
+
+
+def _order_sql(edges_sql):
+    """Wave, step and break edge of every table, by recursive SQL over the edges."""
+    return f"""WITH RECURSIVE e AS ({edges_sql}), {_SCC}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), s AS (SELECT n.node, coalesce(component, n.node) AS step, component FROM n LEFT JOIN scc ON scc.node = n.node),
+    d AS (SELECT DISTINCT a.step AS a, b.step AS b FROM e JOIN s a ON a.node = e.src JOIN s b ON b.node = e.dst WHERE a.step <> b.step),
+    l(step, wave) AS (SELECT DISTINCT step, 0 FROM s UNION SELECT d.a, wave + 1 FROM l JOIN d ON d.b = l.step), m AS (SELECT step, max(wave) AS wave FROM l GROUP BY step),
+    o AS (SELECT s.component, src || '.' || field AS said, row_number() OVER (PARTITION BY s.component ORDER BY src = dst, pos, src, field, dst) AS rn FROM e JOIN s ON s.node = e.src JOIN s q ON q.node = e.dst AND q.component = s.component WHERE nillable)
+    SELECT s.node AS table_name, m.wave, CASE WHEN s.component IS NULL THEN 'single' WHEN o.said IS NULL THEN 'skipped' ELSE 'two-phase' END AS step, o.said AS break_edge FROM s JOIN m ON m.step = s.step LEFT JOIN o ON o.component = s.component AND rn = 1"""
+
+
+@query(_order_sql(plain(EDGES)))
+def load_steps(spark, sf):
+    return graph.load_steps(edges(spark, sf))
+
+
+#: The catalog after a release: some references are gone.
+_EDGES_LATER = f"SELECT * FROM ({EDGES}) q WHERE pos % 7 <> 3"
+
+
+@query(
+    f"""WITH a AS ({_order_sql(plain(EDGES))}), b AS ({_order_sql(plain(_EDGES_LATER))}), p AS (SELECT 'table:' || table_name AS part, concat_ws('|', wave, step, coalesce(break_edge, ''), 'picked', '') AS said FROM a),
+    q AS (SELECT 'table:' || table_name AS part, concat_ws('|', wave, step, coalesce(break_edge, ''), 'picked', '') AS said FROM b)
+    SELECT coalesce(p.part, q.part) AS part, p.said AS before, q.said AS now FROM p FULL JOIN q ON q.part = p.part WHERE p.said IS DISTINCT FROM q.said"""
+)
+def plan_order_drift(spark, sf):
+    """Tables whose place in the load order, or whose way of breaking a cycle, has changed since a preview."""
+    plans = []
+    for sql in (EDGES, _EDGES_LATER):
+        steps = graph.load_steps(staged(derive(spark, sf, sql), "edges"))
+        objects = steps.withColumns({"kind": F.lit("picked"), "field": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+        plans.append(staged(verify.plan_parts("orders", ROOT, objects), "plan"))
+    return verify.plan_drift(*plans)
+
+
+_KEYED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_extendedprice"],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n, count({c}) AS filled, count({c}) > 0 AND count(DISTINCT {c}) = count({c}) AS is_unique FROM {t}" for t, cs in _KEYED.items() for c in cs))
+def unique_keys(spark, sf):
+    """Columns that the data allow as a key to match by."""
+    return catalog.unique_keys({name: (table(spark, sf, name), names) for name, names in _KEYED.items()})

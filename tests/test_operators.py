@@ -528,3 +528,18 @@ def test_a_killed_batch_goes_on_from_its_journal(spark, tmp_path):
     id_map(spark, [("1", "else")], "a").write.mode("overwrite").parquet(f"{journal}/0001-map")
     with pytest.raises(ValueError, match="not the one"):
         load.stitch(steps, start, mint, journal=journal)
+
+
+def test_unique_keys_by_data(spark):
+    df = spark.range(3_000).select("id", (F.col("id") % 2_999).alias("almost"), F.when(F.col("id") < 5, F.col("id")).alias("some"), F.lit(None).cast("int").alias("none"), F.lit("x").alias("same"), F.col("id").cast("string").alias("value"))
+    got = {r.column_name: (r.n, r.filled, r.is_unique) for r in catalog.unique_keys({"t": (df, df.columns)}).collect()}
+    assert got == {"id": (3_000, 3_000, True), "almost": (3_000, 3_000, False), "some": (3_000, 5, True), "none": (3_000, 0, False), "same": (3_000, 3_000, False), "value": (3_000, 3_000, True)}
+    assert [r.is_unique for r in catalog.unique_keys({"t": (df.limit(0), ["id"])}).collect()] == [False]
+
+
+def test_load_steps_name_the_wave_and_the_edge_to_break(spark):
+    free = edges(spark, [("a", "b"), ("b", "a"), ("c", "a")])
+    tied = edges(spark, [("x", "y"), ("y", "x")], nillable=False)
+    assert rows(graph.load_steps(free.union(tied)).select("table_name", "wave", "step", F.coalesce("break_edge", F.lit("-")))) == [
+        ("a", 0, "two-phase", "a.f0"), ("b", 0, "two-phase", "a.f0"), ("c", 1, "single", "-"), ("x", 0, "skipped", "-"), ("y", 0, "skipped", "-"),
+    ]
