@@ -6,6 +6,7 @@ import math
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,21 @@ def test_language_filter_drops_what_no_language_is_like(spark):
     assert sum(i < 10_000 for i in kept) >= 0.99 * len(rows)
 
 
+def test_least_scores_are_taken_from_every_held_out_row(spark, monkeypatch):
+    # 3,000 rows held out of one language: the six lowest may be missed, and the next one is the least score
+    def told(langs, params):
+        def run(found):
+            for batch in found:
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("lang"), pa.array([(int(t) + 0.5) / 10_000 for t in batch.column("text").to_pylist()])], ["lang", "pred", "score"])
+
+        return run
+
+    monkeypatch.setattr(langid, "_told", told)
+    df = spark.range(6_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("en").alias("lang"))
+    for cut in (1, 7):
+        assert langid.least_scores(df.repartition(cut), F.col("doc_id") < 3_000, ["en"], None) == {"en": 0.0006}
+
+
 @needs_tables
 def test_language_on_held_out_rows(spark):
     df = queries.op1_language(spark, str(FOLDER)).join(spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
