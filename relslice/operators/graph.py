@@ -83,6 +83,12 @@ def closure(edges: DataFrame, starts: DataFrame, stop: DataFrame | None = None,
     return walk(edges, starts, most, stop).select("node")
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by exchange of both sides. The rounds below join again and again: broadcasts, small each, would all pass through the
+    driver, and more of them and larger ones as the graph grows."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _step(state: DataFrame, edges: DataFrame) -> DataFrame:
     """One round of (node, ahead, behind): the first node that a node is known to reach, and the first that is known to reach it.
 
@@ -92,10 +98,10 @@ def _step(state: DataFrame, edges: DataFrame) -> DataFrame:
     at = lambda column, value, name: state.select(F.col("node").alias(column), F.col(value).alias(name))
     found = [
         state.select("node", "ahead", "behind", F.col("ahead").alias("ahead0"), F.col("behind").alias("behind0")),
-        edges.join(at("dst", "ahead", "v"), "dst").select("src", "v", none, none, none),
-        edges.join(at("src", "behind", "v"), "src").select("dst", none, "v", none, none),
-        state.where("ahead <> node").join(at("n", "ahead", "v"), F.col("ahead") == F.col("n")).select("node", "v", none, none, none),
-        state.where("behind <> node").join(at("n", "behind", "v"), F.col("behind") == F.col("n")).select("node", none, "v", none, none),
+        _met(edges, at("dst", "ahead", "v"), "dst").select("src", "v", none, none, none),
+        _met(edges, at("src", "behind", "v"), "src").select("dst", none, "v", none, none),
+        _met(state.where("ahead <> node"), at("n", "ahead", "v"), F.col("ahead") == F.col("n")).select("node", "v", none, none, none),
+        _met(state.where("behind <> node"), at("n", "behind", "v"), F.col("behind") == F.col("n")).select("node", none, "v", none, none),
     ]
     new = reduce(DataFrame.union, found).groupBy("node").agg(*[F.min(c).alias(c) for c in ("ahead", "behind", "ahead0", "behind0")])
     return new.select("node", "ahead", "behind", ((F.col("ahead") < F.col("ahead0")) | (F.col("behind") < F.col("behind0"))).alias("moved"))
@@ -107,12 +113,12 @@ def _acyclic(edges: DataFrame) -> DataFrame:
     open_edges, before = edges, None
     while True:
         degree = open_edges.groupBy(F.col("src").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next"))
-        met = open_edges.join(degree, F.col("dst") == F.col("of"))  # edges to nodes without open edges close
+        met = _met(open_edges, degree, F.col("dst") == F.col("of"))  # edges to nodes without open edges close
         drawn = met.select("src", F.when((F.col("n") == 1) & (F.col("src") != F.col("dst")), F.col("next")).otherwise(F.col("dst")).alias("dst")).distinct()
         open_edges = staged(drawn, "open")
         now = open_edges.select("src").distinct().count()
         if now == before or not now:
-            return edges.select(F.col("src").alias("node")).distinct().join(open_edges.select(F.col("src").alias("node")), "node", "left_anti")
+            return _met(edges.select(F.col("src").alias("node")).distinct(), open_edges.select(F.col("src").alias("node")), "node", "left_anti")
         before = now
 
 
@@ -140,7 +146,7 @@ def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
             for turned in (False, True):
                 way = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else rest
                 free = staged(_acyclic(way), "free").select(F.col("node").alias("dst" if turned else "src"))
-                rest, size = staged_count(rest.join(free, free.columns[0], "left_anti").select("src", "dst"), "edges")
+                rest, size = staged_count(_met(rest, free, free.columns[0], "left_anti").select("src", "dst"), "edges")
         if not size:
             break
         state = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
@@ -151,13 +157,13 @@ def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
         one = state.where("ahead = behind").select("node", F.col("ahead").alias("label"))
         found = one if found is None else found.union(one)
         a, b = state.select(F.col("node").alias("src"), F.col("ahead").alias("a1"), F.col("behind").alias("b1")), state.select(F.col("node").alias("dst"), F.col("ahead").alias("a2"), F.col("behind").alias("b2"))
-        rest, size = staged_count(rest.join(a, "src").join(b, "dst").where("a1 = a2 and b1 = b2 and a1 <> b1").select("src", "dst"), "edges")
+        rest, size = staged_count(_met(_met(rest, a, "src"), b, "dst").where("a1 = a2 and b1 = b2 and a1 <> b1").select("src", "dst"), "edges")
     if found is None:
         return loops
     named = found.select(F.substring("node", NAME_AT, 1_000_000).alias("node"), "label")
     large = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).where("n > 1")
-    big = named.join(large, "label").select("node", "component")
-    return big.union(loops.join(big.select("node"), "node", "left_anti"))
+    big = _met(named, large, "label").select("node", "component")
+    return big.union(_met(loops, big.select("node"), "node", "left_anti"))
 
 
 def break_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,7 +171,7 @@ def break_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
     A component without a nillable edge has no break edge (null)."""
     a, b = labels.select(F.col("node").alias("src"), "component"), labels.select(F.col("node").alias("dst"), F.col("component").alias("other"))
-    inner = edges.join(a, "src").join(b, "dst").where("component = other")
+    inner = _met(_met(edges, a, "src"), b, "dst").where("component = other")
     key = F.struct(F.col("src") == F.col("dst"), F.col("pos"), F.col("src"), F.col("field"), F.col("dst"))
     best = F.min_by(F.struct("src", "field", "dst"), F.when(F.col("nillable"), key))
     out = inner.groupBy("component").agg(F.count(F.lit(1)).alias("inner_edges"), best.alias("e"))
@@ -185,17 +191,17 @@ def load_waves(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataF
     edge is drawn on to that edge's end: chains and trees, hierarchies of rows say, double their reach in a round; what
     branches and meets again takes a round a level. A cycle that labels do not name is an error."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    named, n = staged_count(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("step")), "steps")
+    named, n = staged_count(_met(nodes, labels, "node", "left").select("node", F.coalesce("component", "node").alias("step")), "steps")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     s, d = named.select(F.col("node").alias("src"), F.col("step").alias("a")), named.select(F.col("node").alias("dst"), F.col("step").alias("b"))
-    between = edges.select("src", "dst").distinct().join(s, "src").join(d, "dst").where("a <> b").select("a", "b", one.alias("w")).distinct()
+    between = _met(_met(edges.select("src", "dst").distinct(), s, "src"), d, "dst").where("a <> b").select("a", "b", one.alias("w")).distinct()
     floor = named.select(F.col("step").alias("a"), F.lit(None).cast(named.schema["step"].dataType).alias("b"), zero.alias("w")).distinct()
     state, left = staged_with(between.union(floor), F.count("b"), "waves")
     for _ in range(most):
         if not left:
-            return named.join(state, named["step"] == state["a"]).select("node", F.col("w").cast("int").alias("wave"))
+            return _met(named, state, named["step"] == state["a"]).select("node", F.col("w").cast("int").alias("wave"))
         status = state.groupBy(F.col("a").alias("of")).agg(F.max(F.when(F.col("b").isNull(), F.col("w"))).alias("least"), F.count("b").alias("open"), F.min("b").alias("next"), F.max(F.when(F.col("b").isNotNull(), F.col("w"))).alias("span"))
-        met = state.where("b is not null").join(status, F.col("b") == F.col("of"))
+        met = _met(state.where("b is not null"), status, F.col("b") == F.col("of"))
         closed = met.where("open < 2").select("a", F.lit(None).cast(state.schema["b"].dataType).alias("b"), (F.col("least") + F.col("w")).alias("w"))
         drawn = met.where("open > 0").select("a", F.when(F.col("open") == 1, F.col("next")).otherwise(F.col("b")).alias("b"), F.when(F.col("open") == 1, F.col("w") + F.col("span")).otherwise(F.col("w")).alias("w"))
         new = state.where("b is null").union(closed).union(drawn).groupBy("a", "b").agg(F.max("w").alias("w"))
@@ -205,6 +211,36 @@ def load_waves(edges: DataFrame, labels: DataFrame, most: int = 10_000) -> DataF
     raise RuntimeError("load order did not settle")
 
 
+def follow(links: DataFrame) -> DataFrame:
+    """links (node, next, w), a row a node, followed to the end of every path at once: next is null and w the sum on the way.
+
+    A null next ends a path, and so does one that is no node of links. Every round joins each node with what its next has found, so
+    paths double in a round. What then still has a next leads into a circle."""
+    state, left = staged_with(links.select("node", "next", F.col("w").cast("long").alias("w")), F.count("next"), "links")
+    ended: list[DataFrame] = []
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        ended.append(state.where("next is null"))
+        ahead = reduce(DataFrame.union, ended, state.where("next is not null")).select(F.col("node").alias("of"), F.col("next").alias("then"), F.col("w").alias("more"))
+        met = _met(state.where("next is not null"), ahead, F.col("next") == F.col("of"), "left")
+        state, left = staged_with(met.select("node", F.col("then").alias("next"), (F.col("w") + F.coalesce("more", F.lit(0).cast("long"))).alias("w")), F.count("next"), "links")
+    return reduce(DataFrame.union, ended, state)
+
+
+def row_waves(edges: DataFrame) -> DataFrame:
+    """load_waves() of a hierarchy of rows: where every node points to at most one other, its wave is the length of its path.
+
+    Edges of another kind, or in a circle, take the way by components and load_waves()."""
+    up = edges.where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"), F.max("dst").alias("last"), F.lit(1).alias("w"))
+    links, several = staged_with(up, F.count_if(F.col("next") != F.col("last")), "links")
+    found = None if several else follow(links)
+    if found is None or not found.where("next is not null").isEmpty():
+        return load_waves(edges, staged(components(edges), "components"))
+    ends = edges.select(F.col("dst").alias("node")).union(edges.where("src = dst").select("src")).distinct()
+    return found.select("node", F.col("w").cast("int").alias("wave")).union(_met(ends, links.select("node"), "node", "left_anti").select("node", F.lit(0).alias("wave")))
+
+
 def load_steps(edges: DataFrame) -> DataFrame:
     """(table_name, wave, step, break_edge) of every table: when it is loaded, and how.
 
@@ -212,8 +248,8 @@ def load_steps(edges: DataFrame) -> DataFrame:
     labels = staged(components(edges), "components")
     waves = load_waves(edges, labels).select("node", "wave")
     broken = break_edges(edges, labels).select("component", F.concat_ws(".", "break_src", "break_field").alias("said"), F.col("break_src").isNotNull().alias("free"))
-    how = labels.join(broken, "component").select("node", F.when(F.col("free"), "two-phase").otherwise("skipped").alias("step"), F.when(F.col("free"), F.col("said")).alias("break_edge"))
-    return waves.join(how, "node", "left").select(F.col("node").alias("table_name"), "wave", F.coalesce("step", F.lit("single")).alias("step"), "break_edge")
+    how = _met(labels, broken, "component").select("node", F.when(F.col("free"), "two-phase").otherwise("skipped").alias("step"), F.when(F.col("free"), F.col("said")).alias("break_edge"))
+    return _met(waves, how, "node", "left").select(F.col("node").alias("table_name"), "wave", F.coalesce("step", F.lit("single")).alias("step"), "break_edge")
 
 
 def feedback_edges(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
@@ -225,18 +261,18 @@ def feedback_edges(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, Data
     every = staged(edges.withColumn("__id", F.monotonically_increasing_id()), "edges")
     gone: DataFrame | None = None
     for _ in range(most):
-        rest = every if gone is None else every.join(gone, "__id", "left_anti")
+        rest = every if gone is None else _met(every, gone, "__id", "left_anti")
         labels = staged(components(rest), "components")
         a, b = labels.select(F.col("node").alias("src"), "component"), labels.select(F.col("node").alias("dst"), F.col("component").alias("other"))
-        inner = staged(rest.join(a, "src").join(b, "dst").where("component = other").drop("other"), "inner")
+        inner = staged(_met(_met(rest, a, "src"), b, "dst").where("component = other").drop("other"), "inner")
         surplus = inner.select(F.col("src").alias("node"), F.lit(-1).alias("s")).union(inner.select("dst", F.lit(1))).groupBy("node").agg(F.struct((-F.sum("s")).alias("s"), F.col("node").alias("name")).alias("place"))
         place = lambda end: surplus.select(F.col("node").alias(end), F.col("place").alias(f"{end}_place"))
         against = F.col("src_place") <= F.col("dst_place")  # an edge to itself too
-        free = inner.where("nillable").join(place("src"), "src").join(place("dst"), "dst").select("component", "__id", "pos", against.alias("against"))
+        free = _met(_met(inner.where("nillable"), place("src"), "src"), place("dst"), "dst").select("component", "__id", "pos", against.alias("against"))
         chosen = free.groupBy("component").agg(F.count_if("against").alias("n"), F.min_by("__id", F.struct("pos", "__id")).alias("first"))
-        cut, n = staged_count(free.join(chosen, "component").where("against or (n = 0 and __id = first)").select("__id"), "cut")
+        cut, n = staged_count(_met(free, chosen, "component").where("against or (n = 0 and __id = first)").select("__id"), "cut")
         if not n:
-            out = every.where("false") if gone is None else every.join(gone, "__id", "left_semi")
+            out = every.where("false") if gone is None else _met(every, gone, "__id", "left_semi")
             return out.drop("__id"), labels
         gone = cut if gone is None else gone.union(cut)
     raise RuntimeError("feedback edges did not settle")

@@ -183,7 +183,7 @@ _ORDERS_AFTER = "SELECT CAST(o_orderkey AS STRING) AS src, CAST(lag(o_orderkey)
 def load_waves_rows(spark, sf):
     """Rows of a hierarchy in an order that puts parents first: each order after its customer's order before it."""
     after = staged(derive(spark, sf, _ORDERS_AFTER).where("dst is not null"), "hierarchy")
-    return graph.load_waves(after, staged(graph.components(after), "components"))
+    return graph.row_waves(after)
 
 
 @query(
