@@ -108,7 +108,7 @@ def permute_digits(value: Column, salt: str, rounds: int = ROUNDS) -> Column:
     to the other. Every round can be undone, so different values of one shape get different masks: unique keys stay unique, for
     postal codes, phones and ids of any length. Of more than MOST_DIGITS digits the first ones are permuted. Null and empty
     values stay, and so does one without a digit."""
-    ten = lambda n: F.rpad(F.lit("1"), (n + 1).cast("int"), "0").cast("bigint")
+    ten = lambda n: F.get(F.array(*[F.lit(10**k).cast("bigint") for k in range(MOST_DIGITS // 2 + 1)]), n.cast("int"))
     digits = F.substring(F.regexp_replace(value, "[^0-9]", ""), 1, MOST_DIGITS)
     n = F.length(digits)
     cut = F.floor(n / 2).cast("int")
@@ -125,11 +125,11 @@ def permute_digits(value: Column, salt: str, rounds: int = ROUNDS) -> Column:
 
     end = F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step)
     made = F.concat(F.when(cut > 0, F.lpad(end["l"].cast("string"), cut, "0")).otherwise(F.lit("")), F.lpad(end["r"].cast("string"), n - cut, "0"))
-    # digits go back one by one to where digits were
+    # digits go back one by one to where digits were; a value of nothing else is what was made
     split = F.struct(F.lit("").alias("out"), made.alias("left"))
     placed = F.aggregate(
         F.split(value, ""),
         split,
         lambda s, c: F.when(c.rlike("^[0-9]$") & (s["left"] != ""), F.struct(F.concat(s["out"], F.substring(s["left"], 1, 1)).alias("out"), F.substring(s["left"], 2, MOST_DIGITS).alias("left"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["left"].alias("left"))),
     )["out"]
-    return F.when(value.isNull() | (n == 0), value).otherwise(placed)
+    return F.when(value.isNull() | (n == 0), value).when(n == F.length(value), made).otherwise(placed)

@@ -8,7 +8,7 @@ from ..functions import mask
 from ..model import STAR, ForeignKey
 from ..operators import idmap, load, scope, verify
 from ..operators.idmap import Rule
-from ..sources.tables import dataset, staged, table
+from ..sources.tables import dataset, spread, staged, table
 from .derived import LOG, PARTIAL_MAP, ROOT, SALT, TARGET_CUSTOMERS, derive, plain
 from .registry import query
 from .scope_queries import COUNTS_SQL
@@ -405,13 +405,13 @@ def _permuted_sql() -> str:
 @query(f"SELECT k, masked FROM ({_permuted_sql()}) p")
 def mask_permuted(spark, sf):
     """A mask that is one-to-one: digits under a keyed permutation."""
-    return derive(spark, sf, _CODES).select("k", mask.permute_digits(F.col("v"), SALT).alias("masked"))
+    return spread(derive(spark, sf, _CODES), "k").select("k", mask.permute_digits(F.col("v"), SALT).alias("masked"))
 
 
 @query(f"SELECT 'permuted' AS preset, masked, count(DISTINCT v) AS sources FROM ({_permuted_sql()}) p GROUP BY 1, 2 HAVING count(DISTINCT v) > 1")
 def mask_permuted_collisions(spark, sf):
     """A unique key stays unique: no two codes share a mask."""
-    return verify.collisions(derive(spark, sf, _CODES).select(F.lit("permuted").alias("preset"), F.col("v").alias("source"), mask.permute_digits(F.col("v"), SALT).alias("masked")))
+    return verify.collisions(spread(derive(spark, sf, _CODES), "k").select(F.lit("permuted").alias("preset"), F.col("v").alias("source"), mask.permute_digits(F.col("v"), SALT).alias("masked")))
 
 
 @query(f"WITH {_LOADED} SELECT target AS value, count(*) AS n FROM l WHERE target IN (SELECT v FROM l WHERE v <> '') GROUP BY target")

@@ -47,6 +47,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over four tasks a core, for work that costs much a row on a table of few, large or compressed files."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def staged(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to a new folder of its own and read back; a lost executor then costs one step, not the whole lineage."""
     path = new_folder(df.sparkSession, name)
