@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import staged
+from ..sources.tables import staged, staged_with
 from . import graph
 from .idmap import MAP, Rule, layered, remap
 
@@ -141,6 +141,19 @@ def spread_rejects(rejected: DataFrame, links: DataFrame) -> DataFrame:
     return graph.walk(down, rejected.select(F.col("id").alias("node")).where("node is not null"), 1_000_000).withColumnRenamed("node", "id")
 
 
+def _led_to_rejects(tried: DataFrame, links: DataFrame) -> DataFrame:
+    """(id) of spread_rejects() for tried (id, bad). Where a row has at most one parent, paths are followed at twice the length in
+    every round; rows of several parents, or of one id, go by spread_rejects()."""
+    bad = tried.where("bad and id is not null").select(F.col("id").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("w"))
+    on = links.where("child is not null and parent is not null").select(F.col("child").alias("node"), "parent", F.lit(0).alias("w"))
+    way = bad.union(on).groupBy("node").agg(F.max("w").alias("w"), F.min("parent").alias("next"), F.max("parent").alias("last"))
+    open_ = F.col("w") == 0
+    ways, several = staged_with(way.select("node", F.when(open_, F.col("next")).alias("next"), F.when(open_, F.col("last")).alias("last"), "w"), F.count_if(F.col("next") != F.col("last")), "ways")
+    if several:
+        return spread_rejects(tried.where("bad").select("id"), links).select("id")
+    return graph.follow(ways).where("next is null and w > 0").select(F.col("node").alias("id"))
+
+
 def judge(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFrame, mint) -> DataFrame:
     """(id, rejected) per row of df that is to be loaded, staged. id is the key as text.
 
@@ -158,7 +171,7 @@ def judge(df: DataFrame, table: str, key: str, rules: list[Rule], id_map: DataFr
         return tried.select("id", F.col("bad").alias("rejected"))
     links = tried.select(F.col("id").alias("child"), F.explode(F.array(*columns)).alias("parent"))
     loaded = id_map.where(F.col("object") == table).select(F.col("source_id").alias("parent"))  # by an earlier run
-    spread = spread_rejects(tried.where("bad").select("id"), links.join(loaded, "parent", "left_anti")).select(F.col("id").alias("__id"))
+    spread = _led_to_rejects(tried.select("id", "bad"), staged(links.join(loaded, "parent", "left_anti"), "rejects-links")).select(F.col("id").alias("__id"))
     return tried.join(spread, F.col("id") == F.col("__id"), "left").select("id", (F.col("bad") | F.col("__id").isNotNull()).alias("rejected"))
 
 
