@@ -374,6 +374,54 @@ def test_long_chains_and_circles_take_few_rounds(spark, monkeypatch):
     assert rows(graph.components(circle)) == [(f"n{i:04}", "n0000") for i in range(n)] and len(jobs) <= 60
 
 
+def test_rounds_on_a_graph_send_no_tables_through_the_driver(spark):
+    e = edges(spark, [("c", "b"), ("b", "a"), ("a", "b"), ("d", "c")])
+    labels = graph.components(e)
+    kept = tables.staged(labels, "c")
+    for df in (labels, graph.load_waves(e, kept), graph.break_edges(e, kept)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_permuted_masks_of_one_file_are_made_by_many_tasks(spark, tmp_path):
+    from relslice.plans import QUERIES
+
+    spark.range(1, 40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    made = QUERIES["mask_permuted"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() > 4 and len({r.masked for r in made.collect()}) == 39
+    # digits alone go the short way, and it gives the digits that the long one gives
+    df = spark.createDataFrame([("004217", "a004217"), ("7", "a7"), ("1" * 40, "a" + "1" * 40)], "v string, w string")
+    assert all(v == w[1:] for v, w in rows(df.select(mask.permute_digits(F.col("v"), "s"), mask.permute_digits(F.col("w"), "s"))))
+
+
+def test_waves_of_a_hierarchy_of_rows(spark, monkeypatch):
+    jobs = []
+    for name in ("staged", "staged_with", "staged_count"):
+        monkeypatch.setattr(graph, name, lambda *a, f=getattr(tables, name): (jobs.append(1), f(*a))[1])
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(100)]
+    tree = chain + [("x", "n050"), ("x", "n050"), ("y", "x"), ("s", "s")]
+    expected = sorted([(f"n{i:03}", 100 - i) for i in range(101)] + [("x", 51), ("y", 52), ("s", 0)])
+    assert rows(graph.row_waves(spark.createDataFrame(tree, "src string, dst string").repartition(3))) == expected and len(jobs) <= 9
+    for other in ([("a", "b"), ("b", "a"), ("c", "b")], [("a", "b"), ("a", "c"), ("c", "b")]):
+        e = edges(spark, other)
+        assert rows(graph.row_waves(e)) == rows(graph.load_waves(e, graph.components(e)))
+
+
+def test_rejects_spread_along_a_chain_in_few_rounds(spark, monkeypatch):
+    jobs = []
+    for module in (graph, load):
+        for name in ("staged", "staged_with", "staged_count"):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, lambda *a, f=getattr(tables, name): (jobs.append(1), f(*a))[1])
+    none, own = id_map(spark, []), [Rule(ForeignKey("p", "up", ("p",)), "reject"), Rule(ForeignKey("p", "q", ("q",)), "reject")]
+    mint = lambda df, table, key: idmap.assign(df, table, key, "t")
+    table = [(i, i - 1 if i else None, 7 if i == 20 else None) for i in range(100)] + [(200, 201, None), (201, 200, None), (300, 5, None)]
+    df = spark.createDataFrame(table, "id long, up long, q long")
+    assert sorted(int(r.id) for r in load.judge(df, "p", "id", own, none, mint).where("rejected").collect()) == list(range(20, 100)) and len(jobs) <= 14
+    # rows that share an id have two ways up: either may lead to a reject
+    shared = spark.createDataFrame([(1, None, 7), (2, None, None), (3, 1, None), (3, 2, None), (4, 3, None)], "id long, up long, q long")
+    assert rows(load.judge(shared, "p", "id", own, none, mint).where("rejected").select("id").distinct()) == [("1",), ("3",), ("4",)]
+
+
 @settings(max_examples=2, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.booleans()), min_size=1, max_size=25, unique_by=lambda e: e[:2]))
 def test_components_waves_and_feedback_edges_of_any_graph(spark, links):
