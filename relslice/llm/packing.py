@@ -29,6 +29,7 @@ from .tokens import batches, encoder
 
 LENGTH = 4096
 GROUP = 16_000
+CHARACTERS = 300_000  # of texts encoded at a time, about; more take memory and save no time
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -178,7 +179,7 @@ def _cut(path: str, end: int, capacity: int):
         for batch in found:
             keys = batch.column("doc_id").to_pylist()
             at = 0
-            for part in batches(batch.column("text").to_pylist()):
+            for part in batches(batch.column("text").to_pylist(), CHARACTERS):
                 ids, lengths = encode.encode(part, end)
                 wide = memoryview(ids.astype("<u4").tobytes())
                 pieces = -(-lengths // capacity)  # of each text

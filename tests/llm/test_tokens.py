@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -282,3 +283,16 @@ def test_bound_on_bins_holds_and_stops_searches_that_cannot_gain():
     for sizes, n in ((np.full(16_000, 50), 198), (r.integers(1_400, 2_001, 16_000), 8_000)):
         search = packing.Search(sizes, packing.in_order(sizes, 4096), 4096)
         assert len(set(search.run().tolist())) == search.least == n and not any(search.steps.values())
+
+
+def test_packing_encodes_few_texts_at_a_time(monkeypatch):
+    class Seen:
+        sizes: list[int] = []
+
+        def encode(self, texts, end):
+            self.sizes.append(sum(map(len, texts)))
+            return np.ones(len(texts), np.uint16), np.ones(len(texts), np.int64)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: Seen())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(["x" * 20_000] * 100)], ["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._cut("", 1, 4096)(iter([batch]))) == 100 and max(Seen.sizes) <= 320_000
