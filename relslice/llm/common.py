@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_AT_ONCE = 1_000
@@ -19,6 +25,47 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS_AT_ONCE))
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system; its allocators would keep it, next to the executor's own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _forget() -> None:
+    """Drop the tokenizers that earlier work has left in this worker, which Spark uses again, with all the pieces they remember."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens:
+        tokens.forget()
+    give_back()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function over batches that needs no tokenizer, in a worker that holds no memory of other work before or after it."""
+
+    @functools.wraps(run)
+    def inner(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        yield from run(found)
+        give_back()
+
+    return inner
+
+
+def tidy_groups(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """tidy() of a function over groups."""
+
+    @functools.wraps(run)
+    def inner(rows: pd.DataFrame) -> pd.DataFrame:
+        _forget()
+        out = run(rows)
+        give_back()
+        return out
+
+    return inner
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables, through Spark's own reader.
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -195,7 +197,7 @@ def learn(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "la
     wanted = rows.withColumn("share", F.element_at(shares, F.col("lang")))
     # a row of few windows is looked at with the probability that one of them is drawn
     wanted = wanted.where((F.col("share") >= 1) | (F.pmod("h", F.lit(2**40)) < F.col("size") * F.col("share") * 2**40))
-    drawn = wanted.select("lang", "text", "h", "share").mapInArrow(_drawn, "lang string, rank long, window binary")
+    drawn = wanted.select("lang", "text", "h", "share").mapInArrow(tidy(_drawn), "lang string, rank long, window binary")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "window"))
     every = drawn.groupBy("lang", "rank", "window").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where(F.col("place") <= most).orderBy("lang", "place").collect()
     langs = sorted({r.lang for r in every})
@@ -271,7 +273,7 @@ def least_scores(docs: DataFrame, held_out: Column, langs: list[str], params: di
 
     Scores are counted in steps of 1 / STEPS, so that the figure is the same however the table is cut; it lies less than a step below the exact one."""
     rows = docs.where(held_out).select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("text is not null")
-    told = rows.where(F.col("lang").isin(langs) if langs else F.lit(False)).mapInArrow(_told(langs, params), "lang string, pred string, score double").where("pred = lang")
+    told = rows.where(F.col("lang").isin(langs) if langs else F.lit(False)).mapInArrow(tidy(_told(langs, params)), "lang string, pred string, score double").where("pred = lang")
     steps = told.groupBy("lang", F.floor(F.col("score") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
     upward, of = Window.partitionBy("lang").orderBy("step"), Window.partitionBy("lang")
     passed = steps.select("lang", "step", F.sum("n").over(upward).alias("until"), F.sum("n").over(of).alias("all")).where(F.col("until") > F.floor(F.col("all") * MISSED))
@@ -283,7 +285,7 @@ def keep_identified(docs: DataFrame, held_out: Column | None = None, text: str =
     if held_out is None:
         held_out = _fifth(key)
     langs, params = learn(docs, held_out, text, lang, key)
-    return docs.mapInArrow(_sure(langs, params, text, least_scores(docs, held_out, langs, params, text, lang)), docs.schema)
+    return docs.mapInArrow(tidy(_sure(langs, params, text, least_scores(docs, held_out, langs, params, text, lang))), docs.schema)
 
 
 def _fifth(key: str) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import give_back, stored, tidy_groups
 from .tokens import batches, encoder
 
 LENGTH = 4096
@@ -192,6 +192,7 @@ def _cut(path: str, end: int, capacity: int):
                 ids_of = pa.array(keys[at : at + len(part)], pa.int64()).take(pa.array(of))
                 yield pa.RecordBatch.from_arrays([ids_of, pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 at += len(part)
+        give_back()
 
     return run
 
@@ -219,7 +220,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = LENGTH, group: int = GROUP) -
     """Adds sequence_id and offset to stored rows of (doc_id, piece, start, length, ids_crc32)."""
     groups = max(1, -(-pieces.count() // group))
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(_pack_group(capacity), PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("pack_group").applyInPandas(tidy_groups(_pack_group(capacity)), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = 1, capacity: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:

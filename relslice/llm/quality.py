@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, tidy
 
 FIT = 4_000
 KEEP = 0.5
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     some = known.orderBy(F.xxhash64("label_key"), "label_key").limit(FIT)
     rows = docs.select(F.col(key).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(some), "label_key").select("label", F.xxhash64("label_key", "text").alias("h"), "text")
     # a doc_id may repeat: at most FIT rows of WIDTH numbers reach the driver
-    got = rows.mapInArrow(_vectors, "label double, h long, x binary").orderBy("h").limit(FIT).collect()
+    got = rows.mapInArrow(tidy(_vectors), "label double, h long, x binary").orderBy("h").limit(FIT).collect()
     y = np.array([r.label for r in got])
     if len(set(y.tolist())) < 2:
         return [0.0] * WIDTH + [1.0]
@@ -179,10 +179,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     and for the filter, and neither stored nor joined by key."""
     weights = train(docs, labels, text, key)
     sided = docs.select(F.struct("*").alias("row"), F.col(host).cast("string").alias("host"), _path(host, within).alias("path"), F.col(text).alias("_text"))
-    scored = sided.select("host", "path", "_text").mapInArrow(_with_odds(weights), "host string, path string, odds double")
+    scored = sided.select("host", "path", "_text").mapInArrow(tidy(_with_odds(weights)), "host string, path string, odds double")
     sites, strength, mu = _sites(stored(scored.select("host", "path", (1 / (1 + F.exp(-F.col("odds")))).alias("p")), "scores"))
     fields = T.StructType([sided.schema["row"], sided.schema["host"], sided.schema["path"], T.StructField("odds", T.DoubleType())])
-    told = sided.mapInArrow(_with_odds(weights), fields)
+    told = sided.mapInArrow(tidy(_with_odds(weights)), fields)
     together = told.join(sites, told["host"].eqNullSafe(sites["of_host"]) & told["path"].eqNullSafe(sites["of_path"]))
     p = 1 / (1 + F.exp(-F.col("odds")))
     return together.where(_posterior(F.col("odds"), _site_mean(p, strength), mu) >= KEEP).select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy, tidy_groups
 from .components import components
 from .simhash import BITS, SAMPLE, _keys, plan
 
@@ -210,10 +210,10 @@ def candidates(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK
     """(a, b): rows of distinct (row, fp, sketch) that the fingerprints bring together and the sketches do not tell apart."""
     every = _dealt(distinct.select("row", "fp"), distance, block)
     if every is not None:
-        met = stored(every.groupBy("cell").applyInPandas(_meet(distance), "row long").distinct(), "met")
+        met = stored(every.groupBy("cell").applyInPandas(tidy_groups(_meet(distance)), "row long").distinct(), "met")
         some = _dealt(distinct.select("row", "fp").join(met, "row", "left_semi"), distance, block)
         if some is not None:
-            return some.join(distinct.select("row", "sketch"), "row").groupBy("cell").applyInPandas(_compare(distance, SIMILARITY - LEEWAY), "a long, b long").distinct()
+            return some.join(distinct.select("row", "sketch"), "row").groupBy("cell").applyInPandas(tidy_groups(_compare(distance, SIMILARITY - LEEWAY)), "a long, b long").distinct()
     return distinct.sparkSession.createDataFrame([], "a long, b long")
 
 
@@ -229,24 +229,24 @@ def passed_over(near: DataFrame, links: DataFrame, distinct: DataFrame, rows: Da
     doubtful = groups.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
     again = stored(groups.join(doubtful, "component", "left_semi").select(F.col("node").alias("row")), "again")
     sure = components(links, "a", "b").select(F.col("node").alias("row"), F.col("component").alias("known"))
-    sets = rows.join(again, "row", "left_semi").select("row", "text").mapInArrow(_shingled, "row long, shingles binary")
+    sets = rows.join(again, "row", "left_semi").select("row", "text").mapInArrow(tidy(_shingled), "row long, shingles binary")
     some = distinct.select("row", "fp", "sketch").join(again, "row", "left_semi").join(sets, "row").join(sure, "row", "left").withColumn("known", F.coalesce("known", "row"))
     some = stored(some, "doubtful")
     dealt = _dealt(some.select("row", "fp"), distance, max(1, block // 4), CELL // 8)  # shingles are larger than sketches
     if dealt is None:
         return None
-    return stored(dealt.join(some.select("row", "sketch", "shingles", "known"), "row").groupBy("cell").applyInPandas(_verify(distance, SIMILARITY - LEEWAY), "a long, b long").distinct(), "found-again")
+    return stored(dealt.join(some.select("row", "sketch", "shingles", "known"), "row").groupBy("cell").applyInPandas(tidy_groups(_verify(distance, SIMILARITY - LEEWAY)), "a long, b long").distinct(), "found-again")
 
 
 def near_duplicate_texts(docs: DataFrame, text: str = "text", key: str = "row", distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Per row: row, group (the smallest row that links reach, itself included)."""
     rows = docs.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"))
-    told = stored(rows.mapInArrow(_sketched, SKETCHED), "sketches")
+    told = stored(rows.mapInArrow(tidy(_sketched), SKETCHED), "sketches")
     distinct = stored(told.groupBy("same").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "distinct-texts")
     near = stored(candidates(distinct, distance, block), "candidates")
     one = near.join(rows.select(F.col("row").alias("a"), F.col("text").alias("one")), "a")
     both = one.join(rows.select(F.col("row").alias("b"), F.col("text").alias("two")), "b").select("a", "b", "one", "two")
-    links = stored(both.mapInArrow(_similar, "a long, b long"), "similar")
+    links = stored(both.mapInArrow(tidy(_similar), "a long, b long"), "similar")
     more = passed_over(near, links, distinct, rows, distance, block)
     labels = components(links if more is None else links.union(more), "a", "b").select(F.col("node").alias("head"), "component")
     of = told.select("row", "same").join(distinct.select("same", F.col("row").alias("head")), "same")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, tidy, tidy_groups
 from .fm_index import FMIndex, earlier_windows
 
 WINDOW = 50
@@ -221,7 +221,7 @@ def _repeats(trimmed: DataFrame, window: int, shard_words: int) -> DataFrame:
     of = F.pmod(F.xxhash64("piece"), F.col("blocks")).cast("int")
     dealt = placed.select("anchor", "piece", "rank", "body", "blocks", of.alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     shard = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("anchor", F.lit(17)), F.lit(shards))).otherwise(F.lit(shards) + F.pmod(F.xxhash64("anchor", "block"), F.lit(2**40)))
-    found = dealt.select(shard.alias("shard"), "anchor", "piece", "rank", "body", (F.col("of") == F.col("block")).alias("own")).groupBy("shard").applyInPandas(_search(window), FOUND)
+    found = dealt.select(shard.alias("shard"), "anchor", "piece", "rank", "body", (F.col("of") == F.col("block")).alias("own")).groupBy("shard").applyInPandas(tidy_groups(_search(window)), FOUND)
     return found.groupBy("anchor", "piece").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
@@ -247,19 +247,19 @@ def _remove(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stretches(docs: DataFrame, part: Column, text: str = "text", key: str = "doc_id", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, part, stretches): stretches (a, b) of words to remove. part tells rows of one doc_id apart."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), part.alias("part"), F.col(text).alias("text")).where("doc_id is not null")
-    every = stored(rows.mapInArrow(_anchors(window), ANCHORS), "anchors")
+    every = stored(rows.mapInArrow(tidy(_anchors(window)), ANCHORS), "anchors")
     # stored, as are the other sides of joins, so that both are plain exchanges and a very common key can be split over tasks
     shared = stored(every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     held = stored(every.join(shared, "anchor"), "shared-anchors")
     heads = held.groupBy("anchor", "passage", "size").agg(F.min(F.struct("doc_id", "part", "first", "at")).alias("head"), F.max("doc_id").alias("last"), F.max("again").alias("again"))
     wanted = heads.select("head.doc_id", "head.part", F.struct("anchor", "passage", "head.first", "size", "head.at", (F.col("again") | (F.col("last") > F.col("head.doc_id"))).alias("whole")).alias("w"))
     wanted = wanted.groupBy("doc_id", "part").agg(F.collect_list("w").alias("wanted"))
-    bodies = stored(rows.join(wanted, ["doc_id", "part"]).mapInArrow(_cut_passages, BODIES), "bodies")
+    bodies = stored(rows.join(wanted, ["doc_id", "part"]).mapInArrow(tidy(_cut_passages), BODIES), "bodies")
     # by range of the words themselves; a passage that many documents hold is spread by its hash
-    after = bodies.repartitionByRange("anchor", "after", "passage").sortWithinPartitions("anchor", "after", "passage").mapInArrow(_shared_beginnings("after"), BODIES + ", shared int")
+    after = bodies.repartitionByRange("anchor", "after", "passage").sortWithinPartitions("anchor", "after", "passage").mapInArrow(tidy(_shared_beginnings("after")), BODIES + ", shared int")
     before = after.withColumnRenamed("shared", "after_shared").repartitionByRange("anchor", "before", "passage").sortWithinPartitions("anchor", "before", "passage")
-    both = before.mapInArrow(_shared_beginnings("before"), BODIES + ", after_shared int, shared int")
-    trimmed = stored(both.mapInArrow(_trimmed(window), PIECES), "trimmed")
+    both = before.mapInArrow(tidy(_shared_beginnings("before")), BODIES + ", after_shared int, shared int")
+    trimmed = stored(both.mapInArrow(tidy(_trimmed(window)), PIECES), "trimmed")
     found = stored(_repeats(trimmed, window, shard_words), "found")
     moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("shift")).alias("a"), (r["b"] + F.col("shift")).alias("b"), r["least"].alias("least")))
     verdicts = stored(trimmed.select("anchor", "passage", "piece", "shift").join(found, ["anchor", "piece"]).select("anchor", "passage", moved.alias("runs")), "verdicts")
@@ -280,5 +280,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     joined = left.join(gone, (F.col("key") == F.col("doc_id")) & (F.col("of") == F.col("part")), "left")
     rows = joined.select(*[f"_{i}" for i in range(len(kept))], "text", "stretches")
     schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField("result", RESULT)])
-    done = rows.mapInArrow(_remove, schema)
+    done = rows.mapInArrow(tidy(_remove), schema)
     return done.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("result").alias(into))

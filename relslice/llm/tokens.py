@@ -162,6 +162,12 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def forget() -> None:
+    """Drop the encoders of this worker."""
+    encoder.cache_clear()
+    _library.cache_clear()
+
+
 def batches(texts: list[str | None], most: int = 2_000_000) -> Iterator[list[str | None]]:
     """Texts in runs of about `most` characters, so that memory follows the longest text and not the batch."""
     run: list[str | None] = []

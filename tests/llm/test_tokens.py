@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from relslice.llm import bpe_codec, chat, packing, queries, token_file, tokens
+from relslice.llm import bpe_codec, chat, common, packing, queries, token_file, tokens
 from relslice.llm.tokens import encoder
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -296,3 +296,13 @@ def test_packing_encodes_few_texts_at_a_time(monkeypatch):
     monkeypatch.setattr(packing, "encoder", lambda path: Seen())
     batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(["x" * 20_000] * 100)], ["doc_id", "text"])
     assert sum(b.num_rows for b in packing._cut("", 1, 4096)(iter([batch]))) == 100 and max(Seen.sizes) <= 320_000
+
+
+def test_work_without_a_tokenizer_gives_up_those_of_earlier_work():
+    """A worker that Spark uses again for another stage does not keep the pieces that packing has remembered."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    batch = pa.record_batch({"doc_id": [1], "text": ["some words"]})
+    assert len(list(packing._cut(path, 1, 4096)(iter([batch])))) == 1 and encoder.cache_info().currsize
+    assert [b.num_rows for b in common.tidy(lambda found: found)(iter([batch]))] == [1] and not encoder.cache_info().currsize
+    encoder(path)
+    assert len(common.tidy_groups(lambda rows: rows)(batch.to_pandas())) == 1 and not encoder.cache_info().currsize
