@@ -12,6 +12,7 @@ import numpy as np
 
 SEPARATOR = 1
 LOOK = 8  # steps between two looks at the documents of a match
+PART = 8  # windows of a query that are tried one after the other; a longer query is tried at several places at once
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -114,17 +115,25 @@ def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[np.ndarray]
     at a place p, no window that holds what lies from there to the end can occur, so the search goes on with the window
     after p. After a hit a longer stretch is tried at once, as all windows inside a stretch that occurs occur too. The
     documents of a match are looked at every LOOK words; where they are too late, p is taken as the last place reached.
+    A query is cut into parts of PART windows, which overlap by what windows do: a step costs much the same for one part and for
+    thousands, so it is the longest part that counts.
     """
-    m = np.array([len(q) for q in queries], np.int64)
-    base = np.cumsum(m) - m
+    whole = np.array([len(q) for q in queries], np.int64)
+    begin = np.cumsum(whole) - whole
+    parts = np.maximum(1, -(-(whole - window + 1) // PART))
+    of = np.repeat(np.arange(len(queries)), parts)
+    first = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * PART  # the first window of a part
+    base, m = begin[of] + first, np.minimum(whole[of] - first, PART + window - 1)
+    mine = mine[of]
     words = np.concatenate([*queries, np.zeros(1, np.int64)])
-    found = [np.zeros(max(0, k - window + 1), bool) for k in m.tolist()]
+    flags = [np.zeros(max(0, k - window + 1), bool) for k in whole.tolist()]
+    found = [flags[i][a : a + PART] for i, a in zip(of.tolist(), first.tolist())]
     lengths = np.full(len(words) + len(queries), -1, np.int64)
-    spot = base + np.arange(len(queries))  # where the lengths of a query begin
-    start = np.zeros(len(queries), np.int64)
-    reach = np.ones(len(queries), np.int64)  # windows that a try covers
+    spot = base + of  # where the lengths of a part begin
+    start = np.zeros(len(of), np.int64)
+    reach = np.ones(len(of), np.int64)  # windows that a try covers
     end = np.minimum(m, window)
-    place, low, high = end.copy(), np.zeros(len(queries), np.int64), np.full(len(queries), index.n, np.int64)
+    place, low, high = end.copy(), np.zeros(len(of), np.int64), np.full(len(of), index.n, np.int64)
     live = np.flatnonzero(m >= window)
     while len(live):
         lo, hi = index.extend(words[base[live] + place[live] - 1], low[live], high[live])
@@ -152,4 +161,4 @@ def earlier_windows(index: FMIndex, ranks: np.ndarray, queries: list[np.ndarray]
         reach[again[end[again] - start[again] == window]] = 1
         place[again], low[again], high[again] = end[again], 0, index.n
         live = live[start[live] + window <= m[live]]
-    return found, [lengths[a : a + k + 1] for a, k in zip(spot.tolist(), m.tolist())]
+    return flags, [lengths[a : a + k + 1] for a, k in zip((begin + np.arange(len(queries))).tolist(), whole.tolist())]

@@ -278,6 +278,19 @@ def test_backward_search_against_a_scan():
                 assert n == 0 or n >= window or not occurs(q[end - n - 1 : end].tolist(), rank) or n + 1 < window
 
 
+def test_a_long_piece_is_searched_at_many_places_at_once(monkeypatch):
+    """The steps over the index follow the window, not the longest piece."""
+    r, steps, extend = np.random.default_rng(2), [], FMIndex.extend
+    monkeypatch.setattr(FMIndex, "extend", lambda *a: (steps.append(1), extend(*a))[1])
+    for n in (200, 1_000):
+        base = r.integers(2, 5_000, n)
+        asked = base.copy()
+        asked[60::40] = 1_000_000  # no window of 50 after the first ones occurs, and most break off late
+        flags = earlier_windows(FMIndex([base, asked], 100), np.array([0, 1]), [asked], np.array([1]), 50)[0][0]
+        assert flags.tolist() == [s <= 10 for s in range(n - 49)]
+    assert len(steps) <= 500
+
+
 def test_smallest_number_of_an_interval():
     r = np.random.default_rng(3)
     values = r.integers(0, 70, 3_000)
