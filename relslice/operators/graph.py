@@ -93,20 +93,50 @@ def _step(state: DataFrame, edges: DataFrame) -> DataFrame:
     """One round of (node, ahead, behind): the first node that a node is known to reach, and the first that is known to reach it.
 
     Both move over an edge, or to what the node found so far has found itself, so what is seen of a path grows by half or more in a
-    round (names come in random order along a path)."""
+    round (names come in random order along a path). All that is asked is asked in one join."""
     none = F.lit(None).cast("string")
-    at = lambda column, value, name: state.select(F.col("node").alias(column), F.col(value).alias(name))
-    found = [
-        state.select("node", "ahead", "behind", F.col("ahead").alias("ahead0"), F.col("behind").alias("behind0")),
-        _met(edges, at("dst", "ahead", "v"), "dst").select("src", "v", none, none, none),
-        _met(edges, at("src", "behind", "v"), "src").select("dst", none, "v", none, none),
-        _met(state.where("ahead <> node"), at("n", "ahead", "v"), F.col("ahead") == F.col("n")).select("node", "v", none, none, none),
-        _met(state.where("behind <> node"), at("n", "behind", "v"), F.col("behind") == F.col("n")).select("node", none, "v", none, none),
-    ]
-    new = reduce(DataFrame.union, found).groupBy("node").agg(*[F.min(c).alias(c) for c in ("ahead", "behind", "ahead0", "behind0")])
+    asked = lambda df, at, node, on: df.select(F.col(at).alias("at"), F.col(node).alias("node"), F.lit(on).alias("on"))
+    asks = [asked(edges, "dst", "src", True), asked(edges, "src", "dst", False), asked(state.where("ahead <> node"), "ahead", "node", True), asked(state.where("behind <> node"), "behind", "node", False)]
+    told = _met(reduce(DataFrame.union, asks), state.select(F.col("node").alias("at"), F.col("ahead").alias("a"), F.col("behind").alias("b")), "at")
+    found = told.select("node", F.when(F.col("on"), F.col("a")).alias("ahead"), F.when(~F.col("on"), F.col("b")).alias("behind"), none.alias("ahead0"), none.alias("behind0"))
+    own = state.select("node", "ahead", "behind", F.col("ahead").alias("ahead0"), F.col("behind").alias("behind0"))
+    new = own.union(found).groupBy("node").agg(*[F.min(c).alias(c) for c in ("ahead", "behind", "ahead0", "behind0")])
     return new.select("node", "ahead", "behind", ((F.col("ahead") < F.col("ahead0")) | (F.col("behind") < F.col("behind0"))).alias("moved"))
 
 
+def _merged(edges: DataFrame) -> DataFrame | None:
+    """(node, top): nodes that edges tie to another one both ways, under the first of the nodes so tied; None if there are none.
+
+    Each names the first of its partners, if that comes before it, and takes over what that one names until none does."""
+    pairs = edges.groupBy(F.least("src", "dst").alias("top"), F.greatest("src", "dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    links, moved = staged_count(pairs.groupBy("node").agg(F.min("top").alias("top")), "tied")
+    if not moved:
+        return None
+    while moved:
+        up = links.select(F.col("node").alias("of"), F.col("top").alias("then"))
+        met = _met(links.select("node", "top"), up, F.col("top") == F.col("of"), "left")
+        links, moved = staged_with(met.select("node", F.coalesce("then", "top").alias("top"), F.col("then").isNotNull().alias("moved")), F.count_if("moved"), "tied")
+    return links.select("node", "top")
+
+
+def _under(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """edges between what their ends are merged under, each once."""
+    for end in ("src", "dst"):
+        edges = _met(edges, tops.select(F.col("node").alias(end), F.col("top").alias(f"{end}_top")), end, "left").withColumn(end, F.coalesce(f"{end}_top", end)).drop(f"{end}_top")
+    return edges.where("src <> dst").select("src", "dst").distinct()
+
+
+def _peeled(edges: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """edges without those from nodes that none points to, and those to nodes that point to none, again while a tenth or more goes."""
+    while size:
+        inner = _met(edges, edges.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+        before = size
+        edges, size = staged_count(_met(inner, edges.select(F.col("dst").alias("src")), "src", "left_semi").select("src", "dst"), "edges")
+        if size > 0.9 * before:
+            break
+    return edges, size
+
+
 def _acyclic(edges: DataFrame) -> DataFrame:
     """(node): sources of edges that cannot reach a cycle. Edges to nodes that are done close; those to a node with one open edge
     are drawn on to its end, so chains close in a logarithmic number of rounds. It ends when no node closes."""
@@ -133,7 +163,8 @@ def _shuffled(node: str) -> Column:
 def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more, or of one with an edge to itself.
 
-    In each round, every node learns the first node (in an order by hash) that it reaches, and the first that reaches it. Nodes for
+    Nodes with edges both ways become one, and edges that no cycle can use are peeled off while many go. In each round, every node
+    learns the first node (in an order by hash) that it reaches, and the first that reaches it. Nodes for
     which these are one node are its component. Edges between nodes that differ in either cannot be part of a cycle; the rounds
     go on with the rest, which falls apart into ever smaller pieces; after two rounds, edges of nodes that reach no cycle
     or that no cycle reaches go too. The numbers of rounds grow with the logarithm of the longest path. The component is named by its smallest node; nodes are text."""
@@ -141,12 +172,18 @@ def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
     loops = every.where("src = dst").select(F.col("src").cast("string").alias("node")).withColumn("component", F.col("node"))
     rest, size = staged_count(every.where("src <> dst").select(_shuffled("src").alias("src"), _shuffled("dst").alias("dst")), "edges")
     found: DataFrame | None = None
+    merges: list[DataFrame] = []
     for turn in range(most):
         if turn == 2:  # what has not fallen apart by now may be long chains
             for turned in (False, True):
                 way = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if turned else rest
                 free = staged(_acyclic(way), "free").select(F.col("node").alias("dst" if turned else "src"))
                 rest, size = staged_count(_met(rest, free, free.columns[0], "left_anti").select("src", "dst"), "edges")
+        tops = _merged(rest) if size else None
+        if tops is not None:
+            merges.append(tops)
+            rest, size = staged_count(_under(rest, tops), "edges")
+        rest, size = _peeled(rest, size)
         if not size:
             break
         state = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
@@ -158,9 +195,16 @@ def components(edges: DataFrame, most: int = 10_000) -> DataFrame:
         found = one if found is None else found.union(one)
         a, b = state.select(F.col("node").alias("src"), F.col("ahead").alias("a1"), F.col("behind").alias("b1")), state.select(F.col("node").alias("dst"), F.col("ahead").alias("a2"), F.col("behind").alias("b2"))
         rest, size = staged_count(_met(_met(rest, a, "src"), b, "dst").where("a1 = a2 and b1 = b2 and a1 <> b1").select("src", "dst"), "edges")
+    for tops in reversed(merges):  # what was merged last is named first
+        if found is None:
+            found = tops.select("node", F.col("top").alias("label"))
+            continue
+        told = found.select(F.col("node").alias("top"), "label")
+        found = staged(found.union(_met(tops, told, "top", "left").select("node", F.coalesce("label", "top").alias("label"))), "found")
     if found is None:
         return loops
-    named = found.select(F.substring("node", NAME_AT, 1_000_000).alias("node"), "label")
+    each = found.union(found.select(F.col("label").alias("node"), "label")).distinct() if merges else found
+    named = each.select(F.substring("node", NAME_AT, 1_000_000).alias("node"), "label")
     large = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("component")).where("n > 1")
     big = _met(named, large, "label").select("node", "component")
     return big.union(_met(loops, big.select("node"), "node", "left_anti"))

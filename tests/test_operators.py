@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -422,6 +423,30 @@ def test_rejects_spread_along_a_chain_in_few_rounds(spark, monkeypatch):
     assert rows(load.judge(shared, "p", "id", own, none, mint).where("rejected").select("id").distinct()) == [("1",), ("3",), ("4",)]
 
 
+def test_tables_that_point_at_each_other_are_merged_and_the_rest_is_peeled_off(spark, monkeypatch):
+    jobs = []
+    for name in ("staged", "staged_with", "staged_count"):
+        monkeypatch.setattr(graph, name, lambda *a, f=getattr(tables, name): (jobs.append(1), f(*a))[1])
+    n = 256  # as in the catalog: tables n / 2 and n / 3, a neighbour and back
+    links = {(i, j) for i in range(n) for j in (i // 2, i // 3, i ^ 1) if i != j}
+    e = spark.createDataFrame([(f"n{i:03}", f"n{j:03}") for i, j in links], "src string, dst string")
+    assert rows(graph.components(e)) == [(f"n{i:03}", f"n{i & ~1:03}") for i in range(n)] and len(jobs) <= 12
+
+
+def test_components_of_many_graphs_at_once(spark):
+    chance, links, expected = random.Random(3), [], []
+    for g in range(60):
+        k = chance.randint(2, 9)
+        own = {(chance.randrange(k), chance.randrange(k)) for _ in range(chance.randint(1, 2 * k))}
+        own |= {(b, a) for a, b in own if chance.random() < g % 3 / 3}
+        reach = set(own)
+        for via in range(k):
+            reach |= {(a, d) for a, b in reach if b == via for c, d in reach if c == via}
+        links += [(f"g{g}n{a}", f"g{g}n{b}") for a, b in own]
+        expected += [(f"g{g}n{a}", f"g{g}n{min(b for b in range(k) if (a, b) in reach and (b, a) in reach)}") for a in range(k) if (a, a) in reach]
+    assert rows(graph.components(spark.createDataFrame(links, "src string, dst string"))) == sorted(expected)
+
+
 @settings(max_examples=2, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.booleans()), min_size=1, max_size=25, unique_by=lambda e: e[:2]))
 def test_components_waves_and_feedback_edges_of_any_graph(spark, links):
