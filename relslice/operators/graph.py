@@ -304,8 +304,8 @@ def feedback_edges(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, Data
     stays cyclic, until the components left have required edges alone and cannot be loaded."""
     every = staged(edges.withColumn("__id", F.monotonically_increasing_id()), "edges")
     gone: DataFrame | None = None
+    rest = every
     for _ in range(most):
-        rest = every if gone is None else _met(every, gone, "__id", "left_anti")
         labels = staged(components(rest), "components")
         a, b = labels.select(F.col("node").alias("src"), "component"), labels.select(F.col("node").alias("dst"), F.col("component").alias("other"))
         inner = staged(_met(_met(rest, a, "src"), b, "dst").where("component = other").drop("other"), "inner")
@@ -319,6 +319,7 @@ def feedback_edges(edges: DataFrame, most: int = 1_000) -> tuple[DataFrame, Data
             out = every.where("false") if gone is None else _met(every, gone, "__id", "left_semi")
             return out.drop("__id"), labels
         gone = cut if gone is None else gone.union(cut)
+        rest = staged(_met(inner.drop("component"), cut, "__id", "left_anti"), "rest")  # what lies between components stays out of cycles
     raise RuntimeError("feedback edges did not settle")
 
 

@@ -447,6 +447,14 @@ def test_components_of_many_graphs_at_once(spark):
     assert rows(graph.components(spark.createDataFrame(links, "src string, dst string"))) == sorted(expected)
 
 
+def test_later_rounds_of_feedback_edges_see_what_is_cyclic_alone(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "components", lambda df, f=graph.components: (seen.append(df.count()), f(df))[1])
+    e = edges(spark, [("a", "b"), ("b", "a"), *[(f"n{i}", "a") for i in range(20)]])
+    out, rest = graph.feedback_edges(e)
+    assert rest.isEmpty() and rows(out.select("src", "dst")) == [("a", "b")] and seen == [22, 1]
+
+
 @settings(max_examples=2, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.booleans()), min_size=1, max_size=25, unique_by=lambda e: e[:2]))
 def test_components_waves_and_feedback_edges_of_any_graph(spark, links):
